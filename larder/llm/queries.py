@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.katz import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.quality import judge
 
@@ -70,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality, op3_interleave, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, pipeline]
+    found = [op1_katz, op2_quality, op3_interleave, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, pipeline]
     return {f.__name__: f for f in found}
 
 
