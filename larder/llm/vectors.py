@@ -18,9 +18,9 @@ from larder.llm.components import Forest, components
 FIT_ROWS = 20_000
 SUBSPACES, CODEWORDS = 16, 256
 MAX_LISTS = 4096
-#: A list is probed if its centre is at most this many deviations of what a link can
-#: change farther from the query than the nearest centre.
-PROBE_DEVIATIONS = 4.0
+#: A list is probed if a link can make up for its centre's being farther than the nearest
+#: one, at this many deviations.
+PROBE_DEVIATIONS = 3.0
 BLOCK = 2048
 
 
@@ -59,18 +59,33 @@ class Index:
         rest = self._split(sample - self.centres[nearest(sample, self.centres)[0]])
         k = min(CODEWORDS, len(sample))
         self.books = np.stack([_kmeans(rest[:, s], k, 5, rng) for s in range(SUBSPACES)])
-        # a link moves a vector by self.radius in some direction; its part along the line
-        # between two centres has deviation radius / sqrt(dim), and two distances change
-        self.margin = PROBE_DEVIATIONS * self.radius * math.sqrt(2 / self.dim)
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(x), self.width * SUBSPACES))
         padded[:, : self.dim] = x
         return padded.reshape(len(x), SUBSPACES, self.width)
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """Distances to all centres."""
-        return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T, 0))
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest centre of each row, and which lists its search comes to [rows, lists].
+
+        A linked vector lies at most ``radius`` away. Moving a row by e changes the
+        difference of its distances to two centres by e . (u - v), u and v the unit
+        vectors from the centres to the row; over directions of e that has deviation
+        radius * |u - v| / sqrt(dim).
+        """
+        home, near = np.empty(len(x), dtype=np.int64), np.empty((len(x), len(self.centres)), dtype=bool)
+        own = (self.centres**2).sum(axis=1)
+        for s in range(0, len(x), 512):
+            part = x[s : s + 512]
+            cross, norm = part @ self.centres.T, (part**2).sum(axis=1)
+            away = np.sqrt(np.maximum(norm[:, None] + own - 2 * cross, 1e-18))
+            best = away.argmin(axis=1)
+            at, i = self.centres[best], np.arange(len(part))
+            inner = norm[:, None] - cross - cross[i, best][:, None] + at @ self.centres.T
+            turned = np.sqrt(np.maximum(2 - 2 * inner / (away * away[i, best][:, None]), 0))
+            home[s : s + 512] = best
+            near[s : s + 512] = away - away[i, best][:, None] <= PROBE_DEVIATIONS * self.radius / math.sqrt(self.dim) * turned + 1e-9
+        return home, near
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes (bytes) and the distance of each row to what they stand for."""
@@ -93,29 +108,37 @@ class Index:
 
 
 def _valid(vectors: DataFrame, row_id: str, column: str) -> DataFrame:
-    """vec_id, digest of the vector and its unit vector (doubles); null where it cannot link."""
+    """vec_id, digest and bytes of each vector, in the column's own width; null where it cannot link."""
     schema = "vec_id long, vec_key binary, unit binary"
+    kind = _width(vectors, column)
 
     def run(batches):
         for batch in batches:
-            keys, units = [], []
+            keys, bodies = [], []
             for value in batch.column(1):
                 row = value.as_py()
                 x = np.array(row, dtype=np.float64) if row and None not in row else None
                 norm = float(np.sqrt((x * x).sum())) if x is not None and np.isfinite(x).all() else 0.0
                 good = norm > 0 and math.isfinite(norm)
-                keys.append(xxhash.xxh3_128_digest(x.tobytes()) if good else None)
-                units.append((x / norm).tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "vec_key", "unit"])
+                own = x.astype(kind).tobytes() if good else None
+                keys.append(xxhash.xxh3_128_digest(own) if good else None)
+                bodies.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], names=["vec_id", "vec_key", "unit"])
 
     return staged(vectors.select(F.col(row_id).cast("long"), F.col(column).cast("array<double>")).mapInArrow(run, schema), "vectors")
 
 
-def _units(column) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_py()) for x in column])
+def _width(vectors: DataFrame, column: str) -> str:
+    return "<f4" if vectors.schema[column].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float) -> DataFrame:
+def _units(column, kind: str) -> np.ndarray:
+    """Unit vectors in doubles, from the bytes of given vectors."""
+    x = np.stack([np.frombuffer(v.as_py(), dtype=kind) for v in column]).astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float, kind_of: str) -> DataFrame:
     """Per block: link counts of ids (kind 0: a, n) and a forest of its links (kind 1: a, b)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -123,13 +146,12 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float) -> Dat
         a, b, n, kind = [], [], [], []
         if left.num_rows and right.num_rows:
             at = left["list"][0].as_py()
-            rows, qs = _units(left["unit"]), _units(right["q_unit"])
+            rows, qs = _units(left["unit"], kind_of), _units(right["q_unit"], kind_of)
             ids, q_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
             mult, q_mult, home = left["mult"].to_numpy(), right["q_mult"].to_numpy(), right["q_home"].to_numpy()
             codes = np.stack([np.frombuffer(c.as_py(), dtype=np.uint8) for c in left["codes"]])
             reach = index.radius + left["error"].to_numpy() + 1e-9
-            away = index.distances(rows)
-            limit = away.min(axis=1) + index.margin
+            near = index.probes(rows)[1]
             row_sum, forest = np.zeros(len(rows), dtype=np.int64), Forest()
             for s in range(0, len(qs), 256):
                 part = qs[s : s + 256]
@@ -141,7 +163,7 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float) -> Dat
                 for i in np.flatnonzero(sums):
                     kind.append(0), a.append(int(q_ids[s + i])), b.append(0), n.append(int(sums[i]))
                 # a row whose own search does not come to the query's list learns of the link here
-                one_way = away[ri, home[qi]] > limit[ri]
+                one_way = ~near[ri, home[qi]]
                 np.add.at(row_sum, ri[one_way], q_mult[qi[one_way]])
                 for x, y in zip(q_ids[qi].tolist(), ids[ri].tolist(), strict=True):
                     if forest.join(x, y):
@@ -168,6 +190,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
     component and is not kept; an empty table gives no rows. Vectors of another length
     than the most common one link with nothing but equal ones.
     """
+    kind = _width(vectors, column)
     table = _valid(vectors, row_id, column)
     good = table.filter("vec_key is not null and vec_id is not null")
     classes = staged(good.groupBy("vec_key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit")), "vector-classes")
@@ -179,8 +202,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
         usual = classes.filter(F.length("unit") == sizes["bytes"])
         share = min(1.0, FIT_ROWS / sizes["count"])
         unit_hash = F.pmod(F.xxhash64("vec_key"), F.lit(1_000_000)) / 1_000_000
-        sample = _units(usual.filter(unit_hash < share).select("unit").toArrow()["unit"])
-        index = Index(sample, max(1, min(MAX_LISTS, round(2 * math.sqrt(sizes["count"])))), cosine)
+        sample = _units(usual.filter(unit_hash < share).select("unit").toArrow()["unit"], kind)
+        index = Index(sample, max(1, min(MAX_LISTS, round(math.sqrt(sizes["count"])))), cosine)
         spark = vectors.sparkSession
         # MAX_LISTS centres and the codebooks, however many rows there are
         shipped = spark.sparkContext.broadcast(pickle.dumps(index))
@@ -190,11 +213,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _units(batch.column(2))
-                away = own.distances(x)
-                home = away.argmin(axis=1)
+                x = _units(batch.column(2), kind)
+                home, near = own.probes(x)
                 codes, error = own.encode(x, home)
-                probes = [np.flatnonzero(d <= d.min() + own.margin).tolist() for d in away]
+                probes = [np.flatnonzero(row) for row in near]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))],
                     names=["id", "mult", "unit", "home", "codes", "error", "probes"],
@@ -210,7 +232,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
         rows = rows.select("list", "q_block", "r_block", "id", "mult", "unit", "codes", "error")
         queries = indexed.select("id", "mult", "unit", "home", F.explode("probes").alias("list")).join(plan, "list").withColumn("q_block", deal("q_blocks")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)))
         queries = queries.select(F.col("list").alias("q_list"), F.col("q_block").alias("q_q_block"), F.col("r_block").alias("q_r_block"), F.col("id").alias("q_id"), F.col("mult").alias("q_mult"), F.col("unit").alias("q_unit"), F.col("home").alias("q_home"))
-        result = staged(_search(rows, queries, shipped, cosine), "vector-links")
+        result = staged(_search(rows, queries, shipped, cosine, kind), "vector-links")
         found = result.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("found"))
         labels = components(result.filter("kind = 1").select("a", "b"))
     merged = classes.select("vec_key", "id", "mult").join(found, "id", "left").join(labels, "id", "left")
