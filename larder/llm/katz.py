@@ -159,13 +159,13 @@ class _Chunk:
         self.words = hashes(unpack_words(row["words"], self.n))
         self.codes = unsqueeze(row["codes"], "<i4")
         self.sizes, self.flags = sizes, flags
-        self.pairs = _pairs(self.codes, sizes, self.n)
-        order = np.argsort(self.pairs, kind="stable")
-        ordered = self.pairs[order]
+        pairs = _pairs(self.codes, sizes, self.n)
+        order = np.argsort(pairs, kind="stable").astype(np.int32)
+        ordered = pairs[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
         self.distinct = ordered[first]
-        group = np.cumsum(first) - 1
-        self.place = np.empty(len(order), dtype=np.int64)
+        group = np.cumsum(first, dtype=np.int32) - 1
+        self.place = np.empty(len(order), dtype=np.int32)
         self.place[order] = group
         keys = _pair_keys(self.distinct, self.n, self.words)
         self.by_key = np.argsort(keys, kind="stable")
@@ -250,7 +250,7 @@ def _chunk_scores(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, big
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(counts > 0, (counts - bigrams.lost(counts)) / c_h, p_word)
         backs_off = (counts == 0) & (c_h > 0)
-        doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         token_counts = word_counts[word][own.place]
         n_known = np.bincount(doc, weights=token_counts > 0, minlength=len(sizes)).astype(np.int64)
         base = np.bincount(doc, weights=unigrams.base(token_counts), minlength=len(sizes))
