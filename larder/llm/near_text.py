@@ -15,6 +15,8 @@ from larder.llm.tokens import slices
 
 #: Members of a bucket that one block of comparisons takes from either side.
 BLOCK = 1024
+#: Rows of small blocks and stars that are worked on together.
+GROUP_ROWS = 4_000
 
 
 def _set_table(docs: DataFrame, size: int, row_id: str, text: str) -> DataFrame:
@@ -63,58 +65,90 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Written rows with ``deal``: whole keys dealt over groups of about GROUP_ROWS rows."""
+    rows = staged(rows, "dealt")
+    groups = max(1, rows.count() // GROUP_ROWS)
+    return rows.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int"))
+
+
+def _registers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), sk.REGISTERS)
+
+
+def _may_link(percent: int, regs: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may link by likelihood, in slices of bounded memory."""
+    parts = [sk.may_reach(percent / 100, regs[a[s : s + 20_000]], regs[b[s : s + 20_000]], n[a[s : s + 20_000]], n[b[s : s + 20_000]]) for s in range(0, len(a), 20_000)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
 def _star_links(stars: DataFrame, percent: int) -> DataFrame:
     """Links between each star's leader and members: estimated by likelihood, then exact."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        lead = rows["leads"].index(True)
-        own = [i for i, leads in enumerate(rows["leads"]) if not leads]
-        regs = np.stack([np.frombuffer(rows["regs"][i], dtype=np.uint16) for i in own])
-        n = np.array([rows["n"][i] for i in own])
-        first = np.broadcast_to(np.frombuffer(rows["regs"][lead], dtype=np.uint16), regs.shape)
-        may = sk.may_reach(percent / 100, first, regs, np.full(len(n), rows["n"][lead]), n)
-        centre = _hashes(rows["hashes"][lead])
-        good = [rows["id"][i] for i, ok in zip(own, may, strict=True) if ok and _linked(centre, _hashes(rows["hashes"][i]), percent)]
-        return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([rows["id"][lead]] * len(good), pa.int64())})
-
-    return stars.groupBy("leader", "salt").applyInArrow(run, "a long, b long")
+        ids, n, leader, salt = (table[c].to_numpy() for c in ("id", "n", "leader", "salt"))
+        leads = table["leads"].to_numpy()
+        regs, bodies = _registers(table["regs"]), table["hashes"].to_pylist()
+        centre = {(x, y): i for i, x, y in zip(np.flatnonzero(leads).tolist(), leader[leads].tolist(), salt[leads].tolist(), strict=True)}
+        own = np.flatnonzero(~leads)
+        first = np.array([centre[k] for k in zip(leader[own].tolist(), salt[own].tolist(), strict=True)], dtype=np.int64)
+        may = _may_link(percent, regs, n, first, own)
+        good = [(i, j) for i, j in zip(own[may].tolist(), first[may].tolist(), strict=True) if _linked(_hashes(bodies[i]), _hashes(bodies[j]), percent)]
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in good], pa.int64()), "b": pa.array([int(ids[j]) for _, j in good], pa.int64())})
+
+    return stars.groupBy("deal").applyInArrow(run, "a long, b long")
+
+
+def _candidates(ids, labels, n, sides, block, keys, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of one block in different components, of fit sizes, whose first band this is."""
+    band = np.argmax(keys == block[0], axis=1)
+    left, right = np.flatnonzero(sides == block[1]), np.flatnonzero(sides == block[2])
+    a, b = [], []
+    for i in left:
+        other = right[right > i] if block[1] == block[2] else right
+        other = other[(labels[other] != labels[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+        if len(other):
+            other = other[np.argmax(keys[other] == keys[i], axis=1) == band[i]]
+            a.append(np.full(len(other), i))
+            b.append(other)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+_BLOCK_PAIRS = pa.schema([("bkey", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
 
 
 def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket block that may be links and are in different components so far.
+    """Pairs of each bucket block that may be links and are in different components so far.
 
     A pair is taken only in the first band in which its registers agree, so it comes
     once. One row a block, with the pairs as arrays.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        d = table.to_pydict()
-        block = (d["bkey"][0], d["lo"][0], d["hi"][0])
-        ids, labels, n, side = (np.array(d[c]) for c in ("id", "label", "n", "side"))
-        regs = np.stack([np.frombuffer(x, dtype=np.uint16) for x in d["regs"]])
+        table = table.sort_by([("bkey", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("id", "ascending")])
+        bkey, lo, hi, ids, labels, n, sides = (table[c].to_numpy() for c in ("bkey", "lo", "hi", "id", "label", "n", "side"))
+        regs = _registers(table["regs"])
         keys = sk.band_keys(regs)
-        band = np.argmax(keys == block[0], axis=1)
-        left = np.flatnonzero(side == block[1])
-        right = np.flatnonzero(side == block[2])
+        new = np.flatnonzero(np.concatenate([[True], (bkey[1:] != bkey[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        ends = np.append(new[1:], len(bkey))
         a, b = [], []
-        for i in left:
-            other = right[right > i] if block[1] == block[2] else right
-            other = other[(labels[other] != labels[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-            if not len(other):
-                continue
-            same = keys[other] == keys[i]
-            other = other[np.argmax(same, axis=1) == band[i]]
-            if len(other):
-                may = sk.may_reach(percent / 100, np.broadcast_to(regs[i], (len(other), regs.shape[1])), regs[other], np.full(len(other), n[i]), n[other])
-                other = other[may]
-                a += [int(ids[i])] * len(other)
-                b += ids[other].tolist()
-        if not a:
-            return pa.table({"bkey": pa.array([], pa.int64()), "lo": pa.array([], pa.int32()), "hi": pa.array([], pa.int32()), "a": pa.array([], pa.list_(pa.int64())), "b": pa.array([], pa.list_(pa.int64()))})
-        return pa.table({"bkey": pa.array([block[0]], pa.int64()), "lo": pa.array([block[1]], pa.int32()), "hi": pa.array([block[2]], pa.int32()), "a": pa.array([a], pa.list_(pa.int64())), "b": pa.array([b], pa.list_(pa.int64()))})
-
-    return rows.groupBy("bkey", "lo", "hi").applyInArrow(run, "bkey long, lo int, hi int, a array<long>, b array<long>")
+        for s, e in zip(new.tolist(), ends.tolist(), strict=True):
+            x, y = _candidates(ids[s:e], labels[s:e], n[s:e], sides[s:e], (bkey[s], lo[s], hi[s]), keys[s:e], percent)
+            a.append(x + s)
+            b.append(y + s)
+        a, b = np.concatenate(a), np.concatenate(b)
+        may = _may_link(percent, regs, n, a, b)
+        a, b = a[may], b[may]
+        out = []
+        at = np.searchsorted(new, a, side="right") - 1
+        for block in np.unique(at).tolist():
+            of = at == block
+            s = new[block]
+            out.append({"bkey": int(bkey[s]), "lo": int(lo[s]), "hi": int(hi[s]), "a": ids[a[of]].tolist(), "b": ids[b[of]].tolist()})
+        return pa.Table.from_pylist(out, schema=_BLOCK_PAIRS)
+
+    return rows.groupBy("deal").applyInArrow(run, "bkey long, lo int, hi int, a array<long>, b array<long>")
 
 
 def _block_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +213,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, row_id: s
     pairs = pairs.join(leaders, "leader").filter(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")).select("leader", "id")
     counts = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
     pairs = pairs.join(counts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK).cast("long") + 1).cast("int").alias("salt"), "id")
-    stars = pairs.withColumn("leads", F.lit(False)).union(pairs.select("leader", "salt", F.col("leader").alias("id"), F.lit(True).alias("leads")).distinct()).join(sets, "id")
+    stars = pairs.withColumn("leads", F.lit(False)).union(pairs.select("leader", "salt", F.col("leader").alias("id"), F.lit(True).alias("leads")).distinct())
+    stars = _dealt(stars, ["leader", "salt"]).join(sets, "id")
     links = staged(_star_links(stars, percent), "star-links")
     labels = components(links)
 
@@ -189,7 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, row_id: s
     blocks = F.floor(F.col("k") / BLOCK).cast("int") + 1
     side = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = at.join(open_, "bkey", "left_semi").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bkey", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "n", "label").join(vertices.select("id", "regs"), "id")
+    rows = rows.select("bkey", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "n", "label")
+    rows = _dealt(rows, ["bkey", "lo", "hi"]).join(vertices.select("id", "regs"), "id")
     near = staged(_block_pairs(rows, percent), "pairs")
     more = staged(_block_links(near, sets, percent), "block-links")
     labels = components(links.union(more))

@@ -125,7 +125,7 @@ def may_reach(at: float, regs_u: np.ndarray, regs_v: np.ndarray, n_u: np.ndarray
     n_u, n_v = n_u.astype(float), n_v.astype(float)
     most = np.minimum(n_u, n_v) / np.maximum(n_u, n_v)
     low, high = np.zeros(len(most)), most.copy()
-    for _ in range(40):
+    for _ in range(26):
         third = (high - low) / 3
         left = log_likelihood(low + third, above, below, n_u, n_v) < log_likelihood(high - third, above, below, n_u, n_v)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
