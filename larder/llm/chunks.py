@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import crc_mod, staged
 from larder.llm.tokens import slices
 
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 1_200_000
 
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, flags array<boolean>, sizes array<int>, codes binary, words binary, n_words int"
 
