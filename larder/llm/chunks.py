@@ -109,7 +109,7 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
         if ids:
             yield flush()
 
-    return staged(docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA), "chunks")
+    return staged(docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA), "chunks", compression="none")
 
 
 def training_flag(row_id: str = "doc_id"):

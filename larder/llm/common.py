@@ -35,15 +35,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage.
 
     Task output is committed atomically, so what a lost or repeated task had chosen
-    (partition numbers, batch borders) is settled by the committed files.
+    (partition numbers, batch borders) is settled by the committed files. Tables of
+    compressed blobs go without a codec, whose buffers would be as large as the blobs.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "snappy")
+    writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -125,7 +125,7 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         return _merged_table(out)
 
     asked = chunks.select("chunk", "flags", "sizes", "codes", "words", "n_words").mapInArrow(ask, "bucket int, chunk long, words binary, counts binary, n int")
-    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-words", ["kind"])
+    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-words", ["kind"], "none")
 
 
 def _pairs(codes: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def _pair_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         return _merged_table(out)
 
     asked = chunks.select("chunk", "flags", "sizes", "codes", "words", "n_words").mapInArrow(ask, "bucket int, chunk long, keys binary, counts binary")
-    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-pairs", ["kind"])
+    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-pairs", ["kind"], "none")
 
 
 def _summary(merged: DataFrame) -> tuple[int, list[int]]:
@@ -280,7 +280,7 @@ def _chunk_scores(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, big
     a = chunks.groupBy("chunk")
     b = replies.groupBy("of_chunk")
     schema = "kind string, bucket int, chunk long, ids array<long>, trains array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, keys binary, mass binary, seen binary, q_keys binary, q_docs binary, q_times binary"
-    return staged(a.cogroup(b).applyInArrow(run, schema), "katz-scores", ["kind"])
+    return staged(a.cogroup(b).applyInArrow(run, schema), "katz-scores", ["kind"], "none")
 
 
 _SCORED = pa.schema(
@@ -313,7 +313,7 @@ def _backoffs(sums: DataFrame) -> DataFrame:
                 out.append({"kind": "reply", "bucket": r["bucket"], "chunk": r["chunk"], "keys": None, "docs": squeeze(found.astype("<i4")), "adds": squeeze(sums_[found])})
         return pa.Table.from_pylist(out, schema=pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("adds", pa.binary())]))
 
-    return staged(sums.groupBy("bucket").applyInArrow(run, "kind string, bucket int, chunk long, keys binary, docs binary, adds binary"), "katz-backoffs", ["kind"])
+    return staged(sums.groupBy("bucket").applyInArrow(run, "kind string, bucket int, chunk long, keys binary, docs binary, adds binary"), "katz-backoffs", ["kind"], "none")
 
 
 def _release(spark) -> None:

@@ -105,7 +105,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, row_id: s
                 names=["part", "local_start", "doc_id", "n_tokens", "width", "ids"],
             )
 
-    return staged(docs.select(F.col(row_id).cast("long"), F.col(text).cast("string")).mapInArrow(encode, schema), "tokens")
+    return staged(docs.select(F.col(row_id).cast("long"), F.col(text).cast("string")).mapInArrow(encode, schema), "tokens", compression="zstd")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 0) -> DataFrame:
