@@ -33,6 +33,12 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.lattice import encode
+
+    return encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.licenses import scan_licenses
 
@@ -76,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_katz, op2_quality, op3_interleave, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, pipeline]
+    found = [op1_katz, op2_quality, op3_interleave, op4_pieces, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, pipeline]
     return {f.__name__: f for f in found}
 
 
