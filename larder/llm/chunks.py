@@ -41,6 +41,34 @@ def unsqueeze(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1) if len(raw) else np.zeros(0, dtype)
 
 
+def squeeze_codes(codes: np.ndarray, n: int) -> bytes:
+    """Word codes: one byte for the 255 most common, the others apart from them."""
+    common = np.argsort(-np.bincount(codes, minlength=n), kind="stable")[:255].astype("<i4")
+    short = np.full(n, 255, dtype=np.uint8)
+    short[common] = np.arange(len(common), dtype=np.uint8)
+    first = short[codes]
+    parts = [common.tobytes(), zstandard.compress(first.tobytes(), 1), squeeze(codes[first == 255].astype("<i4"))]
+    return np.array([len(x) for x in parts], dtype="<i8").tobytes() + b"".join(parts)
+
+
+def unsqueeze_codes(blob: bytes) -> np.ndarray:
+    a, b, c = np.frombuffer(blob[:24], dtype="<i8").tolist()
+    common = np.concatenate([np.frombuffer(blob[24 : 24 + a], dtype="<i4"), np.zeros(256, "<i4")])
+    first = np.frombuffer(zstandard.decompress(blob[24 + a : 24 + a + b]), dtype=np.uint8)
+    codes = common[first]
+    codes[first == 255] = unsqueeze(blob[24 + a + b : 24 + a + b + c], "<i4")
+    return codes
+
+
+def squeeze_values(x: np.ndarray) -> bytes:
+    """Numbers of which many repeat."""
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
+
+
+def unsqueeze_values(blob: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), dtype=dtype)
+
+
 def squeeze_sorted(x: np.ndarray) -> bytes:
     """Sorted 64-bit keys as differences."""
     return squeeze(np.diff(x, prepend=np.uint64(0)))
@@ -56,7 +84,7 @@ def hashes(words: list[str]) -> np.ndarray:
 
 def pack_words(words: list[str]) -> bytes:
     """Words joined by a character that none holds."""
-    return zstandard.compress("\n".join(words).encode("utf-8"), 1)
+    return zstandard.compress("\n".join(words).encode("utf-8"), 6)
 
 
 def unpack_words(blob: bytes, n: int) -> list[str]:
@@ -90,7 +118,7 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
             rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             codes = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32)
-            row = [[(part << 32) + number], [ids], [flags], [np.concatenate(sizes).tolist()], [squeeze(codes.astype("<i4"))], [pack_words([own[i] for i in order])], [len(own)]]
+            row = [[(part << 32) + number], [ids], [flags], [np.concatenate(sizes).tolist()], [squeeze_codes(codes, len(own))], [pack_words([own[i] for i in order])], [len(own)]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32()]
             ids, flags, sizes, flats, held = [], [], [], [], 0
             number += 1

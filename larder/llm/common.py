@@ -7,6 +7,7 @@ driver and all executors share, so a job survives the loss of any executor.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,7 +49,22 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, comp
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def remove(table: DataFrame, part: str = "") -> None:
+    """Delete a written table, or one partition folder of it, that nothing reads any more."""
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{table.staged_at}/{part}".rstrip("/"))
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of stages whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def lower_ascii(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -10,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.chunks import bucket_starts, chunk_table, hashes, lists, pack_words, squeeze, squeeze_sorted, training_flag, unpack_words, unsqueeze, unsqueeze_sorted
-from larder.llm.common import staged
+from larder.llm.chunks import bucket_starts, chunk_table, hashes, lists, pack_words, squeeze, squeeze_sorted, squeeze_values, training_flag, unpack_words, unsqueeze, unsqueeze_codes, unsqueeze_sorted, unsqueeze_values
+from larder.llm.common import release, remove, staged
 from larder.llm.setsketch import _mix
 from larder.llm.tokens import words
 
@@ -101,7 +100,7 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
             for i in range(batch.num_rows):
                 n = batch.column("n_words")[i].as_py()
                 own = unpack_words(batch.column("words")[i].as_py(), n)
-                codes = unsqueeze(batch.column("codes")[i].as_py(), "<i4")
+                codes = unsqueeze_codes(batch.column("codes")[i].as_py())
                 train = np.repeat(lists(batch, i, "flags"), lists(batch, i, "sizes"))
                 counts = np.bincount(codes[train], minlength=n)
                 starts = bucket_starts(hashes(own), buckets)
@@ -157,7 +156,7 @@ class _Chunk:
     def __init__(self, row: dict, sizes: np.ndarray, flags: np.ndarray):
         self.n = row["n_words"]
         self.words = hashes(unpack_words(row["words"], self.n))
-        self.codes = unsqueeze(row["codes"], "<i4")
+        self.codes = unsqueeze_codes(row["codes"])
         self.sizes, self.flags = sizes, flags
         pairs = _pairs(self.codes, sizes, self.n)
         order = np.argsort(pairs, kind="stable").astype(np.int32)
@@ -274,7 +273,7 @@ def _chunk_scores(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, big
         for b in range(buckets):
             g, q = given[gs[b] : gs[b + 1]], slice(ns[b], ns[b + 1])
             if len(g) or ns[b + 1] > ns[b]:
-                out.append({"kind": "sums", "bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(h_hash[g]), "mass": squeeze(mass[g]), "seen": squeeze(seen[g]), "q_keys": squeeze_sorted(n_hash[q]), "q_docs": squeeze(n_doc[q].astype("<i4")), "q_times": squeeze(times[q].astype("<i4"))})
+                out.append({"kind": "sums", "bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(h_hash[g]), "mass": squeeze_values(mass[g]), "seen": squeeze_values(seen[g]), "q_keys": squeeze_sorted(n_hash[q]), "q_docs": squeeze(n_doc[q].astype("<i4")), "q_times": squeeze(times[q].astype("<i4"))})
         return pa.Table.from_pylist(out, schema=_SCORED)
 
     a = chunks.groupBy("chunk")
@@ -300,8 +299,8 @@ def _backoffs(sums: DataFrame) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         keys = np.concatenate([unsqueeze_sorted(r["keys"]) for r in rows])
         distinct, place = np.unique(keys, return_inverse=True)
-        mass = np.bincount(place, weights=np.concatenate([unsqueeze(r["mass"], "<f8") for r in rows]), minlength=len(distinct))
-        seen = np.bincount(place, weights=np.concatenate([unsqueeze(r["seen"], "<f8") for r in rows]), minlength=len(distinct))
+        mass = np.bincount(place, weights=np.concatenate([unsqueeze_values(r["mass"], "<f8") for r in rows]), minlength=len(distinct))
+        seen = np.bincount(place, weights=np.concatenate([unsqueeze_values(r["seen"], "<f8") for r in rows]), minlength=len(distinct))
         weight = np.log10(mass) - np.log10(1 - seen)
         out = [{"kind": "table", "bucket": rows[0]["bucket"], "chunk": None, "keys": squeeze_sorted(distinct), "docs": None, "adds": squeeze(weight)}]
         for r in rows:
@@ -316,12 +315,6 @@ def _backoffs(sums: DataFrame) -> DataFrame:
     return staged(sums.groupBy("bucket").applyInArrow(run, "kind string, bucket int, chunk long, keys binary, docs binary, adds binary"), "katz-backoffs", ["kind"], "none")
 
 
-def _release(spark) -> None:
-    """Let the driver drop the shuffle files of stages whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Katz bigram scores of all texts, learnt from those whose crc32(id) mod 7 is not 2.
 
@@ -355,14 +348,17 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
         n_types += 1
         if n_train <= K + 1:
             of_words[n_train] += 1
-    _release(spark)
+    release(spark)
     pair_table = _pair_counts(chunks, pair_buckets)
     _, of_pairs = _summary(pair_table)
-    _release(spark)
+    release(spark)
     unigrams, bigrams = Unigrams(n_tokens, n_types, of_words), Discount(of_pairs)
     answers = [m.filter("kind = 'reply'").select(F.col("chunk").alias("of_chunk"), F.lit(what).alias("what"), "bucket", "values") for m, what in ((word_table, "words"), (pair_table, "pairs"))]
     scored = _chunk_scores(chunks, answers[0].union(answers[1]), unigrams, bigrams, n_train, word_buckets)
-    _release(spark)
+    remove(chunks)
+    for table in (word_table, pair_table):
+        remove(table, "kind=reply")
+    release(spark)
     weights = _backoffs(scored.filter("kind = 'sums'").select("bucket", "chunk", "keys", "mass", "seen", "q_keys", "q_docs", "q_times"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.chunks import bucket_starts, chunk_table, hashes, lists, pack_words, squeeze, unpack_words, unsqueeze
-from larder.llm.common import staged
+from larder.llm.chunks import bucket_starts, chunk_table, hashes, lists, pack_words, squeeze, unpack_words, unsqueeze, unsqueeze_codes
+from larder.llm.common import release, staged
 
 SPACE, LINE = "▁", ""
 #: Longer words are folded by the same recursion outside the lattice table.
@@ -185,6 +185,8 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
     words = asked.groupBy("bucket").applyInArrow(distinct, "bucket int, place int, word string")
     best = staged(lattice(words, model.table(spark), model.penalty, model.longest, max(8, 4 * buckets)), "lattice")
 
+    release(spark)
+
     def reply(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, own, place = _merged(left.to_pylist())
         sizes = np.full(len(own), -1, dtype=np.int32)
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         long_ids = np.concatenate([np.zeros(0, "<u4"), *spelled])
         count = np.array([len(x) for x in spelled], dtype=np.int64)
         first = np.cumsum(count) - count
-        codes = unsqueeze(batch.column("codes")[0].as_py(), "<i4")
+        codes = unsqueeze_codes(batch.column("codes")[0].as_py())
         doc_ids = batch.column("doc_ids")[0].as_py()
         at, rows = 0, []
         for k in lists(batch, 0, "sizes").tolist():
