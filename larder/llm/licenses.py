@@ -132,7 +132,10 @@ def _spaced(pattern: str) -> str:
 
 def _keyword(pattern: str) -> str:
     """The longest literal run of letters a pattern cannot match without."""
-    flat = re.sub(r"\(\?:[^()]*\)\??", " ", re.sub(r"\\.|\[[^\]]*\]\??|.\?", " ", pattern.replace("licen[sc]e", "licen#")))
+    flat, before = pattern.replace("licen[sc]e", "licen#"), ""
+    while flat != before:  # groups may be optional or alternatives, innermost first
+        flat, before = re.sub(r"\(\?:[^()]*\)\??", " ", flat), flat
+    flat = re.sub(r"\\.|\[[^\]]*\]\??|.\?", " ", flat)
     runs = [r for r in re.findall(r"[a-z0-9]+#?", flat) if r]
     named = [r.removesuffix("#") for r in runs if r != "licen#"]
     return max(named or ["licen"], key=len)

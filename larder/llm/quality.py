@@ -18,7 +18,8 @@ SUPPORT, STEPS = 0.75, 6
 #: Rows are rejected beyond this squared distance: the chi-square quantile of 4 degrees
 #: of freedom at 0.999.
 CUTOFF = 18.467
-#: Smaller groups give no estimate of their own; their rows pass the outlier rule.
+#: Smaller groups are pooled, by language first; rows of a pool that is still smaller
+#: pass the outlier rule.
 LEAST_ROWS = 20
 #: Every statistic has at least this deviation in every group, so that rates which are
 #: zero in nearly all texts do not make one symbol an outlier.
@@ -175,19 +176,33 @@ def robust_groups(rows: DataFrame) -> DataFrame:
     return groups
 
 
+def _groups_of(rows: DataFrame) -> DataFrame:
+    """(_pair, _group): a pair of language and source, or what its rows are pooled with.
+
+    Pairs under LEAST_ROWS are pooled by language, languages that are then still too
+    small all together. One row a pair.
+    """
+    sizes = rows.groupBy("_pair", "_lang").agg(F.count(F.lit(1)).alias("_n"))
+    small = F.col("_n") < LEAST_ROWS
+    pooled = F.sum(F.when(small, F.col("_n"))).over(Window.partitionBy("_lang"))
+    group = F.when(~small, F.concat(F.lit("p"), "_pair")).when(pooled >= LEAST_ROWS, F.concat(F.lit("l"), "_lang")).otherwise("rest")
+    return staged(sizes.select("_pair", group.alias("_group")), "quality-groups")
+
+
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Base counts, base verdict, robust distance and verdict of every row.
 
-    Groups are pairs of language and source; null is a value of its own. Estimates rest
-    on rows that pass the base rules. base_failed: fewer than 20 words, or more than
+    Groups are pairs of language and source (see _groups_of for small ones); null is a
+    value of its own. Estimates rest on rows that pass the base rules. base_failed: fewer than 20 words, or more than
     30 % of words in repeated windows. kept: not base_failed and within CUTOFF of the
     group's robust estimate (rows of groups under LEAST_ROWS pass). Null text counts as
     empty and fails; repeated rows are judged alike; an empty table gives no rows.
     """
     keep = keep or ["doc_id"]
-    group = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in ("lang", "source")))
-    rows = staged(text_statistics(docs.withColumn("_group", group), [*keep, "_group"]), "quality")
+    lang, source = (F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in ("lang", "source"))
+    rows = staged(text_statistics(docs.withColumn("_lang", lang).withColumn("_pair", F.concat_ws("\x01", lang, source)), [*keep, "_lang", "_pair"]), "quality")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    rows = rows.join(_groups_of(rows.filter(~F.col("base_failed"))), "_pair", "left")
     groups = robust_groups(rows.filter(~F.col("base_failed")))
     measured = _with_distance(rows, groups.filter(F.col("n_rows") >= LEAST_ROWS), "left")
     return measured.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).select(
