@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import crc_mod, staged
+from larder.llm.common import bucketed, crc_mod, staged
 from larder.llm.tokens import slices
 
 CHUNK_TOKENS = 1_200_000
@@ -97,8 +97,8 @@ def bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], flag, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encoded documents: a row a chunk, written once.
+def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], flag, row_id: str = "doc_id", text: str = "text", by_chunk: bool = False) -> DataFrame:
+    """Encoded documents: a row a chunk, written once, in buckets of chunks if wanted.
 
     words_of gives the words of an Arrow text column and each text's count; words may
     not hold line feeds. flag is a boolean column kept for each document.
@@ -137,7 +137,8 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
         if ids:
             yield flush()
 
-    return staged(docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA), "chunks", compression="none")
+    chunks = docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA)
+    return bucketed(chunks, "chunk", "chunks") if by_chunk else staged(chunks, "chunks", compression="none")
 
 
 def training_flag(row_id: str = "doc_id"):

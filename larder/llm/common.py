@@ -54,6 +54,20 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, comp
     return back
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """staged, but as an external table in buckets of key: grouping by key reads it in place.
+
+    As many buckets as the session has shuffle partitions; rows are large blobs, so no
+    codec and at most a file a row.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "larder_" + path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def remove(table: DataFrame, part: str = "") -> None:
     """Delete a written table, or one partition folder of it, that nothing reads any more."""
     jvm = table.sparkSession.sparkContext._jvm

@@ -1,14 +1,21 @@
-"""SentencePiece encoding and decoding over a relational lattice of distinct words."""
+"""SentencePiece encoding and decoding over a relational lattice of distinct words.
+
+The words of the lattice are texts cut wherever two neighbouring characters stand together
+in no piece. No edge can cross such a place, so the best paths of the parts make up the
+best path of the whole, and far fewer distinct words remain than between spaces.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +29,13 @@ MAX_WORD = 48
 UNKNOWN = 10.0
 #: Rank at which the probabilities of a merge model's pieces begin to fall.
 SHIFT = 300.0
+GRID = 2**30
 WORDS_A_BUCKET = 400_000
 #: A piece table is broadcast; more pieces than this are refused.
 MAX_PIECES = 1_000_000
 _WORD = re.compile(f"{LINE}|{SPACE}+[^{SPACE}{LINE}]*|[^{SPACE}{LINE}]+")
+#: Characters with a class of their own in the table of pairs; others never part words.
+MAX_CLASSES = 8192
 
 
 def _log_p(scores: list[float]) -> list[float]:
@@ -56,11 +66,29 @@ class Pieces:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         own = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unknown_id = sp.unk_id()
-        self.ids = {self.text[i]: (i, s) for i, s in zip(own, _log_p([float(sp.get_score(i)) for i in own]), strict=True)}
+        #: Scores are multiples of 1 / GRID, so sums are exact: ties are ties in any order of adding.
+        self.ids = {self.text[i]: (i, round(s * GRID) / GRID) for i, s in zip(own, _log_p([float(sp.get_score(i)) for i in own]), strict=True)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that cross words are not supported")
         self.longest = max(map(len, self.ids))
         self.penalty = min(s for _, s in self.ids.values()) - UNKNOWN
+        self.of_char, self.together = self._pairs()
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every character, and which classes stand together in a piece.
+
+        Class 0 has the characters that are in no pair, the last one all beyond
+        MAX_CLASSES. Marks of spaces stay together.
+        """
+        pairs = {(SPACE, SPACE)} | {(p[i], p[i + 1]) for p in self.ids for i in range(len(p) - 1)}
+        often = [c for c, _ in Counter(c for pair in pairs for c in pair).most_common()]
+        of = {c: min(k + 1, MAX_CLASSES) for k, c in enumerate(often)}
+        of_char = np.zeros(0x110000, dtype=np.uint16)
+        of_char[[ord(c) for c in of]] = list(of.values())
+        together = np.zeros((max(of.values()) + 1,) * 2, dtype=bool)
+        together[[of[a] for a, _ in pairs], [of[b] for _, b in pairs]] = True
+        together[MAX_CLASSES:, 1:] = together[1:, MAX_CLASSES:] = True
+        return of_char, together
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(p, i, s) for p, (i, s) in self.ids.items()], "piece string, id int, score double")
@@ -105,13 +133,27 @@ def pieces(path: str) -> Pieces:
 
 
 def split(text: str) -> list[str]:
-    """Words of a text: spaces are marks before words, one is added in front."""
+    """Words between spaces, uncut: what n_words counts, and what split_column must agree with."""
     return _WORD.findall(SPACE + text.replace(" ", SPACE).replace("\n", LINE)) if text else []
 
 
-def split_column(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    found = [split(x or "") for x in texts.to_pylist()]
-    return pa.array([w for one in found for w in one], pa.large_string()), np.array([len(one) for one in found], dtype=np.int64)
+def split_column(model: Pieces, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lattice words of texts, and how many each has.
+
+    Spaces are marks before words, and one is added in front. Null or empty text has none.
+    """
+    marked = [SPACE + x.replace(" ", SPACE).replace("\n", LINE) if x else "" for x in texts.to_pylist()]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4")
+    ends = np.cumsum([len(x) for x in marked]).astype(np.int64)
+    kinds = model.of_char[points]
+    first = np.ones(len(points), dtype=bool)
+    first[1:] = ~model.together[kinds[:-1], kinds[1:]]
+    first[np.concatenate([[0], ends])[:-1][np.diff(ends, prepend=0) > 0]] = True
+    widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+    starts = np.flatnonzero(first)
+    offsets = np.concatenate([(np.cumsum(widths, dtype=np.int64) - widths)[starts], [int(widths.sum(dtype=np.int64))]])
+    flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer("".join(marked).encode("utf-8"))])
+    return flat, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def lattice(words: DataFrame, table: DataFrame, penalty: float, longest: int, partitions: int) -> DataFrame:
@@ -142,6 +184,16 @@ def lattice(words: DataFrame, table: DataFrame, penalty: float, longest: int, pa
     return grouped.withColumn("best", F.expr(best)).select("bucket", "place", F.expr(back).alias("ids"))
 
 
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of all runs, one run after the other."""
+    lengths = lengths.astype(np.int64)
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def texts_of(model: Pieces) -> pa.Array:
+    return pa.array(model.text, pa.large_string())
+
+
 def _merged(rows: list[dict]) -> tuple[list[dict], list[str], np.ndarray]:
     """A bucket's requests in order, its distinct words, and each request word's place."""
     rows = sorted(rows, key=lambda r: r["chunk"])
@@ -160,8 +212,8 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
     no pieces; a null id stays; repeated rows repeat.
     """
     model = pieces(model_path)
-    chunks = chunk_table(docs, split_column, F.lit(True).alias("_flag"), row_id, text)
     spark = docs.sparkSession
+    chunks = chunk_table(docs, lambda texts: split_column(pieces(model_path), texts), F.lit(True).alias("_flag"), row_id, text, by_chunk=True)
     total = chunks.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(total / WORDS_A_BUCKET))
 
@@ -200,8 +252,7 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         for r in rows:
             mine = place[start : start + r["n"]]
             start += r["n"]
-            many = np.maximum(sizes[mine], 0)
-            index = np.repeat(offset[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+            index = runs(offset[mine], np.maximum(sizes[mine], 0))
             out.append({"to": r["chunk"], "bucket": r["bucket"], "sizes": squeeze(sizes[mine].astype("<i4")), "ids": squeeze(flat[index].astype("<i4"))})
         return pa.Table.from_pylist(out, schema=pa.schema([("to", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())]))
 
@@ -218,30 +269,36 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         none = np.zeros(0, np.int32)
         sizes = np.concatenate([none, *(unsqueeze(r["sizes"], "<i4") for r in rest)])
         flat = np.concatenate([none, *(unsqueeze(r["ids"], "<i4") for r in rest)])
-        ends = np.cumsum(np.maximum(sizes, 0))
         bytes_of = set(m.bytes.values())
-        spelled, byte_count, good = [], np.zeros(n, np.int64), np.zeros(n, bool)
-        for i, w in enumerate(own):
-            ids = m.fold(w) if sizes[i] < 0 else flat[ends[i] - sizes[i] : ends[i]].tolist()
-            if min(ids, default=0) < 0:
-                ids = m.spelled(ids)
-                byte_count[i] = sum(x in bytes_of for x in ids)
-                good[i] = m.decode(ids) == w.replace(LINE, "\n").replace(SPACE, " ").removeprefix(" ")
-            else:
-                good[i] = "".join(m.text[x] for x in ids) == w
-            spelled.append(np.array(ids, dtype="<u4"))
-        long_ids = np.concatenate([np.zeros(0, "<u4"), *spelled])
-        count = np.array([len(x) for x in spelled], dtype=np.int64)
+        held = np.maximum(sizes, 0).astype(np.int64)
+        begin = np.cumsum(held) - held
+        odd = sizes < 0
+        odd[np.repeat(np.arange(n), held)[flat < 0]] = True
+        plain = np.flatnonzero(~odd)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([begin, [len(flat)]]), texts_of(m).take(pa.array(np.maximum(flat, 0)))), pa.scalar("", pa.large_string()))
+        good = pc.equal(joined, pa.array(own, pa.large_string())).to_numpy(zero_copy_only=False)
+        count, byte_count, spelled = held.copy(), np.zeros(n, np.int64), {}
+        for i in np.flatnonzero(odd).tolist():
+            ids = m.spelled(m.fold(own[i]) if sizes[i] < 0 else flat[begin[i] : begin[i] + held[i]].tolist())
+            spelled[i], count[i] = ids, len(ids)
+            byte_count[i] = sum(x in bytes_of for x in ids)
+            good[i] = m.decode(ids) == own[i].replace(LINE, "\n").replace(SPACE, " ").removeprefix(" ")
         first = np.cumsum(count) - count
+        long_ids = np.zeros(int(count.sum()), dtype="<u4")
+        long_ids[runs(first[plain], held[plain])] = flat[runs(begin[plain], held[plain])]
+        for i, ids in spelled.items():
+            long_ids[first[i] : first[i] + count[i]] = ids
         codes = unsqueeze_codes(batch.column("codes")[0].as_py())
         doc_ids = batch.column("doc_ids")[0].as_py()
+        line, mark = (np.array([w.startswith(c) for w in own], dtype=bool) for c in (LINE, SPACE))
         at, rows = 0, []
         for k in lists(batch, 0, "sizes").tolist():
             mine = codes[at : at + k]
             at += k
             many = count[mine]
-            index = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum())) if k else np.zeros(0, np.int64)
-            rows.append((k, int(many.sum()), int(byte_count[mine].sum()), zlib.crc32(long_ids[index].tobytes()), bool(good[mine].all())))
+            heads = line[mine] | mark[mine]
+            heads[1:] |= line[mine[:-1]]
+            rows.append((int(heads.sum()), int(many.sum()), int(byte_count[mine].sum()), zlib.crc32(long_ids[runs(first[mine], many)].tobytes()), bool(good[mine].all())))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], names=[f.split()[0] for f in schema.split(", ")])
 
