@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.chunks import bucket_starts, chunk_table, hashes, lists, pack_words, squeeze, unpack_words, unsqueeze, unsqueeze_codes
+from larder.llm.chunks import chunk_table, dealt, lists, pack_words, squeeze, unpack_words, unsqueeze, unsqueeze_codes
 from larder.llm.common import release, staged
 
 SPACE, LINE = "▁", ""
@@ -222,7 +222,8 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
             for i in range(batch.num_rows):
                 n = batch.column("n_words")[i].as_py()
                 own = unpack_words(batch.column("words")[i].as_py(), n)
-                starts = bucket_starts(hashes(own), buckets)
+                order, starts = dealt(own, buckets)
+                own = [own[k] for k in order.tolist()]
                 chunk = batch.column("chunk")[i].as_py()
                 rows = [{"bucket": b, "chunk": chunk, "words": pack_words(own[s:e]), "n": int(e - s)} for b, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("n", pa.int32())]))
@@ -270,16 +271,18 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         sizes = np.concatenate([none, *(unsqueeze(r["sizes"], "<i4") for r in rest)])
         flat = np.concatenate([none, *(unsqueeze(r["ids"], "<i4") for r in rest)])
         bytes_of = set(m.bytes.values())
-        held = np.maximum(sizes, 0).astype(np.int64)
-        begin = np.cumsum(held) - held
-        odd = sizes < 0
-        odd[np.repeat(np.arange(n), held)[flat < 0]] = True
+        order, _ = dealt(own, buckets)
+        lengths = np.maximum(sizes, 0).astype(np.int64)
+        ends = np.cumsum(lengths)
+        held, begin, odd, good = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+        held[order], begin[order], odd[order] = lengths, ends - lengths, sizes < 0
+        odd[np.repeat(order, lengths)[flat < 0]] = True
         plain = np.flatnonzero(~odd)
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([begin, [len(flat)]]), texts_of(m).take(pa.array(np.maximum(flat, 0)))), pa.scalar("", pa.large_string()))
-        good = pc.equal(joined, pa.array(own, pa.large_string())).to_numpy(zero_copy_only=False)
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), texts_of(m).take(pa.array(np.maximum(flat, 0)))), pa.scalar("", pa.large_string()))
+        good[order] = pc.equal(joined, pa.array(own, pa.large_string()).take(pa.array(order))).to_numpy(zero_copy_only=False)
         count, byte_count, spelled = held.copy(), np.zeros(n, np.int64), {}
         for i in np.flatnonzero(odd).tolist():
-            ids = m.spelled(m.fold(own[i]) if sizes[i] < 0 else flat[begin[i] : begin[i] + held[i]].tolist())
+            ids = m.spelled(flat[begin[i] : begin[i] + held[i]].tolist() or m.fold(own[i]))
             spelled[i], count[i] = ids, len(ids)
             byte_count[i] = sum(x in bytes_of for x in ids)
             good[i] = m.decode(ids) == own[i].replace(LINE, "\n").replace(SPACE, " ").removeprefix(" ")
