@@ -104,3 +104,18 @@ BAD_HOST_FRAGMENTS = [
 TIKTOK_HOSTS = ["tiktok.com", "www.tiktok.com", "m.tiktok.com", "vm.tiktok.com", "vt.tiktok.com"]
 INVALID_URL_CODES = ["INVALID_PUBLIC_VIDEO_URL", "UNSUPPORTED_PUBLIC_VIDEO_PLATFORM", "UNSUPPORTED_INSTAGRAM_PATH", "INVALID_TIKTOK_URL", "INVALID_TIKTOK_PROTOCOL", "UNSUPPORTED_TIKTOK_HOST"]
 UNAVAILABLE_CODES = ["PUBLIC_VIDEO_NOT_FOUND", "PUBLIC_VIDEO_NO_RECIPE_FOUND", "TIKTOK_CAPTION_UNAVAILABLE", "TIKTOK_OEMBED_FAILED"]
+# Where pages keep captions: metas, then patterns of scripts, with their sources.
+CAPTION_METAS = [("property=og:description", "og-description"), ("name=description", "meta-description"), ("name=twitter:description", "twitter-description")]
+CAPTION_SCRIPTS = [
+    ("script-caption", r'"caption"\s*:\s*\{\s*"text"\s*:\s*"((?:\\.|[^"\\])*)"'),
+    ("script-caption-text", r'"caption_text"\s*:\s*"((?:\\.|[^"\\])*)"'),
+    ("script-edge-caption", r'"edge_media_to_caption"\s*:\s*\{[\s\S]{0,1600}?"text"\s*:\s*"((?:\\.|[^"\\])*)"'),
+]
+LONGEST_CAPTION_SCRIPT = 5_000_000
+# Where pages keep media.
+MEDIA_METAS = ["og:video", "og:video:url", "og:video:secure_url", "twitter:player:stream"]
+SCRIPT_URL = r"""(?i)https?:\\?/\\?/[^"'\\\s<>]+"""
+LONGEST_MEDIA_SCRIPT = 3_000_000
+# Sources of a video's title, and names that name no recipe.
+TITLE_SOURCES = ["visible", "spoken", "visible-and-spoken", "unknown"]
+GENERIC_NAMES = ["", "imported recipe", "saved recipe", "screenshot recipe", "recipe"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as t
 from larder.functions import urls as u
 from larder.functions import vocab as v
-from larder.operators import captions, classify, jsonld, pages
+from larder.operators import captions, classify, evidence, jsonld, pages
 from larder.plans import recipes
 from larder.sources import rows, table
 
@@ -257,3 +257,126 @@ PINS = """(1, 'x "link":"https:\\\\/\\\\/blog.com\\\\/recipe?utm_source=p" href=
 @query("pin_links", "SELECT * FROM (VALUES (1, NULL, 'https://blog.com/recipe'), (2, 'https://www.pinterest.com/pin/42/', NULL), (3, 'https://www.pinterest.com/pin/7/', NULL), (4, NULL, NULL)) AS t(id, pin, best)")
 def pin_links(spark, sf):
     return rows(spark, PINS, "id, html, url").select("id", u.pin_url(F.col("html"), F.col("url")).alias("pin"), u.best_external(u.external_candidates(F.col("html"))).alias("best"))
+
+
+@query("link_evidence", f"SELECT page_id, {DECODED} AS title, '' AS canonical_url, '' AS og_title, '' AS description, '' AS image_url, '' AS oembed_url FROM pages")
+def link_evidence(spark, sf):
+    return evidence.link_evidence(table(spark, sf, "pages")).withColumn("title", t.clean_text(F.col("title")))
+
+
+SOCIAL_PAGES = """(1, 'https://x.com/a/b', '<head><meta property="og:description" content="Soup &amp; more"><meta name="description" content=""><meta name="og:video" content="no"><meta property="og:video" content="https://v/1.mp4"><meta name="twitter:player:stream" content="https://v/2"><title>T</title></head>
+<body><main>Top<article><p>Stir  well</p><script>var a = {"caption": {"text": "One A"}, "caption_text":"Two", "video_url":"https://v/s.mp4"};</script>Serve</article></main><video src="/c.mp4"><source src="d.mp4" type="video/mp4"></video></body>'),
+(2, 'https://x.com/', '<script>{"edge_media_to_caption":{"edges":[{"node":{"text":"Three"}}]}}</script><script>other "caption_text" : "Four"</script>'), (3, 'https://x.com/', ''), (4, NULL, NULL), (5, 'https://x.com/', '<p>nothing</p><script>x</script>')"""
+
+
+@query(
+    "caption_evidence",
+    """SELECT * FROM (VALUES (1, 0, 'og-description', 'Soup & more'), (1, 1, 'article-text', 'Stir well|Serve'), (1, 2, 'main-text', 'Top|Stir well|Serve'), (1, 3, 'script-caption', 'One A'),
+    (1, 4, 'script-caption-text', 'Two'), (2, 0, 'script-edge-caption', 'Three'), (2, 1, 'script-caption-text', 'Four')) AS t(page_id, ord, source, text)""",
+)
+def caption_evidence(spark, sf):
+    return evidence.caption_candidates(rows(spark, SOCIAL_PAGES, "page_id, url, html")).withColumn("text", F.replace("text", F.lit("\n"), F.lit("|")))
+
+
+@query(
+    "media_evidence",
+    """SELECT * FROM (VALUES (1, 0, 'https://v/1.mp4', 'og:video', ''), (1, 1, 'https://v/2', 'twitter:player:stream', ''), (1, 2, 'https://x.com/c.mp4', 'video-1-src', ''),
+    (1, 3, 'https://x.com/a/d.mp4', 'video-1-source-1', 'video/mp4'), (1, 4, 'https://v/s.mp4', 'page-script', '')) AS t(page_id, ord, url, source, content_type)""",
+)
+def media_evidence(spark, sf):
+    return evidence.media_evidence(rows(spark, SOCIAL_PAGES, "page_id, url, html"))
+
+
+REPLIES = """(1, '{"hasRecipeContent":true,"title":" Stew ","titleSource":"spoken","visibleRecipeText":" 1 cup rice","warnings":["a"," ",null],"possibleMissingContent":false}'),
+(2, 'Here: {"hasRecipeContent":"yes","titleSource":"guess","ingredientsAppearComplete":true} done'), (3, ''), (4, NULL), (5, 'no json')"""
+
+
+@query(
+    "video_evidence",
+    """SELECT * FROM (VALUES (1, true, 'Stew', 'spoken', '1 cup rice', false, false, false, 'a'), (2, false, '', 'unknown', '', true, false, true, ''), (3, false, '', 'unknown', '', false, false, true, ''),
+    (4, false, '', 'unknown', '', false, false, true, ''), (5, false, '', 'unknown', '', false, false, true, '')) AS t(id, content, title, title_source, visible, complete_a, complete_b, missing, warnings)""",
+)
+def video_evidence(spark, sf):
+    e = rows(spark, REPLIES, "id, raw").withColumn("e", evidence.video_evidence(F.col("raw")))
+    return e.select("id", F.col("e.has_recipe_content").alias("content"), "e.title", "e.title_source", F.col("e.visible_recipe_text").alias("visible"), F.col("e.ingredients_appear_complete").alias("complete_a"), F.col("e.instructions_appear_complete").alias("complete_b"), F.col("e.possible_missing_content").alias("missing"), F.array_join("e.warnings", ",").alias("warnings"))
+
+
+def parsed(name: str, ingredients: str, instructions: str) -> str:
+    return f"named_struct('name', '{name}', 'ingredients', array({ingredients}), 'instructions', array({instructions}))"
+
+
+SHOTS = f"""(1, 'Seen', 'Given', {parsed("Parsed", "'a '", "'b'")}, true, true), (2, '', 'Given', {parsed("Parsed", "'a'", "''")}, true, true), (3, '', '', {parsed(" Pie", "''", "''")}, NULL, true),
+(4, NULL, NULL, {parsed("Recipe", "'a'", "'b'")}, true, false), (5, NULL, NULL, NULL, NULL, NULL)"""
+
+
+@query(
+    "import_screenshots",
+    """SELECT * FROM (VALUES (1, 'Seen', 'visible-in-screenshot', 'a', 'b', 'full'), (2, 'Given', 'source-metadata', 'a', '', 'partial'), (3, 'Pie', 'ai-inferred-from-visible-text', '', '', 'metadata-only'),
+    (4, 'Screenshot Recipe', 'fallback', 'a', 'b', 'partial'), (5, 'Screenshot Recipe', 'fallback', '', '', 'metadata-only')) AS t(shot_id, name, title_source, ingredients, instructions, success_level)""",
+)
+def import_screenshots(spark, sf):
+    out = recipes.import_screenshots(rows(spark, SHOTS, "shot_id, visible_title, given_title, parsed, complete_a, complete_b"))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("ingredients", "instructions")})
+
+
+LAYERS = f"""(1, 'cap', {parsed("A", "'a'", "'b'")}, NULL, NULL, ''), (2, 'cap', {parsed("A", "'a'", "''")}, 'vid', {parsed("B", "'c'", "'d'")}, 'V'), (3, '', NULL, 'vid', {parsed("", "'c'", "''")}, 'V'),
+(4, 'cap', {parsed("A", "'a'", "''")}, NULL, NULL, NULL), (5, NULL, NULL, NULL, NULL, NULL), (6, ' ', NULL, '', NULL, NULL)"""
+
+
+@query(
+    "import_layers",
+    """SELECT * FROM (VALUES (1, 'caption-first-full', 'A', 'a', 'b', 'full', 'Instagram caption:|cap'), (2, 'caption-and-video', 'B', 'c', 'd', 'full', 'Instagram caption:|cap||Video evidence:|vid'),
+    (3, 'video-only', 'V', 'c', '', 'partial', 'Video evidence:|vid'), (4, 'caption-only-video-unavailable', 'A', 'a', '', 'partial', 'Instagram caption:|cap'),
+    (5, 'video-unavailable', 'Imported Video Recipe', '', '', 'no-recipe-found', ''), (6, 'video-only', 'Imported Video Recipe', '', '', 'no-recipe-found', '')) AS t(post_id, path, name, ingredients, instructions, success_level, evidence)""",
+)
+def import_layers(spark, sf):
+    out = recipes.import_layers(rows(spark, LAYERS, "post_id, caption, from_caption, video, from_both, video_title"))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("ingredients", "instructions")}).withColumn("evidence", F.replace("evidence", F.lit("\n"), F.lit("|")))
+
+
+@query(
+    "import_captions",
+    """SELECT * FROM (VALUES (1, 'A', 'a', 'b', 'full', ''), (2, 'A', 'a', '', 'partial', 'incomplete'), (3, '', '', '', 'no-recipe-found', 'incomplete'), (4, 'A', 'a', '', 'partial', 'incomplete'),
+    (5, '', '', '', 'no-recipe-found', 'incomplete'), (6, '', '', '', 'no-recipe-found', 'incomplete')) AS t(post_id, name, ingredients, instructions, success_level, warning)""",
+)
+def import_captions(spark, sf):
+    out = recipes.import_captions(rows(spark, LAYERS, "post_id, caption, from_caption, video, from_both, video_title"))
+    return out.withColumns({c: F.array_join(c, "|") for c in ("ingredients", "instructions")})
+
+
+RESULTS = """(1, true, false, 'Ana on Instagram', 'Easy Chicken Tacos recipe. Follow for more', '', 'https://www.instagram.com/p/1/', array('a'), array()), (2, true, true, 'Kept', '', '', 'https://www.instagram.com/p/2/', array(), array()),
+(3, true, false, 'Kept too', '', '', 'https://blog.com/x', array(), array()), (4, true, false, 'Full', '', '', 'https://www.tiktok.com/x', array('a'), array('b')), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (6, true, NULL, '', '', '', 'https://www.tiktok.com/y', NULL, NULL)"""
+
+
+@query(
+    "social_titles",
+    "SELECT * FROM (VALUES (1, 'Easy Chicken Tacos recipe', true), (2, 'Kept', false), (3, 'Kept too', false), (4, 'Full', false), (5, NULL, false), (6, 'TikTok Recipe', true)) AS t(post_id, name, cleaned)",
+)
+def social_titles(spark, sf):
+    found = rows(spark, RESULTS, "post_id, success, rescued, name, description, fallback_text, source_url, ingredients, instructions")
+    return recipes.social_titles(found).select("post_id", "name", "cleaned")
+
+
+UPLOADS = "(1, 'VIDEO/MP4', 'x'), (2, 'application/octet-stream', 'Clip.MOV'), (3, '', 'a.webm'), (4, 'image/png', 'a.mp4'), (5, NULL, NULL)"
+
+
+@query("upload_types", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, false)) AS t(id, allowed)")
+def upload_types(spark, sf):
+    return rows(spark, UPLOADS, "id, mime, name").select("id", classify.allowed_upload(F.col("mime"), F.col("name")).alias("allowed"))
+
+
+@query(
+    "page_fallbacks",
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'rendered' ELSE 'fast' END AS side, CASE WHEN page_id % 3 = 0 THEN 'partial' ELSE 'full' END AS success_level FROM pages",
+)
+def page_fallbacks(spark, sf):
+    ids = table(spark, sf, "pages").select("page_id", F.lit(False).alias("blocked"))
+    fast = ids.select("*", F.lit("fast").alias("side"), F.when(F.col("page_id") % 3 == 0, "metadata-only").otherwise("full").alias("success_level"))
+    rendered = ids.select("*", F.lit("rendered").alias("side"), F.lit("partial").alias("success_level"))
+    return recipes.rendered_over_fast(fast, rendered).select("page_id", "side", "success_level")
+
+
+@query("escaped_fields", "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN '' ELSE 'x' END AS field FROM documents")
+def escaped_fields(spark, sf):
+    html = F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.concat(F.lit('{"Owner":"\\u0078","n":1} '), F.replace("text", F.lit('"'), F.lit("")))).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", evidence.escaped_json_string(html, "owner").alias("field"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as t
 from larder.functions import urls as u
 from larder.functions import vocab as v
-from larder.operators import captions, classify, jsonld, pages
+from larder.operators import captions, classify, evidence, jsonld, pages
 
 #: A cleanup step between parse and normalisation, e.g. a model behind mapInPandas; rows
 #: in and out have the columns of raw recipes. The default changes nothing.
@@ -130,15 +130,73 @@ def import_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_c", classify.caption_sections(F.col("text"))).select("doc_id", "_c.name", "_c.ingredients", "_c.instructions", F.lit("full").alias("success_level"))
 
 
-def import_videos(evidence: DataFrame, parsed: DataFrame) -> DataFrame:
+def import_videos(shown: DataFrame, parsed: DataFrame) -> DataFrame:
     """Video evidence with its parsed recipe: full if both lists are there, else partial."""
-    e = evidence.withColumn("usable", classify.substantive(F.col("has_recipe_content"), F.col("ingredients_appear_complete"), F.col("instructions_appear_complete"), F.col("visible_recipe_text"), F.col("spoken_recipe_text")))
+    e = shown.withColumn("usable", classify.substantive(F.col("has_recipe_content"), F.col("ingredients_appear_complete"), F.col("instructions_appear_complete"), F.col("visible_recipe_text"), F.col("spoken_recipe_text")))
     both = e.join(parsed, "doc_id", "left")
     full = F.col("usable") & (F.size("ingredients") > 0) & (F.size("instructions") > 0)
     return both.select("doc_id", "usable", F.coalesce(F.nullif(t.clean_text(F.col("name")), F.lit("")), t.clean_text(F.col("title"))).alias("name"), "ingredients", "instructions", F.when(~F.col("usable"), "no-recipe-found").when(full, "full").otherwise("partial").alias("success_level"))
 
 
-def combined_evidence(caption: Column, visible: Column, spoken: Column) -> Column:
-    """Labelled sections of what a post says, joined by blank lines."""
-    part = lambda label, c: F.when(t.trim(t.text(c)) != "", F.concat(F.lit(label + ":\n"), t.trim(t.text(c))))
-    return F.concat_ws("\n\n", part("Caption", caption), part("Visible text", visible), part("Spoken text", spoken))
+def combined_evidence(caption: Column, video: Column) -> Column:
+    """A post's caption and what its video shows, labelled, joined by a blank line."""
+    part = lambda label, c: F.when(t.text(c) != "", F.concat(F.lit(label + ":\n"), t.text(c)))
+    return t.trim(F.concat_ws("\n\n", part("Instagram caption", caption), part("Video evidence", video)))
+
+
+def parsed_recipe(parsed: Column) -> Column:
+    """A parsed recipe's name and lists, cleaned, without empty lines; null is empty."""
+    lines = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), t.clean_text), lambda x: x != "")
+    return F.struct(t.clean_text(parsed["name"]).alias("name"), lines(parsed["ingredients"]).alias("ingredients"), lines(parsed["instructions"]).alias("instructions"))
+
+
+def is_full(recipe: Column) -> Column:
+    return (F.size(recipe["ingredients"]) > 0) & (F.size(recipe["instructions"]) > 0)
+
+
+def import_layers(posts: DataFrame) -> DataFrame:
+    """Recipes of posts by layers: a full recipe of the caption, else that of caption and video.
+
+    posts: post_id, caption, from_caption (parsed recipe or null), video (text of the
+    video's evidence; null where the video could not be had), from_both (parsed recipe or
+    null), video_title. Without caption and video evidence the level is no-recipe-found.
+    """
+    said, seen = t.trim(t.text(F.col("caption"))), t.trim(t.text(F.col("video")))
+    had, reached = said != "", F.col("video").isNotNull()
+    first = posts.withColumn("_a", parsed_recipe(F.when(had, F.col("from_caption")))).withColumn("_first_full", is_full(F.col("_a")))
+    used = first.withColumn("_r", F.when(~F.col("_first_full") & reached & (had | (seen != "")), parsed_recipe(F.col("from_both"))).otherwise(F.col("_a")))
+    path = F.when(F.col("_first_full"), "caption-first-full").when(reached & had, "caption-and-video").when(reached, "video-only").when(had, "caption-only-video-unavailable").otherwise("video-unavailable")
+    name = F.coalesce(F.nullif("_r.name", F.lit("")), F.nullif(t.clean_text(F.col("video_title")), F.lit("")), F.lit("Imported Video Recipe"))
+    level = F.when(~had & (seen == ""), "no-recipe-found").when(is_full(F.col("_r")), "full").otherwise("partial")
+    shown = combined_evidence(said, F.when(~F.col("_first_full"), seen))
+    return used.select("post_id", path.alias("path"), name.alias("name"), "_r.ingredients", "_r.instructions", level.alias("success_level"), shown.alias("evidence"))
+
+
+def import_captions(posts: DataFrame) -> DataFrame:
+    """Recipes of posts that have a caption only (post_id, caption, from_caption)."""
+    used = posts.withColumn("_r", parsed_recipe(F.when(t.trim(t.text(F.col("caption"))) != "", F.col("from_caption"))))
+    level = F.when(t.trim(t.text(F.col("caption"))) == "", "no-recipe-found").when(is_full(F.col("_r")), "full").otherwise("partial")
+    return used.select("post_id", "_r.name", "_r.ingredients", "_r.instructions", level.alias("success_level"), F.when(is_full(F.col("_r")), "").otherwise("incomplete").alias("warning"))
+
+
+def import_screenshots(shots: DataFrame) -> DataFrame:
+    """Recipes of screenshots (shot_id, visible_title, given_title, parsed, complete_a, complete_b)."""
+    used = shots.withColumn("_r", parsed_recipe(F.col("parsed"))).withColumn("_t", evidence.screenshot_title(F.col("visible_title"), F.col("given_title"), F.col("_r.name")))
+    level = classify.screenshot_level(F.size("_r.ingredients"), F.size("_r.instructions"), F.col("complete_a"), F.col("complete_b"))
+    return used.select("shot_id", "_t.name", F.col("_t.source").alias("title_source"), "_r.ingredients", "_r.instructions", level.alias("success_level"))
+
+
+def social_titles(results: DataFrame) -> DataFrame:
+    """Names of incomplete social results become their caption's title or the platform's.
+
+    results: post_id, success, rescued, name, description, fallback_text, source_url,
+    ingredients, instructions (lists). Null lists are empty; others keep their names.
+    """
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    due = t.true_only(F.col("success")) & F.coalesce(u.is_social(F.col("source_url")), F.lit(False)) & ~t.true_only(F.col("rescued")) & ~((size("ingredients") > 0) & (size("instructions") > 0))
+    marked = results.withColumn("due", due)
+    parts = captions.resolve_posts(marked.filter("due").select("post_id", F.col("name").alias("raw_name"), "description", "fallback_text", "source_url"))
+    both = marked.join(parts.select("post_id", "title_candidate", "fallback_title", "rescue_text"), "post_id", "left")
+    name = F.when(F.col("due"), F.coalesce(F.nullif("title_candidate", F.lit("")), "fallback_title")).otherwise(F.col("name"))
+    text = F.when(F.col("due"), F.coalesce(F.nullif("rescue_text", F.lit("")), "fallback_text")).otherwise(F.col("fallback_text"))
+    return both.select("post_id", name.alias("name"), t.recipe_slug(name, F.col("post_id")).alias("slug"), text.alias("fallback_text"), F.col("due").alias("cleaned"))
