@@ -135,7 +135,7 @@ def compare_key(value: Column) -> Column:
 
 
 def strip_quotes(value: Column) -> Column:
-    c = F.regexp_replace(trim(value), "^[\"'“”]+", "")
+    c = F.regexp_replace(trim(text(value)), "^[\"'“”]+", "")
     return trim(F.regexp_replace(c, rf"(?:[\"'“”.]|{v.WS})+\z", ""))
 
 

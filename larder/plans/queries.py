@@ -380,3 +380,85 @@ def page_fallbacks(spark, sf):
 def escaped_fields(spark, sf):
     html = F.when(F.coalesce(F.col("text"), F.lit("")) != "", F.concat(F.lit('{"Owner":"\\u0078","n":1} '), F.replace("text", F.lit('"'), F.lit("")))).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", evidence.escaped_json_string(html, "owner").alias("field"))
+
+
+SCALARS = """(1, '&amp;#39;A&frac12; &#8217;b&nbsp;c', '(Note: keep warm))', 'QUICK', 'ES-mx', 'air-fryer pork'), (2, '', '', '', '', ''), (3, NULL, NULL, NULL, NULL, NULL),
+(4, 'Caf&eacute; &#233;', 'plain  note', 'Big', 'fr', 'x'), (5, '"Hi there".', '(Note keep)', 'huge', 'e', 'MIXED case')"""
+
+
+@query(
+    "text_scalars",
+    """SELECT * FROM (VALUES (1, '''A½ ''b c', '''A&frac12; ''b c', '&amp;#39;A&frac12; &#8217;b&nbsp;c', 'Note: keep warm', '(Note: keep warm))', 'quick', 'es', 'es', 'Air-fryer Pork', 'amp 39 a frac12 8217 b nbsp c'),
+    (2, '', '', '', '', '', 'normal', 'en', 'en', '', ''), (3, '', '', '', '', '', 'normal', 'en', 'en', '', ''),
+    (4, 'Caf&eacute; é', 'Caf&eacute; é', 'Caf&eacute; &#233;', 'plain note', 'plain note', 'big', 'fr', 'en', 'X', 'caf eacute 233'),
+    (5, '"Hi there".', '"Hi there".', 'Hi there', 'Note: keep', '(Note keep)', 'normal', 'e', 'en', 'Mixed Case', 'hi there')) AS t(id, entities, simple, quotes, note, notes, effort, language, route, title, key)""",
+)
+def text_scalars(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    return rows(spark, SCALARS, "id, a, b, effort, lang, words").select(
+        "id", t.clean_html_entities(a).alias("entities"), t.decode_simple_entities(a).alias("simple"), t.strip_quotes(a).alias("quotes"), t.clean_note(b).alias("note"), t.recipe_notes(b).alias("notes"),
+        t.effort(F.col("effort")).alias("effort"), t.language(F.col("lang")).alias("language"), t.route_language(F.col("lang")).alias("route"), t.title_case(F.col("words")).alias("title"), t.compare_key(a).alias("key"),
+    )
+
+
+URLS = """(1, 'https://www.pinterest.com/pin/12/?utm_source=a&x=1', 'video/mp4', 'A.MP4'), (2, 'https://scontent.cdninstagram.com/v/a.mp4?bytestart=0&byteend=9&k=1', '', 'b.tar.gz'), (3, '//blog.com/soup?fbclid=1', 'text/html', 'noext'),
+(4, 'https://x.fbcdn.net/v/1.m3u8', 'application/x-mpegURL', '.x'), (5, 'https://i.pinimg.com/a.jpg', '', ''), (6, 'notaurl', NULL, NULL), (7, NULL, NULL, NULL), (8, '', '', '')"""
+
+
+@query(
+    "url_scalars",
+    f"""SELECT t.*, coalesce(u.url, '') AS media, CASE WHEN t.id = 2 THEN replace(u.url, 'bytestart=0&byteend=9&', '') ELSE u.url END AS ranged, coalesce(u.url, '') AS first_link FROM (VALUES {URLS}) AS u(id, url, kind, name) JOIN (VALUES
+        (1, true, 'https://www.pinterest.com/pin/12/?x=1', 'https://www.pinterest.com/pin/12/?x=1', true, true, '.mp4', false, false),
+        (2, false, 'https://scontent.cdninstagram.com/v/a.mp4?bytestart=0&byteend=9&k=1', 'https://scontent.cdninstagram.com/v/a.mp4?bytestart=0&byteend=9&k=1', true, true, '.gz', true, false),
+        (3, false, '//blog.com/soup', 'https://blog.com/soup', false, false, '', false, false),
+        (4, false, 'https://x.fbcdn.net/v/1.m3u8', 'https://x.fbcdn.net/v/1.m3u8', false, true, '.x', true, true),
+        (5, false, 'https://i.pinimg.com/a.jpg', 'https://i.pinimg.com/a.jpg', true, false, '', false, false),
+        (6, false, 'notaurl', NULL, true, false, '', false, false),
+        (7, false, NULL, NULL, true, false, '', false, false),
+        (8, false, '', NULL, true, false, '', false, false)) AS t(id, pin, untracked, candidate, bad, video, extension, instagram, facebook) ON t.id = u.id""",
+)
+def url_scalars(spark, sf):
+    c = F.col("url")
+    return rows(spark, URLS, "id, url, kind, name").select(
+        "id", u.is_pin(c).alias("pin"), u.remove_tracking(c).alias("untracked"), u.clean_pin_candidate(c).alias("candidate"), u.is_bad_candidate(c).alias("bad"), u.clean_media_url(c).alias("media"),
+        u.looks_like_video(c, F.col("kind")).alias("video"), u.remove_byte_range(c).alias("ranged"), u.is_instagram_media(c).alias("instagram"), u.is_facebook_media(c).alias("facebook"), u.file_extension(F.col("name")).alias("extension"), u.first_link(c).alias("first_link"),
+    )
+
+
+RESCUE = """(1, true, '', '', 'metadata-only'), (2, true, 'x', 'y', 'full'), (3, NULL, NULL, NULL, NULL), (4, true, '', 'Steps available at source link!', 'social-metadata-only')"""
+RESCUE_POSTS = r"""(1, '', 'Best Soup\nIngredients:\n1 cup beans\nwater\nInstructions:\n1. Boil the water for ten minutes until it is hot\n2) Add beans and cook them slowly for an hour until tender', '', 'https://www.instagram.com/p/1/'),
+(4, 'short', 'no recipe here', '', 'https://www.tiktok.com/x')"""
+
+
+@query(
+    "caption_rescue",
+    """SELECT * FROM (VALUES (1, true, '1 cup beans|water', 'Boil the water for ten minutes until it is hot|Add beans and cook them slowly for an hour until tender|https://www.instagram.com/p/1/', 'full', 'Best Soup'),
+    (2, false, 'x', 'y', 'full', NULL), (3, false, NULL, NULL, NULL, NULL), (4, false, '', 'Steps available at source link!', 'social-metadata-only', 'short')) AS t(post_id, rescued, ingredients, instructions, success_level, title)""",
+)
+def caption_rescue(spark, sf):
+    out = recipes.rescue_captions(rows(spark, RESCUE, "post_id, success, ingredients, instructions, success_level"), rows(spark, RESCUE_POSTS, "post_id, raw_name, description, fallback_text, source_url"))
+    return out.withColumns({c: F.replace(c, F.lit("\n"), F.lit("|")) for c in ("ingredients", "instructions")})
+
+
+LINKED = """(1, 'https://a.com/list', array(), array(), 'https://a.com/recipe?utm_source=z', 'metadata-only'), (2, 'https://a.com/recipe', array('rice'), array('cook'), '', 'full'), (3, 'https://a.com/other', array('x'), array(), 'https://a.com/recipe', 'partial'), (4, NULL, array(), array(), '', 'metadata-only')"""
+
+
+@query("linked_recipes", "SELECT * FROM (VALUES (1, 'rice', 'cook', 'full'), (2, 'rice', 'cook', 'full'), (3, 'x', '', 'partial'), (4, '', '', 'metadata-only')) AS t(page_id, ingredients, instructions, success_level)")
+def linked_recipes(spark, sf):
+    found = recipes.follow_links(rows(spark, LINKED, "page_id, source_url, ingredients, instructions, linked_recipe_url, success_level"))
+    return found.select("page_id", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("instructions", "|").alias("instructions"), "success_level")
+
+
+SHOWN = """(1, true, 'Stew', '1 cup rice', '', false, false), (2, true, '', 'hello', '', true, false), (3, false, 'X', '1 cup rice', '', true, true), (4, NULL, NULL, NULL, NULL, NULL, NULL), (5, true, 'Pie', '', 'Stir the batter for a while', false, false)"""
+PARSED = "(1, '', array('rice'), array('cook')), (2, 'Named', array('a'), array()), (3, 'N', array('a'), array('b'))"
+
+
+@query(
+    "video_imports",
+    """SELECT * FROM (VALUES (1, true, 'Stew', 'rice', 'cook', 'full'), (2, true, 'Named', 'a', '', 'partial'), (3, false, 'N', 'a', 'b', 'no-recipe-found'), (4, false, '', '', '', 'no-recipe-found'),
+    (5, true, 'Pie', '', '', 'partial')) AS t(doc_id, usable, name, ingredients, instructions, success_level)""",
+)
+def video_imports(spark, sf):
+    shown = rows(spark, SHOWN, "doc_id, has_recipe_content, title, visible_recipe_text, spoken_recipe_text, ingredients_appear_complete, instructions_appear_complete")
+    out = recipes.import_videos(shown, rows(spark, PARSED, "doc_id, name, ingredients, instructions"))
+    return out.withColumns({c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in ("ingredients", "instructions")})
