@@ -93,7 +93,14 @@ def url_host_class(spark, sf):
     return rows(spark, LINKS, "id, url").select("id", u.video_platform(c).alias("video"), u.platform(c).alias("platform"), u.is_pinterest(c).alias("pinterest"), u.is_pin_it(c).alias("pin_it"), u.is_social(c).alias("social"))
 
 
-@query("url_validate")
+@query(
+    "url_validate",
+    f"""SELECT id, CASE WHEN id = 1 THEN 'https://www.instagram.com/reel/abc/?x=1' END AS i_url, CASE WHEN id = 1 THEN NULL WHEN url LIKE 'https://%' THEN 'UNSUPPORTED_PUBLIC_VIDEO_PLATFORM' ELSE 'INVALID_PUBLIC_VIDEO_URL' END AS i_error_code,
+    CASE WHEN id = 10 THEN url END AS f_url, CASE WHEN id = 10 THEN NULL WHEN url LIKE 'https://%' THEN 'UNSUPPORTED_FACEBOOK_VIDEO_PLATFORM' ELSE 'INVALID_FACEBOOK_VIDEO_URL' END AS f_error_code,
+    CASE WHEN {HOST} LIKE '%tiktok.com' THEN regexp_replace(url, '\\?.*$', '') END AS k_url,
+    CASE WHEN {HOST} LIKE '%tiktok.com' THEN NULL WHEN coalesce(url, '') = '' THEN 'INVALID_TIKTOK_URL' WHEN url NOT LIKE 'http%' THEN 'INVALID_TIKTOK_PROTOCOL' ELSE 'UNSUPPORTED_TIKTOK_HOST' END AS k_error_code
+    FROM (VALUES {LINKS}) AS t(id, url)""",
+)
 def url_validate(spark, sf):
     c = F.col("url")
     out = rows(spark, LINKS, "id, url").select("id", u.validate_instagram(c).alias("i"), u.validate_facebook(c).alias("f"), u.validate_tiktok(c).alias("k"))
@@ -144,7 +151,11 @@ def caption_best(spark, sf):
 TITLES = "(1, 'Garlic Butter Shrimp | Ingredients: shrimp'), (2, 'Add the onion and stir until golden'), (3, 'Easy Chicken Tacos recipe. Follow for more'), (4, 'instagram'), (5, ''), (6, NULL), (7, '1,204 likes, 33 comments - cook_me: Creamy Mushroom Pasta #pasta #CreamyPasta'), (8, '2 cups rice'), (9, 'Maria''s Kitchen'), (10, 'Cafe Grün')"
 
 
-@query("title_best")
+@query(
+    "title_best",
+    """SELECT * FROM (VALUES (1, 'Garlic Butter Shrimp |', true, 'Garlic Butter Shrimp'), (2, 'Add the onion and stir until golden', true, ''), (3, 'Easy Chicken Tacos recipe.', true, 'Easy Chicken Tacos recipe'),
+    (4, 'instagram', true, ''), (5, '', true, ''), (6, '', true, ''), (7, 'Creamy Mushroom Pasta', true, 'Creamy Mushroom Pasta'), (8, '2 cups rice', true, ''), (9, 'Maria''s Kitchen', true, ''), (10, 'Cafe Grün', false, 'Cafe Grün')) AS t(id, clean, bad, best)""",
+)
 def title_best(spark, sf):
     c = F.col("text")
     cand = F.concat(captions.title_candidates(c), captions.hashtag_titles(c))
@@ -161,7 +172,7 @@ def social_posts(spark, sf):
 PARTS = "(1, 'Soup', 'soup!', 'A long text that says quite a lot about a soup with beans', 'long text'), (2, '', NULL, 'x', 'y')"
 
 
-@query("rescue_parts_compact")
+@query("rescue_parts_compact", "SELECT * FROM (VALUES (1, 'Soup|A long text that says quite a lot about a soup with beans|long text'), (2, 'x|y')) AS t(id, parts)")
 def rescue_parts_compact(spark, sf):
     return rows(spark, PARTS, "id, a, b, c, d").select("id", F.array_join(captions.compact_parts(F.array("a", "b", "c", "d")), "|").alias("parts"))
 
@@ -246,7 +257,10 @@ def error_status(spark, sf):
     return rows(spark, ERRORS, "id, code").withColumn("e", classify.error_status(F.col("code"))).select("id", "e.status", "e.level")
 
 
-@query("text_import")
+@query(
+    "text_import",
+    "SELECT * FROM (VALUES (1, 'Best Soup', '1 cup beans|water', 'Boil water|Add beans', 'full'), (2, '', '', '', 'full'), (3, '', '', '', 'full'), (4, '', '', '', 'full'), (5, '', '', '', 'full')) AS t(doc_id, name, ingredients, instructions, success_level)",
+)
 def text_import(spark, sf):
     return recipes.import_texts(rows(spark, CAPTION, "doc_id, text")).withColumns({c: F.array_join(c, "|") for c in ("ingredients", "instructions")})
 
