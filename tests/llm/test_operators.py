@@ -139,6 +139,38 @@ def test_lattice_is_the_brute_force_path(docs, none, real):
     assert paths and sum(dict((i, s) for i, s in m.ids.values())[x] for x in m.fold(word)) == pytest.approx(best[0])
 
 
+def test_lattice_words_part_only_where_no_piece_crosses():
+    import pyarrow as pa
+
+    from larder.llm.lattice import SPACE, pieces, split, split_column
+
+    m = pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pairs = {p[i : i + 2] for p in m.ids for i in range(len(p) - 1)}
+    texts = ["", None, "the  end!!", " x\ny\n\nz ", "漢字 naïve 𝒳𝒳 😀a", "a" * 100 + "%%%", "\n", "  "]
+    flat, counts = split_column(m, pa.array(texts))
+    words, at = flat.to_pylist(), 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        mine, at = words[at : at + n], at + n
+        assert "".join(mine) == "".join(split(text or ""))
+        assert not any(a[-1] + b[0] in pairs or a[-1] == b[0] == SPACE for a, b in zip(mine, mine[1:], strict=False))
+        assert all(w[i : i + 2] in pairs | {SPACE * 2} for w in mine for i in range(len(w) - 1))
+    assert at == len(words)
+    none, sizes = split_column(m, pa.array([], pa.string()))
+    assert len(none) == 0 and len(sizes) == 0
+
+
+def test_lattice_counts_words_between_spaces(spark):
+    from larder.llm.lattice import encode, pieces, split
+
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    texts = ["", None, "the  end!!", " x\ny\n\nz ", "漢字 naïve 𝒳𝒳 😀a", "ab" * 100 + "%%%", "\n"]
+    table = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)], "doc_id long, text string, ids string")
+    m = pieces(path)
+    for r in encode(table, path).collect():
+        whole = split(texts[r["doc_id"]] or "")
+        assert (r["n_words"], r["n_pieces"], r["round_trip"]) == (len(whole), sum(len(m.spelled(m.fold(w))) for w in whole), True)
+
+
 def test_licenses():
     from larder.llm.licenses import rules, scan_text
 
