@@ -14,6 +14,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,9 @@ class Pieces:
             raise ValueError(f"{n} pieces; at most {MAX_PIECES} are broadcast")
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        self.raw = [p.encode("utf-8") for p in self.text]
+        for byte, i in self.bytes.items():
+            self.raw[i] = bytes([byte])
         own = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.unknown_id = sp.unk_id()
         #: Scores are multiples of 1 / GRID, so sums are exact: ties are ties in any order of adding.
@@ -121,8 +125,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of pieces; runs of byte pieces are read as UTF-8."""
-        value = {i: b for b, i in self.bytes.items()}
-        raw = b"".join(bytes([value[i]]) if i in value else self.text[i].encode("utf-8") for i in ids)
+        raw = b"".join(self.raw[i] for i in ids)
         text = raw.decode("utf-8", errors="replace").replace(SPACE, " ")
         return text.removeprefix(" ")
 
@@ -201,7 +204,7 @@ def _merged(rows: list[dict]) -> tuple[list[dict], list[str], np.ndarray]:
     return rows, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
 
-def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text: doc_id, n_words, n_pieces, n_bytes, ids_crc32, round_trip.
 
     Distinct words of all documents form one lattice table; chunks of documents get
@@ -209,7 +212,7 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
     32-bit little-endian ids; round_trip tells whether decoding gives the text again.
     The best path is by summed log-probabilities of pieces (of a merge model, by their
     ranks: see _log_p), with characters that have no piece spelled in bytes. Null or empty text has
-    no pieces; a null id stays; repeated rows repeat.
+    no pieces; a null id stays; repeated rows repeat. with_ids adds the ids themselves.
     """
     model = pieces(model_path)
     spark = docs.sparkSession
@@ -259,7 +262,7 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
 
     right = best.select(F.col("bucket").alias("_b"), "place", "ids")
     replies = asked.groupBy("bucket").cogroup(right.groupBy("_b")).applyInArrow(reply, "to long, bucket int, sizes binary, ids binary")
-    schema = "doc_id long, n_words long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean"
+    schema = "doc_id long, n_words long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         m = pieces(model_path)
@@ -294,15 +297,35 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         codes = unsqueeze_codes(batch.column("codes")[0].as_py())
         doc_ids = batch.column("doc_ids")[0].as_py()
         line, mark = (np.array([w.startswith(c) for w in own], dtype=bool) for c in (LINE, SPACE))
-        at, rows = 0, []
+        at, rows, kept = 0, [], []
         for k in lists(batch, 0, "sizes").tolist():
             mine = codes[at : at + k]
             at += k
             many = count[mine]
             heads = line[mine] | mark[mine]
             heads[1:] |= line[mine[:-1]]
-            rows.append((int(heads.sum()), int(many.sum()), int(byte_count[mine].sum()), zlib.crc32(long_ids[runs(first[mine], many)].tobytes()), bool(good[mine].all())))
+            ids = long_ids[runs(first[mine], many)]
+            rows.append((int(heads.sum()), len(ids), int(byte_count[mine].sum()), zlib.crc32(ids.tobytes()), bool(good[mine].all())))
+            if with_ids:
+                kept.append(ids)
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())], names=[f.split()[0] for f in schema.split(", ")])
+        out = [pa.array(doc_ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.bool_())]
+        if with_ids:
+            out.append(pa.ListArray.from_arrays(np.cumsum([0, *map(len, kept)], dtype=np.int32), np.concatenate([np.zeros(0, "<u4"), *kept]).astype(np.int32)))
+        return pa.Table.from_arrays(out, names=[f.split()[0] for f in schema.split(", ")])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("to")).applyInArrow(finish, schema)
+
+
+def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Add the text of a column of ids as column out; the other columns stay.
+
+    Null ids give null, no ids an empty text. Ids outside the model are an error.
+    """
+
+    @F.pandas_udf("string")
+    def texts(column: pd.Series) -> pd.Series:
+        m = pieces(model_path)
+        return column.map(lambda x: None if x is None else m.decode([int(i) for i in x]))
+
+    return encoded.withColumn(out, texts(F.col(ids)))

@@ -160,7 +160,7 @@ def test_lattice_words_part_only_where_no_piece_crosses():
 
 
 def test_lattice_counts_words_between_spaces(spark):
-    from larder.llm.lattice import encode, pieces, split
+    from larder.llm.lattice import decode, encode, pieces, split
 
     path = f"{TOKENIZERS}/piece_bpe_32k.model"
     texts = ["", None, "the  end!!", " x\ny\n\nz ", "漢字 naïve 𝒳𝒳 😀a", "ab" * 100 + "%%%", "\n"]
@@ -169,6 +169,10 @@ def test_lattice_counts_words_between_spaces(spark):
     for r in encode(table, path).collect():
         whole = split(texts[r["doc_id"]] or "")
         assert (r["n_words"], r["n_pieces"], r["round_trip"]) == (len(whole), sum(len(m.spelled(m.fold(w))) for w in whole), True)
+    back = decode(encode(table, path, with_ids=True), path)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: x or "" for i, x in enumerate(texts)}
+    lost = decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), path)
+    assert {r["doc_id"]: r["text"] for r in lost.collect()} == {1: None, 2: ""}
 
 
 def test_licenses():
