@@ -24,6 +24,8 @@ from larder.llm.common import bucketed, crc_mod, staged
 from larder.llm.tokens import slices
 
 CHUNK_TOKENS = 1_200_000
+#: Text that is split at once; workers keep their peak of memory for later stages.
+SLICE_BYTES = 1_000_000
 
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, flags array<boolean>, sizes array<int>, codes binary, words binary, n_words int"
 
@@ -132,7 +134,7 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for s in slices(batch, 1):
+            for s in slices(batch, 1, SLICE_BYTES):
                 flat, counts = words_of(s.column(1))
                 ids += s.column(0).to_pylist()
                 flags += s.column(2).to_pylist()
@@ -143,6 +145,7 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
                     yield flush()
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     chunks = docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA)
     return bucketed(chunks, "chunk", "chunks") if by_chunk else staged(chunks, "chunks", compression="none")

@@ -14,7 +14,6 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +30,8 @@ UNKNOWN = 10.0
 #: Rank at which the probabilities of a merge model's pieces begin to fall.
 SHIFT = 300.0
 GRID = 2**30
+#: Characters of a text that are cut at once.
+WINDOW = 250_000
 WORDS_A_BUCKET = 400_000
 #: A piece table is broadcast; more pieces than this are refused.
 MAX_PIECES = 1_000_000
@@ -146,16 +147,23 @@ def split_column(model: Pieces, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     Spaces are marks before words, and one is added in front. Null or empty text has none.
     """
     marked = [SPACE + x.replace(" ", SPACE).replace("\n", LINE) if x else "" for x in texts.to_pylist()]
-    points = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4")
     ends = np.cumsum([len(x) for x in marked]).astype(np.int64)
-    kinds = model.of_char[points]
-    first = np.ones(len(points), dtype=bool)
-    first[1:] = ~model.together[kinds[:-1], kinds[1:]]
-    first[np.concatenate([[0], ends])[:-1][np.diff(ends, prepend=0) > 0]] = True
-    widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-    starts = np.flatnonzero(first)
-    offsets = np.concatenate([(np.cumsum(widths, dtype=np.int64) - widths)[starts], [int(widths.sum(dtype=np.int64))]])
-    flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer("".join(marked).encode("utf-8"))])
+    heads = np.concatenate([[0], ends])[:-1][np.diff(ends, prepend=0) > 0]
+    joined = "".join(marked)
+    del marked
+    before, n_bytes, starts, offsets = np.zeros(1, np.uint16), 0, [], []
+    for at in range(0, len(joined), WINDOW):
+        points = np.frombuffer(joined[at : at + WINDOW].encode("utf-32-le"), dtype="<u4")
+        kinds = np.concatenate([before, model.of_char[points]])
+        first = ~model.together[kinds[:-1], kinds[1:]]
+        first[heads[(heads >= at) & (heads < at + WINDOW)] - at] = True
+        widths = 1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000)
+        own = np.flatnonzero(first)
+        starts.append(own + at)
+        offsets.append((np.cumsum(widths) - widths)[own] + n_bytes)
+        before, n_bytes = kinds[-1:], n_bytes + int(widths.sum())
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    flat = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.concatenate([*offsets, [n_bytes]]).astype(np.int64)), pa.py_buffer(joined.encode("utf-8"))])
     return flat, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
@@ -323,9 +331,9 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "te
     Null ids give null, no ids an empty text. Ids outside the model are an error.
     """
 
-    @F.pandas_udf("string")
-    def texts(column: pd.Series) -> pd.Series:
+    def texts(column: pa.Array) -> pa.Array:
         m = pieces(model_path)
-        return column.map(lambda x: None if x is None else m.decode([int(i) for i in x]))
+        return pa.array([None if x is None else m.decode(x) for x in column.to_pylist()], pa.string())
 
+    texts = F.arrow_udf(texts, "string")
     return encoded.withColumn(out, texts(F.col(ids)))
