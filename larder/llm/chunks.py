@@ -106,9 +106,10 @@ def dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(owner, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=buckets))]).astype(np.int64)
 
 
-def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], flag, row_id: str = "doc_id", text: str = "text", by_chunk: bool = False) -> DataFrame:
-    """Encoded documents: a row a chunk, written once; if by_chunk in buckets of
-    chunks with words in order of their letters, which packs better than that of hashes.
+def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array, np.ndarray]], flag, row_id: str = "doc_id", text: str = "text", by_chunk: bool = False, in_buckets: bool = False) -> DataFrame:
+    """Encoded documents: a row a chunk, written once; if by_chunk or in_buckets in buckets
+    of chunks, if by_chunk with words in order of their letters, which packs better than that
+    of hashes.
 
     words_of gives the words of an Arrow text column and each text's count; words may
     not hold line feeds. flag is a boolean column kept for each document.
@@ -148,7 +149,7 @@ def chunk_table(docs: DataFrame, words_of: Callable[[pa.Array], tuple[pa.Array,
         pa.default_memory_pool().release_unused()
 
     chunks = docs.select(F.col(row_id).cast("long"), F.col(text).cast("string"), flag).mapInArrow(run, CHUNK_SCHEMA)
-    return bucketed(chunks, "chunk", "chunks") if by_chunk else staged(chunks, "chunks", compression="none")
+    return bucketed(chunks, "chunk", "chunks") if by_chunk or in_buckets else staged(chunks, "chunks", compression="none")
 
 
 def training_flag(row_id: str = "doc_id"):

@@ -65,7 +65,9 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     table = "larder_" + path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+    back = spark.table(table)
+    back.staged_at = path
+    return back
 
 
 def remove(table: DataFrame, part: str = "") -> None:
@@ -76,8 +78,12 @@ def remove(table: DataFrame, part: str = "") -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of stages whose results are written."""
+    """Let the driver drop the shuffle files of stages whose results are written.
+
+    The query that ran last stays referenced until another one runs, so a small one does.
+    """
     gc.collect()
+    spark.range(1).collect()
     spark.sparkContext._jvm.System.gc()
 
 

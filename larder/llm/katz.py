@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -127,70 +128,75 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
     return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-words", ["kind"], "none")
 
 
-def _pairs(codes: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
-    """Bigram codes history * (n + 2) + word of all documents, with start n and end n + 1.
+class _Grams:
+    """The distinct n-grams of one order in a chunk: places in the sequence, parts, keys, order of keys."""
 
-    A document of k words has k + 1 of them, in order.
-    """
-    ends = np.cumsum(sizes + 1) - 1
-    total = int(len(codes) + len(sizes))
-    word = np.empty(total, dtype=np.int64)
-    body = np.ones(total, dtype=bool)
-    body[ends] = False
-    word[body] = codes
-    word[ends] = n + 1
-    history = np.empty(total, dtype=np.int64)
-    history[1:] = word[:-1]
-    history[np.concatenate([[0], ends[:-1] + 1])] = n
-    return history * (n + 2) + word
-
-
-def _pair_keys(distinct: np.ndarray, n: int, word_hashes: np.ndarray) -> np.ndarray:
-    h = np.concatenate([word_hashes, np.array([START, END])])
-    return _mix(_mix(h[distinct // (n + 2)] * _PAIR) ^ h[distinct % (n + 2)])
+    def __init__(self, lower: _Grams | None, own: _Chunk, order: int):
+        if lower is None:  # words, start and end
+            self.place, self.keys = own.sequence, np.concatenate([own.words, np.array([START, END])])
+            return
+        width = own.n + 2
+        self.at = np.flatnonzero(own.depth >= order - 1)
+        grams = lower.place[self.at - 1].astype(np.int64) * width + own.sequence[self.at]
+        by_gram = np.argsort(grams).astype(np.int32)
+        ordered = grams[by_gram]
+        first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+        distinct = ordered[first]
+        self.n = len(distinct)
+        self.history, self.word = (distinct // width).astype(np.int32), (distinct % width).astype(np.int32)
+        self.suffix = lower.place[self.at[by_gram[first]]]
+        self.place = np.full(len(own.sequence), -1, dtype=np.int32)
+        self.place[self.at[by_gram]] = np.cumsum(first, dtype=np.int32) - 1
+        self.keys = _mix(_mix(lower.keys[self.history] * _PAIR) ^ np.concatenate([own.words, np.array([START, END])])[self.word])
+        self.by_key = np.argsort(self.keys).astype(np.int32)
 
 
 class _Chunk:
-    """What every pass over a chunk works out again: words, bigrams and their order."""
+    """What every pass over a chunk works out again: words and n-grams up to an order.
+
+    The sequence holds a start mark (n), the words and an end mark (n + 1) of each document;
+    depth is the place in the document. An n-gram lies within a document and never ends at
+    its start mark, so the first words have shorter histories.
+    """
 
-    def __init__(self, row: dict, sizes: np.ndarray, flags: np.ndarray):
+    def __init__(self, row: dict, sizes: np.ndarray, flags: np.ndarray, order: int):
         self.n = row["n_words"]
         self.words = hashes(unpack_words(row["words"], self.n))
-        self.codes = unsqueeze_codes(row["codes"])
         self.sizes, self.flags = sizes, flags
-        pairs = _pairs(self.codes, sizes, self.n)
-        order = np.argsort(pairs, kind="stable").astype(np.int32)
-        ordered = pairs[order]
-        first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
-        self.distinct = ordered[first]
-        group = np.cumsum(first, dtype=np.int32) - 1
-        self.place = np.empty(len(order), dtype=np.int32)
-        self.place[order] = group
-        keys = _pair_keys(self.distinct, self.n, self.words)
-        self.by_key = np.argsort(keys, kind="stable")
-        self.keys = keys[self.by_key]
+        lengths = sizes.astype(np.int64) + 2
+        starts = np.cumsum(lengths) - lengths
+        self.sequence = np.empty(int(lengths.sum()), dtype=np.int32)
+        body = np.ones(len(self.sequence), dtype=bool)
+        body[starts] = body[starts + lengths - 1] = False
+        self.sequence[body] = unsqueeze_codes(row["codes"])
+        self.sequence[starts], self.sequence[starts + lengths - 1] = self.n, self.n + 1
+        self.depth = (np.arange(len(self.sequence)) - np.repeat(starts, lengths)).astype(np.int32)
+        self.grams = [None, _Grams(None, self, 1)]
+        for k in range(2, order + 1):
+            self.grams.append(_Grams(self.grams[-1], self, k))
 
     def training_counts(self) -> np.ndarray:
-        """Of the distinct bigrams, in the order of keys."""
-        train = np.repeat(self.flags, self.sizes + 1)
-        return np.bincount(self.place[train], minlength=len(self.distinct))[self.by_key]
+        """Of the distinct n-grams of the highest order, in the order of keys."""
+        top = self.grams[-1]
+        train = np.repeat(self.flags, self.sizes + 2)[top.at]
+        return np.bincount(top.place[top.at[train]], minlength=top.n)[top.by_key]
 
 
-def _pair_counts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of bigrams: a table and replies of 2 * count + (chunk is the owner).
+def _gram_counts(chunks: DataFrame, buckets: int, order: int) -> DataFrame:
+    """Training counts of n-grams: a table and replies of 2 * count + (chunk is the owner).
 
-    The owner of a bigram is the first chunk that has it in training; it alone adds the
-    bigram to sums over distinct bigrams.
+    The owner of an n-gram is the first chunk that has it in training; it alone adds the
+    n-gram to sums over distinct n-grams.
     """
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in ("chunk", "codes", "words", "n_words")}
-                own = _Chunk(row, lists(batch, i, "sizes"), lists(batch, i, "flags"))
-                counts = own.training_counts()
-                starts = bucket_starts(own.keys, buckets)
-                rows = [{"bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(own.keys[s:e]), "counts": squeeze(counts[s:e].astype("<i4"))} for b, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if e > s]
+                own = _Chunk(row, lists(batch, i, "sizes"), lists(batch, i, "flags"), order)
+                keys, counts = own.grams[-1].keys[own.grams[-1].by_key], own.training_counts()
+                starts = bucket_starts(keys, buckets)
+                rows = [{"bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(keys[s:e]), "counts": squeeze(counts[s:e].astype("<i4"))} for b, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if e > s]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -210,7 +216,7 @@ def _pair_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         return _merged_table(out)
 
     asked = chunks.select("chunk", "flags", "sizes", "codes", "words", "n_words").mapInArrow(ask, "bucket int, chunk long, keys binary, counts binary")
-    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), "katz-pairs", ["kind"], "none")
+    return staged(asked.groupBy("bucket").applyInArrow(merge, _MERGED), f"katz-grams{order}", ["kind"], "none")
 
 
 def _summary(merged: DataFrame) -> tuple[int, list[int]]:
@@ -224,85 +230,99 @@ def _in_order(rows: list[dict], what: str) -> np.ndarray:
     return np.concatenate([unsqueeze(r["values"], "<i8") for r in own]) if own else np.zeros(0, np.int64)
 
 
-def _chunk_scores(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, bigrams: Discount, n_train: int, buckets: int) -> DataFrame:
+def _chunk_scores(chunks: DataFrame, replies: DataFrame, unigrams: Unigrams, discounts: dict[int, Discount], n_train: int, order: int, buckets: int, with_docs: bool) -> DataFrame:
     """Evaluate every token as far as a chunk can: base, known part of the score, requests.
 
-    Rows of kind ``docs`` hold the documents' sums; rows of kind ``sums`` hold, by bucket
-    of histories, the chunk's share of each history's left mass and of the unigram mass
-    of its followers, and which documents need the history's backoff weight.
+    Rows of kind ``docs`` (if asked for) hold the documents' sums; rows of kind ``sums`` hold,
+    by bucket of histories of n-grams of this order, the chunk's share of each history's left mass
+    and of the next lower order's mass of its followers, and which documents need the
+    history's backoff weight. What is seen at an order is seen at all
+    lower ones, so followers' lower probabilities need no weights.
     """
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         batch = left.combine_chunks().to_batches()[0]
         row = {c: batch.column(c)[0].as_py() for c in ("chunk", "codes", "words", "n_words")}
         sizes, flags = lists(batch, 0, "sizes"), lists(batch, 0, "flags")
-        ids = batch.column("doc_ids")[0].as_py()
-        own = _Chunk(row, sizes, flags)
+        own = _Chunk(row, sizes, flags, order)
         rest = right.to_pylist()
-        word_counts = np.concatenate([_in_order(rest, "words"), [n_train, n_train]])  # start, end
-        answer = np.empty(len(own.distinct), dtype=np.int64)
-        answer[own.by_key] = _in_order(rest, "pairs")
-        counts, owned = answer >> 1, (answer & 1).astype(bool)
-        history, word = own.distinct // (own.n + 2), own.distinct % (own.n + 2)
-        c_h, p_word = word_counts[history].astype(float), unigrams.p(word_counts[word])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(counts > 0, (counts - bigrams.lost(counts)) / c_h, p_word)
-        backs_off = (counts == 0) & (c_h > 0)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
-        token_counts = word_counts[word][own.place]
-        n_known = np.bincount(doc, weights=token_counts > 0, minlength=len(sizes)).astype(np.int64)
-        base = np.bincount(doc, weights=unigrams.base(token_counts), minlength=len(sizes))
-        score = np.bincount(doc, weights=np.log10(p)[own.place], minlength=len(sizes))
-        out.append({"kind": "docs", "bucket": 0, "chunk": row["chunk"], "ids": ids, "trains": flags.tolist(), "n_tokens": (sizes + 1).tolist(), "n_known": n_known.tolist(), "base": base.tolist(), "score": score.tolist()})
+        counts = [None, np.concatenate([_in_order(rest, "1"), [n_train, n_train]])]  # start, end
+        p, owned = [None, unigrams.p(counts[1])], None
+        for k in range(2, order + 1):
+            g = own.grams[k]
+            answer = np.empty(g.n, dtype=np.int64)
+            answer[g.by_key] = _in_order(rest, str(k))
+            counts.append(answer >> 1)
+            if k == order:
+                owned = np.flatnonzero(answer & 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p.append(np.where(counts[k] > 0, (counts[k] - discounts[k].lost(counts[k])) / counts[k - 1][g.history], 0.0))
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
+        if with_docs:
+            token = own.depth > 0
+            token_counts = counts[1][own.sequence[token]]
+            known = np.log10(p[1])[own.sequence]
+            for k in range(2, order + 1):
+                g = own.grams[k]
+                at = g.at[counts[k][g.place[g.at]] > 0]
+                known[at] = np.log10(p[k][g.place[at]])
+            totals = {"n_known": token_counts > 0, "base": unigrams.base(token_counts), "score": known[token]}
+            totals = {c: np.bincount(doc[token], weights=v, minlength=len(sizes)) for c, v in totals.items()}
+            out.append({"kind": "docs", "bucket": -1 - row["chunk"], "chunk": row["chunk"], "ids": batch.column("doc_ids")[0].as_py(), "trains": flags.tolist(), "n_tokens": (sizes + 1).tolist(), "n_known": totals["n_known"].astype(np.int64).tolist(), "base": totals["base"].tolist(), "score": totals["score"].tolist()})
         # histories, in the order of their hashes; the start has a hash as well
-        h_hash = np.concatenate([own.words, np.array([START])])
-        mass = np.bincount(history[owned], weights=bigrams.lost(counts[owned]) / c_h[owned], minlength=own.n + 1)
-        seen = np.bincount(history[owned], weights=p_word[owned], minlength=own.n + 1)
-        given = np.flatnonzero(np.bincount(history[owned], minlength=own.n + 1))
-        given = given[np.argsort(h_hash[given], kind="stable")]
-        asks = np.flatnonzero(backs_off[own.place])
-        need = (h_hash[history[own.place[asks]]], doc[asks])
-        order = np.lexsort((need[1], need[0]))
-        n_hash, n_doc = need[0][order], need[1][order]
-        new = np.concatenate([[True], (n_hash[1:] != n_hash[:-1]) | (n_doc[1:] != n_doc[:-1])]) if len(order) else np.zeros(0, bool)
+        g, h_hash = own.grams[order], own.grams[order - 1].keys
+        c_h, history = counts[order - 1], g.history[owned]
+        lost = discounts[order].lost(counts[order][owned]) / c_h[history]
+        mass = np.bincount(history, weights=lost, minlength=len(h_hash))
+        seen = np.bincount(history, weights=p[order - 1][g.suffix[owned]], minlength=len(h_hash))
+        given = np.flatnonzero(np.bincount(history, minlength=len(h_hash)))
+        given = given[np.argsort(h_hash[given])]
+        backs_off = (counts[order] == 0) & (c_h[g.history] > 0)
+        asks = g.at[backs_off[g.place[g.at]]]
+        need = (h_hash[g.history[g.place[asks]]], doc[asks])
+        by_need = np.lexsort((need[1], need[0]))
+        n_hash, n_doc = need[0][by_need], need[1][by_need]
+        new = np.concatenate([[True], (n_hash[1:] != n_hash[:-1]) | (n_doc[1:] != n_doc[:-1])]) if len(by_need) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        times = np.diff(np.concatenate([at, [len(order)]]))
+        times = np.diff(np.concatenate([at, [len(by_need)]]))
         n_hash, n_doc = n_hash[at], n_doc[at]
         gs, ns = bucket_starts(h_hash[given], buckets), bucket_starts(n_hash, buckets)
         for b in range(buckets):
-            g, q = given[gs[b] : gs[b + 1]], slice(ns[b], ns[b + 1])
-            if len(g) or ns[b + 1] > ns[b]:
-                out.append({"kind": "sums", "bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(h_hash[g]), "mass": squeeze_values(mass[g]), "seen": squeeze_values(seen[g]), "q_keys": squeeze_sorted(n_hash[q]), "q_docs": squeeze(n_doc[q].astype("<i4")), "q_times": squeeze(times[q].astype("<i4"))})
+            h, q = given[gs[b] : gs[b + 1]], slice(ns[b], ns[b + 1])
+            if len(h) or ns[b + 1] > ns[b]:
+                out.append({"kind": "sums", "bucket": b, "chunk": row["chunk"], "keys": squeeze_sorted(h_hash[h]), "mass": squeeze_values(mass[h]), "seen": squeeze_values(seen[h]), "q_keys": squeeze_sorted(n_hash[q]), "q_docs": squeeze(n_doc[q].astype("<i4")), "q_times": squeeze(times[q].astype("<i4"))})
         return pa.Table.from_pylist(out, schema=_SCORED)
 
     a = chunks.groupBy("chunk")
-    b = replies.groupBy("of_chunk")
-    schema = "kind string, bucket int, chunk long, ids array<long>, trains array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, keys binary, mass binary, seen binary, q_keys binary, q_docs binary, q_times binary"
-    return staged(a.cogroup(b).applyInArrow(run, schema), "katz-scores", ["kind"], "none")
+    b = replies.filter(F.col("what") <= str(order)).groupBy("of_chunk")
+    return a.cogroup(b).applyInArrow(run, _SCORED_DDL)
 
 
-_SCORED = pa.schema(
-    [("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("trains", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64()))]
-    + [(c, pa.binary()) for c in ("keys", "mass", "seen", "q_keys", "q_docs", "q_times")]
-)
+_DOCS = [("ids", pa.list_(pa.int64())), ("trains", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64()))]
+_DOCS_DDL = "ids array<long>, trains array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>"
+_SCORED_DDL = f"kind string, bucket long, chunk long, {_DOCS_DDL}, keys binary, mass binary, seen binary, q_keys binary, q_docs binary, q_times binary"
+_SCORED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("chunk", pa.int64()), *_DOCS, *((c, pa.binary()) for c in ("keys", "mass", "seen", "q_keys", "q_docs", "q_times"))])
 
 
-def _backoffs(sums: DataFrame) -> DataFrame:
+def _backoffs(scored: DataFrame, order: int, with_table: bool) -> DataFrame:
     """Backoff weights of each bucket's histories and what they add to documents' scores.
 
-    A weight is the left mass of a history over the unigram mass of words not seen after
-    it, both summed over all chunks, so that probabilities after the history sum to one.
+    A weight is the left mass of a history over the next lower order's mass of words not
+    seen after it, both summed over all chunks, so that probabilities after the history sum
+    to one. Rows of kind ``docs`` pass through.
     """
+    schema = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("adds", pa.binary()), *_DOCS])
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        if rows[0]["kind"] == "docs":
+            return pa.Table.from_pylist(rows, schema=schema)
         keys = np.concatenate([unsqueeze_sorted(r["keys"]) for r in rows])
         distinct, place = np.unique(keys, return_inverse=True)
         mass = np.bincount(place, weights=np.concatenate([unsqueeze_values(r["mass"], "<f8") for r in rows]), minlength=len(distinct))
         seen = np.bincount(place, weights=np.concatenate([unsqueeze_values(r["seen"], "<f8") for r in rows]), minlength=len(distinct))
         weight = np.log10(mass) - np.log10(1 - seen)
-        out = [{"kind": "table", "bucket": rows[0]["bucket"], "chunk": None, "keys": squeeze_sorted(distinct), "docs": None, "adds": squeeze(weight)}]
+        out = [{"kind": "table", "bucket": rows[0]["bucket"], "chunk": None, "keys": squeeze_sorted(distinct), "docs": None, "adds": squeeze(weight)}] if with_table else []
         for r in rows:
             asked = unsqueeze_sorted(r["q_keys"])
             if len(asked):
@@ -310,28 +330,33 @@ def _backoffs(sums: DataFrame) -> DataFrame:
                 sums_ = np.bincount(docs, weights=times * weight[np.searchsorted(distinct, asked)])
                 found = np.unique(docs)
                 out.append({"kind": "reply", "bucket": r["bucket"], "chunk": r["chunk"], "keys": None, "docs": squeeze(found.astype("<i4")), "adds": squeeze(sums_[found])})
-        return pa.Table.from_pylist(out, schema=pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("adds", pa.binary())]))
+        return pa.Table.from_pylist(out, schema=schema)
 
-    return staged(sums.groupBy("bucket").applyInArrow(run, "kind string, bucket int, chunk long, keys binary, docs binary, adds binary"), "katz-backoffs", ["kind"], "none")
+    ddl = f"kind string, bucket long, chunk long, keys binary, docs binary, adds binary, {_DOCS_DDL}"
+    return staged(scored.groupBy("bucket").applyInArrow(run, ddl), f"katz-backoffs{order}", ["kind"], "none")
 
 
-def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Katz bigram scores of all texts, learnt from those whose crc32(id) mod 7 is not 2.
+def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """Katz n-gram scores of all texts, learnt from those whose crc32(id) mod 7 is not 2.
 
-    A text's tokens are its words and one end; the first has a start mark as history.
-    Counts are Good-Turing discounted at both orders. p(w | h) is the discounted count
-    ratio if the bigram was seen, else weight(h) * p(w), else (history not seen) p(w);
-    p(w) is the discounted unigram, and words not in training share its left mass as
-    one type. Weights are exactly normalised. The count tables of words and bigrams and
-    the weights are written as Parquet partitioned by kind, in buckets of key hashes;
-    chunks of documents ask the buckets and evaluate the recursion token by token.
+    A text's tokens are its words and one end; the first has a start mark as history, and
+    histories never reach beyond it. Counts are Good-Turing discounted at every order.
+    p(w | h) is the discounted count ratio if the n-gram was seen, else weight(h) * p(w | h')
+    with h' one word shorter, else (history not seen) p(w | h'); p(w) is the discounted
+    unigram, and words not in training share its left mass as one type. Weights are exactly
+    normalised. The count tables of words and bigrams and the weights of words as histories
+    are written as Parquet partitioned by kind, in buckets of key hashes; those of longer
+    n-grams, which nothing reads after, do not stay. Chunks of documents, which lie in
+    buckets and so are not exchanged, ask for counts and evaluate the recursion token by token.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     Null or empty text is one end token; a null id counts as training; repeated rows
     are learnt and scored each; with no training rows every probability is 1.
     """
+    if not 2 <= order <= 9:
+        raise ValueError("order: 2 to 9")
     spark = docs.sparkSession
-    chunks = chunk_table(docs, words, training_flag(row_id), row_id, text)
+    chunks = chunk_table(docs, words, training_flag(row_id), row_id, text, in_buckets=True)
     totals = chunks.select(
         F.expr("size(filter(flags, x -> x))").cast("long").alias("train_docs"),
         F.expr("aggregate(zip_with(flags, sizes, (f, s) -> if(f, cast(s as bigint), 0L)), 0L, (a, x) -> a + x)").alias("train_words"),
@@ -349,28 +374,35 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
         if n_train <= K + 1:
             of_words[n_train] += 1
     release(spark)
-    pair_table = _pair_counts(chunks, pair_buckets)
-    _, of_pairs = _summary(pair_table)
-    release(spark)
-    unigrams, bigrams = Unigrams(n_tokens, n_types, of_words), Discount(of_pairs)
-    answers = [m.filter("kind = 'reply'").select(F.col("chunk").alias("of_chunk"), F.lit(what).alias("what"), "bucket", "values") for m, what in ((word_table, "words"), (pair_table, "pairs"))]
-    scored = _chunk_scores(chunks, answers[0].union(answers[1]), unigrams, bigrams, n_train, word_buckets)
+    unigrams, discounts, tables = Unigrams(n_tokens, n_types, of_words), {}, {1: word_table}
+    for k in range(2, order + 1):
+        tables[k] = _gram_counts(chunks, pair_buckets, k)
+        discounts[k] = Discount(_summary(tables[k])[1])
+        if k > 2:
+            remove(tables[k], "kind=table")
+        release(spark)
+    answers = [m.filter("kind = 'reply'").select(F.col("chunk").alias("of_chunk"), F.lit(str(k)).alias("what"), "bucket", "values") for k, m in tables.items()]
+    replies = functools.reduce(DataFrame.union, answers)
+    weights = []
+    for k in range(2, order + 1):
+        scored = _chunk_scores(chunks, replies, unigrams, discounts, n_train, k, word_buckets if k == 2 else pair_buckets, with_docs=k == order)
+        weights.append(_backoffs(scored, k, with_table=k == 2))
+        del scored
+        release(spark)
     remove(chunks)
-    for table in (word_table, pair_table):
+    for table in tables.values():
         remove(table, "kind=reply")
-    release(spark)
-    weights = _backoffs(scored.filter("kind = 'sums'").select("bucket", "chunk", "keys", "mass", "seen", "q_keys", "q_docs", "q_times"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         d = left.to_pylist()[0]
         total = np.array(d["score"], dtype=float)
-        for r in sorted(right.to_pylist(), key=lambda r: r["bucket"]):
+        for r in sorted(right.to_pylist(), key=lambda r: (r["round"], r["bucket"])):
             total[unsqueeze(r["docs"], "<i4")] += unsqueeze(r["adds"], "<f8")
         n = len(d["ids"])
         columns = [pa.array(d["ids"], pa.int64()), pa.array([not x for x in d["trains"]]), pa.array(d["n_tokens"], pa.int64()), pa.array(d["n_known"], pa.int64()), pa.array([n_tokens] * n, pa.int64()), pa.array(d["base"], pa.float64()), pa.array(total)]
         return pa.Table.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    documents = scored.filter("kind = 'docs'").select("chunk", "ids", "trains", "n_tokens", "n_known", "base", "score")
-    adds = weights.filter("kind = 'reply'").select(F.col("chunk").alias("of_chunk"), "bucket", "docs", "adds")
+    documents = weights[-1].filter("kind = 'docs'").select("chunk", "ids", "trains", "n_tokens", "n_known", "base", "score")
+    adds = functools.reduce(DataFrame.union, [w.filter("kind = 'reply'").select(F.col("chunk").alias("of_chunk"), F.lit(i).alias("round"), "bucket", "docs", "adds") for i, w in enumerate(weights)])
     return documents.groupBy("chunk").cogroup(adds.groupBy("of_chunk")).applyInArrow(finish, schema)

@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.katz import score
 
-    return score(_table(spark, sf_dir, "documents"))
+    return score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,3 +320,40 @@ def test_pipeline_on_edges(spark, tmp_path):
         left = stage(spark, left, str(tmp_path))
         assert left.columns == c.COLUMNS and {r["doc_id"] for r in left.select("doc_id").collect()} <= before
     assert {r["doc_id"] for r in c.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in left.collect()}
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_longer_histories_is_the_brute_force_model(spark, real, order):
+    from larder.llm.katz import Discount, K, score
+
+    got = {r["doc_id"]: r for r in score(real, order=order).collect()}
+    texts = {r["doc_id"]: ["<s>", *words(r["text"]), "\n"] for r in real.collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    grams = {k: collections.Counter(tuple(t[j - k + 1 : j + 1]) for t in train for j in range(max(k - 1, 1), len(t))) for k in range(1, order + 1)}
+    d = {k: Discount([sum(v == r for v in c.values()) for r in range(K + 2)]) for k, c in grams.items()}
+    cut = {k: {g: v - float(d[k].lost(np.array([v]))[0]) for g, v in c.items()} for k, c in grams.items()}
+    total = sum(grams[1].values())
+    after = collections.defaultdict(dict)
+    for k in range(2, order + 1):
+        for g, v in grams[k].items():
+            after[g[:-1]][g[-1]] = v
+
+    def p(h, w):
+        if not h:
+            return cut[1].get((w,), sum(grams[1].values()) - sum(cut[1].values())) / total
+        if h not in after:
+            return p(h[1:], w)
+        if w in after[h]:
+            return cut[len(h) + 1][(*h, w)] / sum(after[h].values())
+        return weight(h) * p(h[1:], w)
+
+    cache = {}
+
+    def weight(h):
+        if h not in cache:
+            left = sum(v - cut[len(h) + 1][(*h, w)] for w, v in after[h].items()) / sum(after[h].values())
+            cache[h] = left / (1 - sum(p(h[1:], w) for w in after[h]))
+        return cache[h]
+
+    for i, t in texts.items():
+        assert got[i]["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t))))
