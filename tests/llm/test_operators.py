@@ -357,3 +357,25 @@ def test_katz_of_longer_histories_is_the_brute_force_model(spark, real, order):
 
     for i, t in texts.items():
         assert got[i]["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t))))
+
+
+def test_license_keywords_are_needed_by_their_patterns():
+    from re import _parser
+
+    from larder.llm.licenses import literal_runs, rules, scan_text
+
+    for r in rules():
+        branches = [r.pattern.pattern] if r.label != "proprietary" else r.pattern.pattern[3:-1].split("|")
+        assert all(any(r.keyword in x for x in literal_runs(_parser.parse(b))) for b in branches), r
+    for text, label in [
+        ("Redistribution and\nuse in source and binary forms, with or without\n# modification, are permitted", "bsd"),
+        ("released into the public\n# domain", "public-domain"),
+        ("Permission is\nhereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+        ("under the terms of the GNU General Public License as published by the Free\n * Software  Foundation", "gpl"),
+        ("Copyright 2020 me. All rights\nreserved", "all-rights-reserved"),
+        ("you may not use this file except in compliance\nwith the Licence", "apache-2.0"),
+        ("This software is provided 'as is', without any express or implied warranty. In no event will the authors be held liable", "zlib"),
+        ("Apache License 2.0", "apache-2.0"),
+        ("see apache.org/license", "apache"),
+    ]:
+        assert label in scan_text(text)[5].split(","), text
