@@ -7,6 +7,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,13 +143,13 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float, kind_o
     """Per block: link counts of ids (kind 0: a, n) and a forest of its links (kind 1: a, b)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        index: Index = pickle.loads(shipped.value)
         a, b, n, kind = [], [], [], []
         if left.num_rows and right.num_rows:
-            at = left["list"][0].as_py()
+            offset, index = pickle.loads(shipped.value)[len(left["unit"][0].as_py())]
+            at = left["list"][0].as_py() - offset
             rows, qs = _units(left["unit"], kind_of), _units(right["q_unit"], kind_of)
             ids, q_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
-            mult, q_mult, home = left["mult"].to_numpy(), right["q_mult"].to_numpy(), right["q_home"].to_numpy()
+            mult, q_mult, home = left["mult"].to_numpy(), right["q_mult"].to_numpy(), right["q_home"].to_numpy() - offset
             codes = np.stack([np.frombuffer(c.as_py(), dtype=np.uint8) for c in left["codes"]])
             reach = index.radius + left["error"].to_numpy() + 1e-9
             near = index.probes(rows)[1]
@@ -187,40 +188,45 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
     search meets counts for both. Lists and searches are dealt over blocks of BLOCK rows.
 
     Null, zero and non-finite vectors link with nothing and are kept; a null id has no
-    component and is not kept; an empty table gives no rows. Vectors of another length
-    than the most common one link with nothing but equal ones.
+    component and is not kept; an empty table gives no rows. Each length has an index of
+    its own, whose lists are numbered after those of shorter ones; vectors of different
+    lengths have no cosine and do not link.
     """
     kind = _width(vectors, column)
     table = _valid(vectors, row_id, column)
     good = table.filter("vec_key is not null and vec_id is not null")
     classes = staged(good.groupBy("vec_key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("unit").alias("unit")), "vector-classes")
-    total = classes.count()
     empty = good.select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("found"), F.col("vec_id").alias("component")).limit(0)
     found, labels = empty.select("id", "found"), empty.select("id", "component")
-    if total > 1:
-        sizes = classes.groupBy(F.length("unit").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-        usual = classes.filter(F.length("unit") == sizes["bytes"])
-        share = min(1.0, FIT_ROWS / sizes["count"])
-        unit_hash = F.pmod(F.xxhash64("vec_key"), F.lit(1_000_000)) / 1_000_000
-        sample = _units(usual.filter(unit_hash < share).select("unit").toArrow()["unit"], kind)
-        index = Index(sample, max(1, min(MAX_LISTS, round(math.sqrt(sizes["count"])))), cosine)
+    n_bytes = F.length("unit").alias("bytes")
+    sizes = classes.groupBy(n_bytes).count().filter("count > 1").orderBy("bytes").collect()  # one row a length
+    if sizes:
         spark = vectors.sparkSession
-        # MAX_LISTS centres and the codebooks, however many rows there are
-        shipped = spark.sparkContext.broadcast(pickle.dumps(index))
+        usual = classes.join(F.broadcast(spark.createDataFrame([(x["bytes"],) for x in sizes], "bytes int")), n_bytes == F.col("bytes"), "left_semi")
+        unit_hash = F.pmod(F.xxhash64("vec_key"), F.lit(1_000_000)) / 1_000_000
+        indexes, offset = {}, 0
+        for x in sizes:
+            share = min(1.0, FIT_ROWS / x["count"])
+            sample = _units(classes.filter((n_bytes == x["bytes"]) & (unit_hash < share)).select("unit").toArrow()["unit"], kind)
+            indexes[x["bytes"]] = offset, Index(sample, max(1, min(MAX_LISTS, round(math.sqrt(x["count"])))), cosine)
+            offset += len(indexes[x["bytes"]][1].centres)
+        # MAX_LISTS centres and the codebooks a length, however many rows there are
+        shipped = spark.sparkContext.broadcast(pickle.dumps(indexes))
 
         def index_rows(batches):
-            own: Index = pickle.loads(shipped.value)
+            own: dict[int, tuple[int, Index]] = pickle.loads(shipped.value)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _units(batch.column(2), kind)
-                home, near = own.probes(x)
-                codes, error = own.encode(x, home)
-                probes = [np.flatnonzero(row) for row in near]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(home, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))],
-                    names=["id", "mult", "unit", "home", "codes", "error", "probes"],
-                )
+                lengths = pc.binary_length(batch.column(2)).to_numpy()
+                for length in np.unique(lengths).tolist():
+                    part, (first, index) = batch.filter(pa.array(lengths == length)), own[length]
+                    x = _units(part.column(2), kind)
+                    home, near = index.probes(x)
+                    codes, error = index.encode(x, home)
+                    probes = [np.flatnonzero(row) + first for row in near]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), part.column(2), pa.array(home + first, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))],
+                        names=["id", "mult", "unit", "home", "codes", "error", "probes"],
+                    )
 
         indexed = staged(usual.select("id", "mult", "unit").mapInArrow(index_rows, "id long, mult long, unit binary, home long, codes binary, error double, probes array<long>"), "vector-index")
         asked = indexed.select("id", F.explode("probes").alias("list"))

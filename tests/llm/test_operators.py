@@ -379,3 +379,20 @@ def test_license_keywords_are_needed_by_their_patterns():
         ("see apache.org/license", "apache"),
     ]:
         assert label in scan_text(text)[5].split(","), text
+
+
+def test_near_vectors_of_several_lengths(spark):
+    from larder.llm.vectors import near_vectors
+
+    rng = np.random.default_rng(6)
+    given, want = [], {}
+    for first, n, dim in ((0, 60, 24), (100, 40, 16), (200, 2, 8), (300, 1, 5)):
+        x = rng.normal(size=(n, dim))
+        x[n // 2 :] = 3 * x[: n - n // 2] + 0.01 * rng.normal(size=(n - n // 2, dim))
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = u @ u.T >= 0.95
+        given += [(first + i, v.tolist()) for i, v in enumerate(x)]
+        want |= {first + i: (int(near[i].sum()) - 1, first + int(np.flatnonzero(near[i])[0])) for i in range(n)}
+    got = near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    assert sum(n for i, (n, _) in want.items() if 100 <= i < 200) >= 40
