@@ -17,8 +17,8 @@ BINS, SMOOTHING = 1 << 15, 0.5
 #: rows gives those whose id hash falls under bound / rows.
 SAMPLE_ROWS = 2000
 ROUNDS = 8
-#: Most languages in a set; log-likelihood a further language must add, in units of log(n).
-MOST_LANGUAGES, PENALTY = 3, 12.0
+#: Log-likelihood a further language must add, in units of log(n).
+PENALTY = 12.0
 SLICE_BYTES = 400_000
 
 
@@ -76,7 +76,9 @@ def mixtures(texts: list[str], log_p: np.ndarray) -> list[list[tuple[int, float]
     """Languages (by index) and proportions of each non-empty text, the largest first.
 
     EM over all languages orders them; EM within the first 1, 2, .. of that order gives
-    likelihoods, and the set with the best one after its penalty stays.
+    likelihoods, and the set with the best one after its penalty stays. A text goes on to k
+    languages only if the likelihood with each n-gram's best language, which no mixture
+    exceeds, would win after that penalty; this loses nothing.
     """
     n_langs = log_p.shape[1]
     table = np.exp(log_p)
@@ -95,13 +97,19 @@ def mixtures(texts: list[str], log_p: np.ndarray) -> list[list[tuple[int, float]
     log_n = np.log(np.add.reduceat(c, starts) + 1)
     best = np.full(len(texts), -np.inf)
     chosen = np.zeros((len(texts), n_langs))
-    for k in range(1, min(MOST_LANGUAGES, n_langs) + 1):
-        mask = np.zeros((len(texts), n_langs))
-        np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
-        own, fit = _em(p, c, rows, starts, mask, ROUNDS if k > 1 else 0)
-        fit = fit - PENALTY * (k - 1) * log_n
-        better = fit > best
-        best[better], chosen[better] = fit[better], own[better]
+    most = np.add.reduceat(c * np.log(p.max(axis=1)), starts)
+    for k in range(1, n_langs + 1):
+        open_ = most - PENALTY * (k - 1) * log_n > best
+        live = np.flatnonzero(open_)
+        if not len(live):
+            break
+        part, own_sizes = open_[rows], np.array(sizes)[live]
+        mask = np.zeros((len(live), n_langs))
+        np.put_along_axis(mask, order[live, :k], 1.0, axis=1)
+        own, fit = _em(p[part], c[part], np.repeat(np.arange(len(live)), own_sizes), np.cumsum(own_sizes) - own_sizes, mask, ROUNDS if k > 1 else 0)
+        fit = fit - PENALTY * (k - 1) * log_n[live]
+        better = fit > best[live]
+        best[live[better]], chosen[live[better]] = fit[better], own[better]
     out = []
     for own in chosen:
         top = [int(i) for i in np.argsort(-own, kind="stable") if own[i] > 0]

@@ -396,3 +396,15 @@ def test_near_vectors_of_several_lengths(spark):
     got = near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
     assert sum(n for i, (n, _) in want.items() if 100 <= i < 200) >= 40
+
+
+def test_mixture_of_all_languages():
+    from larder.llm.langid import BINS, SMOOTHING, mixtures, trigram_bins
+
+    texts = ["the cat and the dog " * 60, "der hund und die katze " * 60, "el perro con una gata " * 60, "chien avec notre chat " * 60, "кошка или собака " * 60]
+    counts = np.stack([np.bincount(trigram_bins(t), minlength=BINS) for t in texts], axis=1) + SMOOTHING
+    log_p = np.log(counts / counts.sum(axis=0))
+    for n in (1, 4, 5):
+        found = mixtures(["word", "".join(texts[:n]), texts[4]], log_p)
+        assert sorted(i for i, _ in found[1]) == list(range(n)) and max(v for _, v in found[1]) < 1 / n + 0.1
+        assert [i for i, _ in found[2]] == [4]
