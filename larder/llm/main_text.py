@@ -4,82 +4,131 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.markup import VOID, Open, TotalParser
+
 #: Elements that end a line of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never part of an article.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas dialog menu option label".split())
-#: Words of class, id or role that mark page furniture.
-FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies discussion disqus footer gdpr hidden masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paginate pagination paywall popup promo promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Roles whose elements are never part of an article.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Words of class or id that mark page furniture, and among them those of reader comments.
+REMARKS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+FURNITURE = REMARKS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr hidden masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager paginate pagination paywall popup promo promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words before or after a furniture word that make a class name speak of the layout around it.
+LAYOUT_BEFORE = frozenset("has have no not with without is js overflow hide show enable disable".split())
+LAYOUT_AFTER = frozenset("open closed enabled disabled on off left right none visible".split())
 HEADERS = frozenset(["header", "topbar"])
 ARTICLES = frozenset(["article", "main"])
+#: A new one of these ends an open one of the same name.
+REPEATS = frozenset("li dt dd td th tr option".split())
+#: Open elements beyond which nothing is ended by a new block.
+BARRIERS = ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "td")
+#: Elements that are no region of their own.
+SMALL = frozenset("p li b h1 h2 h3 h4 h5 h6 td tr span blockquote pre".split())
+
+
+def marks(value: str) -> set[str]:
+    """Furniture and header words of a class or id attribute.
+
+    Each name is split at hyphens and changes of case. A name with a word of LAYOUT_BEFORE
+    before or of LAYOUT_AFTER behind it (has-sidebar, comments-open) says nothing.
+    """
+    found = set()
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if len(words) > 1 and (words[0] in LAYOUT_BEFORE or words[-1] in LAYOUT_AFTER):
+            continue
+        found.update(w for w in words if w in FURNITURE or w in HEADERS)
+    return found
 
 
 @dataclass
 class Line:
     text: str
     tags: int
-    inside: tuple[int, ...]
-    heading: bool = False
+    inside: int
+    heading: bool
+    links: int
+    linked: int
 
 
 @dataclass
-class _Open:
+class Box:
+    """An element that may hold lines; its descendants' numbers run up to ``last``."""
+
     tag: str
-    number: int
-    furniture: bool
-    article: bool = field(default=False)
+    parent: int
+    hard: bool
+    article: bool
+    mark: str = ""
+    last: int = 0
+    titled: bool = False
 
 
-class _Events(HTMLParser):
-    """Parser events to lines of text with their tag counts and open containers."""
+class _Events(TotalParser):
+    """Parser events to lines of text with their tag counts and innermost box."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[_Open] = []
+        super().__init__()
+        self.open = Open()
+        self.numbers: list[int] = []
+        self.boxes = [Box("", 0, False, False)]
         self.lines: list[Line] = []
-        self.kinds: dict[int, str] = {}
         self.parts: list[str] = []
-        self.tags = 0
-        self.number = 0
+        self.tags = self.links = self.linked = self.hard = self.inline = self.articles = 0
+        self.in_link = False
 
     def _end_line(self):
         text = " ".join("".join(self.parts).split())
-        if text and not any(o.furniture for o in self.stack):
-            self.lines.append(Line(text, max(1, self.tags), tuple(o.number for o in self.stack), bool(self.stack) and self.stack[-1].tag in ("h1", "h2", "h3")))
-        self.parts, self.tags = [], 0
-
-    def _is_furniture(self, tag: str, attrs) -> bool:
-        if tag in NEVER:
-            return True
-        within = any(o.article for o in self.stack)
-        if tag in HEADERS and not within:
-            return True
+        if text and not self.hard:
+            inside = self.numbers[-1] if self.numbers else 0
+            self.lines.append(Line(text, max(1, self.tags), inside, self.boxes[inside].tag in ("h1", "h2", "h3"), self.links, self.linked))
+        self.parts, self.tags, self.links, self.linked, self.in_link = [], 0, 0, 0, False
+
+    def _forget(self, number: int):
+        box = self.boxes[number]
+        box.last = len(self.boxes) - 1
+        self.hard -= box.hard
+        self.inline -= box.hard and box.tag not in BLOCKS
+        self.articles -= box.article
+
+    def _cut(self, depth: int):
+        """Close every element from a depth on."""
+        while len(self.numbers) > depth:
+            if self.open.names[-1] is not None:
+                self._forget(self.numbers[-1])
+            self.open.pop()
+            self.numbers.pop()
+
+    def _kind(self, tag: str, attrs) -> tuple[bool, str]:
+        """Whether an element is never content, and the kind of its mark: remark, furniture or none."""
+        if tag in NEVER or tag == "header" and not self.articles:
+            return True, ""
+        mark = ""
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value or "").lower()))
-                if words & FURNITURE or words & HEADERS and not within:
-                    return True
-            if name == "class" and tag == "article" and set(re.split(r"[^a-z]+", (value or "").lower())) & {"comment", "ad", "advert", "advertisement", "related", "promo"}:
-                return True
-        return False
-
-    def _close(self, index: int):
-        self._end_line()
-        del self.stack[index:]
+            value = value or ""
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
+                return True, ""
+            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True, ""
+            if name in ("class", "id") and tag not in ("html", "body", "main"):
+                found = marks(value)
+                if tag == "article":
+                    found &= {"comment", "ad", "advert", "advertisement", "related", "promo"}
+                if found & REMARKS:
+                    mark = "remark"
+                elif found & FURNITURE or found & HEADERS and not self.articles:
+                    mark = mark or "furniture"
+        return False, mark
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -87,52 +136,64 @@ class _Events(HTMLParser):
             self.parts.append(" ")
         if tag in VOID and tag != "hr":
             return
+        if tag == "a":
+            self.in_link = True
+            self.links += 1
         if tag in BLOCKS:
             self._end_line()
-            for i in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[i].tag
-                if open_tag == "p" or open_tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    del self.stack[i:]
-                elif open_tag in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "td"):
-                    break
+            ended = []
+            if self.open.at.get("p") or tag in REPEATS and self.open.at.get(tag):
+                barrier = max(self.open.last(b) for b in BARRIERS if b != tag or tag not in REPEATS)
+                ended = [d for name in ({"p", tag} if tag in REPEATS else {"p"}) if (d := self.open.first_after(name, barrier)) is not None]
+            if ended:
+                self._cut(min(ended))
             if tag in ARTICLES:  # a menu or page header that was not closed ends here
-                for i, o in enumerate(self.stack):
-                    if o.tag in ("nav", "header", "head"):
-                        del self.stack[i:]
-                        break
+                ended = [d for name in ("nav", "header", "head") if (d := self.open.first_after(name, -1)) is not None]
+                if ended:
+                    self._cut(min(ended))
             if tag == "hr":
                 return
         elif tag not in NEVER and not any(n in ("class", "id", "role", "hidden", "style", "aria-hidden") for n, _ in attrs):
             return
-        self.number += 1
-        self.kinds[self.number] = tag
-        furniture = self._is_furniture(tag, attrs)
-        if furniture and tag not in BLOCKS:
-            hidden, self.parts = self.parts, []  # inline furniture must not take the text before it along
-            self.parts = [*hidden, " "]
-        self.stack.append(_Open(tag, self.number, furniture, tag in ARTICLES and not furniture))
+        hard, mark = self._kind(tag, attrs)
+        if hard and tag not in BLOCKS:
+            self.parts.append(" ")
+        parent = self.numbers[-1] if self.numbers else 0
+        box = Box(tag, parent, hard, tag in ARTICLES and not hard and not mark, mark)
+        self.numbers.append(len(self.boxes))
+        self.boxes.append(box)
+        self.open.push(tag)
+        self.hard += hard
+        self.inline += hard and tag not in BLOCKS
+        self.articles += box.article
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                if tag in BLOCKS:
-                    self._close(i)
-                else:
-                    del self.stack[i]
-                return
+        if tag == "a":
+            self.in_link = False
+        depth = self.open.last(tag)
         if tag in BLOCKS:
             self._end_line()
+            if depth >= 0:
+                self._cut(depth)
+        elif depth >= 0:
+            self.open.blank(tag)
+            self._forget(self.numbers[depth])
+            while self.numbers and self.open.names[-1] is None:
+                self.open.pop()
+                self.numbers.pop()
 
     def handle_data(self, data):
-        if self.stack and any(o.furniture for o in self.stack if o.tag not in BLOCKS):
-            return
-        self.parts.append(data)
+        if not self.inline:
+            self.parts.append(data)
+            if self.in_link:
+                self.linked += len(data.strip())
 
-    def finish(self):
-        self.close()
+    def finish(self) -> tuple[list[Line], list[Box]]:
         self._end_line()
-        return self.lines
+        self._cut(0)
+        self.boxes[0].last = len(self.boxes) - 1
+        return self.lines, self.boxes
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -159,33 +220,78 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _within(boxes: list[Box], box: int, number: int) -> bool:
+    return box <= number <= boxes[box].last
+
+
+def _weights(lines: list[Line], boxes: list[Box], chosen: list[bool]) -> list[int]:
+    """Characters of the chosen lines in every box, those of its descendants included."""
+    weight = [0] * len(boxes)
+    for line, is_chosen in zip(lines, chosen, strict=True):
+        weight[line.inside] += len(line.text) * is_chosen
+    for number in range(len(boxes) - 1, 0, -1):  # a box comes after its parent
+        weight[boxes[number].parent] += weight[number]
+    return weight
+
+
+def unmarked(lines: list[Line], boxes: list[Box]) -> list[Line]:
+    """Lines outside boxes whose mark counts.
+
+    A mark does not count for a box with a first heading or a main element in it, nor, on
+    pages that have neither of them nor an article elsewhere and unless it marks reader
+    comments, for one with half of the page's text or more: such a class speaks of the
+    page's layout.
+    """
+    weight = _weights(lines, boxes, [True] * len(lines))
+    for line in lines:
+        if boxes[line.inside].tag == "h1":
+            boxes[line.inside].titled = True
+    for number in range(len(boxes) - 1, 0, -1):
+        box = boxes[number]
+        boxes[box.parent].titled |= box.titled or box.tag == "main" and not box.hard
+    out = [False] * len(boxes)
+    marked = [False] * len(boxes)
+    for number, box in enumerate(boxes):
+        marked[number] = marked[box.parent] or bool(box.mark)
+    anchored = boxes[0].titled or any(b.article and not m and w for b, m, w in zip(boxes, marked, weight, strict=True))
+    for number, box in enumerate(boxes):
+        counts = box.mark and not box.titled and (box.mark == "remark" or anchored or 2 * weight[number] < weight[0])
+        out[number] = out[box.parent] or bool(counts)
+    return [line for line in lines if not out[line.inside]]
+
+
+def without_link_lists(lines: list[Line], content: list[bool]) -> list[Line]:
+    """Lines but for lists of links: lines below the threshold of which half or more is
+    links, if there are two links in the line or such a line next to it."""
+    is_link = [2 * x.linked >= len(x.text) and not c and not x.heading for x, c in zip(lines, content, strict=True)]
+    near = lambda i: 0 < i and is_link[i - 1] or i + 1 < len(lines) and is_link[i + 1]
+    return [x for i, x in enumerate(lines) if not (is_link[i] and (x.links > 1 or near(i)))]
+
+
 def extract_text(html: str | None) -> str:
     """Main text of one page; see extract_pages."""
     events = _Events()
-    events.feed(html or "")
-    lines = events.finish()
+    events.read(html)
+    found, boxes = events.finish()
+    lines = unmarked(found, boxes)
     if not lines:
         return ""
     ratio = smoothed([len(x.text) / x.tags for x in lines])
     cut = threshold(ratio)
     content = [r >= cut for r in ratio]
-    weight: dict[int, int] = {}
-    for line, is_content in zip(lines, content, strict=True):
-        for number in line.inside if is_content else ():
-            weight[number] = weight.get(number, 0) + len(line.text)
-    total = sum(len(x.text) for x, c in zip(lines, content, strict=True) if c)
-    holders = [n for n, w in weight.items() if w >= 0.8 * total and events.kinds[n] not in ("p", "li", "b", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "span", "blockquote", "pre")]
-    region = max(holders, default=0)
-    article = next((n for n in sorted(weight, key=lambda n: -weight[n]) if events.kinds[n] in ARTICLES and weight[n] >= 0.5 * total), 0)
-    if article:
-        chosen = [x for x in lines if article in x.inside]
+    weight = _weights(lines, boxes, content)
+    total = weight[0]
+    region = max((n for n in range(1, len(boxes)) if weight[n] >= 0.8 * total and boxes[n].tag not in SMALL), default=0)
+    article = max((n for n in range(1, len(boxes)) if boxes[n].article and 2 * weight[n] >= total), key=lambda n: (weight[n], -n), default=0)
+    if article:  # its own first and last lines are the borders, however short
+        region, chosen = article, [i for i, x in enumerate(lines) if _within(boxes, article, x.inside)]
     else:
-        inside = [i for i, x in enumerate(lines) if content[i] and (not region or region in x.inside)]
+        inside = [i for i, x in enumerate(lines) if content[i] and _within(boxes, region, x.inside)]
         first, last = min(inside), max(inside)
         while first and lines[first - 1].heading:
             first -= 1
-        chosen = [x for x in lines[first : last + 1] if not region or region in x.inside or x.heading]
-    return "\n\n".join(x.text for x in chosen)
+        chosen = [i for i in range(first, last + 1) if _within(boxes, region, lines[i].inside) or lines[i].heading]
+    return "\n\n".join(x.text for x in without_link_lists([lines[i] for i in chosen], [content[i] for i in chosen]))
 
 
 def extract_pages(pages: DataFrame, row_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -193,11 +299,13 @@ def extract_pages(pages: DataFrame, row_id: str = "page_id", html: str = "html")
 
     Parser events of the standard library become lines (block elements) with their
     count of tags. Text-to-tag ratios are smoothed by a Gaussian and split by a
-    two-means threshold; lines above it are content, and the container that holds
-    them (an article or main element, else the deepest one with four fifths of their
-    text) is the region whose lines are returned. Furniture elements and classes never
-    give lines. Null or empty html gives an empty text; broken markup is read as far
-    as it goes; a line break inside a block is white space.
+    two-means threshold; lines above it are content, and the box that holds them (an
+    article or main element with half of their text, else the deepest one with four
+    fifths) is the region. It runs from its first to its last content line (an article
+    to its own borders), and lists of links among the lines below the threshold go.
+    Furniture elements never give lines, nor do boxes of furniture classes (see
+    unmarked). Null or empty html gives an empty text; broken markup is read as far as it
+    goes, in time that grows with its length; a line break inside a block is white space.
     """
     schema = "page_id long, url string, text string, n_chars long"
 
@@ -206,4 +314,4 @@ def extract_pages(pages: DataFrame, row_id: str = "page_id", html: str = "html")
             texts = [extract_text(v.as_py()) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(row_id).cast("long"), "url", F.col(html).cast("string")).mapInArrow(extract, schema)
+    return pages.select(F.col(row_id).cast("long"), F.col("url").cast("string"), F.col(html).cast("string")).mapInArrow(extract, schema)
