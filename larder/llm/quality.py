@@ -13,23 +13,29 @@ from larder.llm.common import SPACE_CLASS, bound, split_words, staged
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Share of a group's rows that the estimate rests on, and how often it is concentrated.
-SUPPORT, STEPS = 0.75, 6
-#: Rows are rejected beyond this squared distance: the chi-square quantile of 4 degrees
-#: of freedom at 0.999.
-CUTOFF = 18.467
-#: Smaller groups are pooled, by language first; rows of a pool that is still smaller
-#: pass the outlier rule.
+#: Share of a group's rows that the estimate rests on; steps taken from every start, and
+#: those from the start that is then best.
+SUPPORT, FIRST_STEPS, STEPS = 0.5, 2, 4
+#: Rows within this quantile of the first estimate make up the final one.
+REWEIGHT = 0.975
+#: Rows are rejected beyond this squared distance: the chi-square quantile of 4 degrees of
+#: freedom at 1 - 1e-9, as tails of text statistics are heavier than those of a normal.
+CUTOFF = 47.9
+#: Smaller groups are pooled, by language first, then all together.
 LEAST_ROWS = 20
-#: Every statistic has at least this deviation in every group, so that rates which are
-#: zero in nearly all texts do not make one symbol an outlier.
-LEAST_SD = 0.05
+#: A direction is degenerate below these deviations (given the statistics before it), and
+#: gets them: rates that are zero in nearly all texts do not make one symbol an outlier.
+LEAST_SD = (0.03, 0.005, 0.005, 0.01)
+#: Estimates are broadcast to rows if there are no more groups than this (some 300 bytes each).
+MAX_BROADCAST = 50_000
 #: Characters (words) of prior that rates (word lengths) of short texts are drawn to.
 PRIOR_CHARS, PRIOR_WORDS = 200.0, 50.0
 #: Prior means of: symbols, upper-case letters and punctuation a character; word length.
 PRIORS = (0.0, 0.02, 0.03, 5.5)
 DIM = 4
-BINS, BINS_PER_UNIT = 1200, 100
+#: Bins of statistics and of log distances, a unit, by which quantiles are counted.
+VALUE_BINS, DISTANCE_BINS, MOST_BINS = 2000, 200, 2400
+STARTS = 3
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -41,13 +47,17 @@ def _chi2_cdf(x: float, dof: int) -> float:
     return 1 - math.exp(-half) * total
 
 
-def _consistency(share: float) -> float:
-    """What the covariance of the inner ``share`` of a normal sample is multiplied by."""
+def _chi2_quantile(share: float) -> float:
     low, high = 0.0, 100.0
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if _chi2_cdf(mid, DIM) < share else (low, mid)
-    return share / _chi2_cdf(low, DIM + 2)
+    return low
+
+
+def _consistency(share: float) -> float:
+    """What the covariance of the inner ``share`` of a normal sample is multiplied by."""
+    return share / _chi2_cdf(_chi2_quantile(share), DIM + 2)
 
 
 def repeated_words(words: Column) -> Column:
@@ -108,33 +118,54 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 X = [f"x{i}" for i in range(DIM)]
+#: The group of all pairs that are too small for one of their own.
+REST = "rest"
+
+
+PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
 
-def _with_cholesky(groups: DataFrame) -> DataFrame:
-    """From columns m_i and c_i_j of a covariance: columns l_i_j of its lower factor."""
+def _with_cholesky(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """From columns m_i and c_i_j of a covariance: columns l_i_j of its lower factor, and det."""
     out = groups
     for j in range(DIM):
         own = F.col(f"c_{j}_{j}")
         for k in range(j):
             own = own - F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}")
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(own, F.lit(LEAST_SD**2 / 10))))
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(own, F.lit(LEAST_SD[j] ** 2))))
         for i in range(j + 1, DIM):
             low = F.col(f"c_{j}_{i}")
             for k in range(j):
                 low = low - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             out = out.withColumn(f"l_{i}_{j}", low / F.col(f"l_{j}_{j}"))
-    return out.select("_group", "n_rows", *(f"m_{i}" for i in range(DIM)), *(f"l_{i}_{j}" for i in range(DIM) for j in range(i + 1)))
+    det = F.col("l_0_0")
+    for j in range(1, DIM):
+        det = det * F.col(f"l_{j}_{j}")
+    return out.select(*keys, *(f"m_{i}" for i in range(DIM)), *(f"l_{i}_{j}" for i in range(DIM) for j in range(i + 1)), det.alias("det"))
 
 
-def _with_distance(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    """Squared Mahalanobis distance of every row to its group, by forward substitution."""
-    out = rows.join(groups, "_group", how)
+def _met(rows: DataFrame, groups: DataFrame, on: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """Rows with their group's columns; few groups are broadcast, so rows stay where they are."""
+    return rows.join(F.broadcast(groups) if small else groups, on, how)
+
+
+def _distance() -> tuple[list[tuple[str, Column]], Column]:
+    """Forward substitution: columns _y0.. in order, and the squared distance over them."""
+    steps = []
     for i in range(DIM):
         y = F.col(X[i]) - F.col(f"m_{i}")
         for k in range(i):
             y = y - F.col(f"l_{i}_{k}") * F.col(f"_y{k}")
-        out = out.withColumn(f"_y{i}", y / F.col(f"l_{i}_{i}"))
-    return out.withColumn("distance", sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, DIM)), F.col("_y0") * F.col("_y0")))
+        steps.append((f"_y{i}", y / F.col(f"l_{i}_{i}")))
+    return steps, sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, DIM)), F.col("_y0") * F.col("_y0"))
+
+
+def _with_distance(met: DataFrame) -> DataFrame:
+    """Squared Mahalanobis distance of rows that have met their groups."""
+    steps, total = _distance()
+    for name, y in steps:
+        met = met.withColumn(name, y)
+    return met.withColumn("distance", total)
 
 
 def _within(rows: DataFrame, by: list[str], value: Column, share: float) -> DataFrame:
@@ -145,39 +176,73 @@ def _within(rows: DataFrame, by: list[str], value: Column, share: float) -> Data
     return summed.filter(F.col("_upto") >= F.lit(share) * F.col("_all")).groupBy(*by).agg(F.min("_bin").alias("_bin"))
 
 
-def _distance_bin() -> Column:
-    return F.least(F.floor(F.log1p("distance") * BINS_PER_UNIT), F.lit(BINS)).cast("int")
-
-
-def robust_groups(rows: DataFrame) -> DataFrame:
-    """Robust centre and covariance factor of every ``_group`` of rows.
-
-    Concentration starts at the coordinatewise medians with the least deviation. A step
-    keeps the rows within the bin of distances where their count reaches SUPPORT of the
-    group, and estimates anew from all of them; counts of bins and moments are partial
-    sums, so a group of any size is never in one task. Each step's estimates (one row a
-    group) are written, which cuts the lineage.
+def _moments(inner: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """Means and scaled covariances of rows, by partial sums."""
+    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)] + [(F.covar_pop(X[i], X[j]) * scale).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    return inner.groupBy(*keys).agg(*sums)
+
+
+def _step(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool, name: str) -> DataFrame:
+    """One concentration: estimates of the rows within the bin of distances that reaches SUPPORT."""
+    at = F.least(F.floor(F.log1p("distance") * DISTANCE_BINS), F.lit(MOST_BINS)).cast("int")
+    measured = _with_distance(_met(rows, groups, ["_group"], small)).select(*keys, *X, at.alias("_at"))
+    border = _within(measured, keys, F.col("_at"), SUPPORT).withColumnRenamed("_bin", "_border")
+    inner = _met(measured, border, keys, small).filter(F.col("_at") <= F.col("_border"))
+    return staged(_with_cholesky(_moments(inner, keys, _consistency(SUPPORT)), keys), name)
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """Three starts a group about its medians: independent statistics with deviations by the
+    median absolute one, and with correlations of tanh scores and of spatial signs."""
+    values = [F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(X)]
+    long = rows.select("_group", F.explode(F.array(*values)).alias("s")).select("_group", "s.i", "s.v")
+    centre = lambda c: (F.col(c) + 0.5) / VALUE_BINS
+    medians = staged(_within(long, ["_group", "i"], F.floor(F.col("v") * VALUE_BINS).cast("int"), 0.5).select("_group", "i", centre("_bin").alias("median")), "mcd-medians")
+    away = F.floor(F.abs(F.col("v") - F.col("median")) * VALUE_BINS).cast("int")
+    spread = _within(_met(long, medians, ["_group", "i"], small), ["_group", "i"], away, 0.5)
+    floor = F.element_at(F.array(*map(F.lit, LEAST_SD)), F.col("i") + 1)
+    sides = medians.join(spread, ["_group", "i"]).select("_group", "i", "median", F.greatest(1.4826 * centre("_bin"), floor).alias("sd"))
+    of = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    wide = staged(sides.groupBy("_group").agg(*(of(i, c).alias(f"{n}_{i}") for i in range(DIM) for n, c in (("m", "median"), ("s", "sd")))), "mcd-scales")
+    z = [(F.col(x) - F.col(f"m_{i}")) / F.col(f"s_{i}") for i, x in enumerate(X)]
+    scored = _met(rows, wide, ["_group"], small).select("_group", *(c.alias(f"z{i}") for i, c in enumerate(z)))
+    norm = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIM)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
+    kinds = {1: lambda i: F.tanh(F.col(f"z{i}")), 2: lambda i: F.col(f"z{i}") / norm}
+    products = scored.groupBy("_group").agg(*(F.avg(f(i) * f(j)).alias(f"p{k}_{i}_{j}") for k, f in kinds.items() for i, j in PAIRS))
+
+    def correlation(k: int, i: int, j: int) -> Column:
+        if k == 0 or i == j:
+            return F.lit(1.0 if i == j else 0.0)
+        return F.col(f"p{k}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"p{k}_{i}_{i}") * F.col(f"p{k}_{j}_{j}"), F.lit(1e-18)))
+
+    own = [F.struct(F.lit(k).alias("_start"), *((correlation(k, i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in PAIRS)) for k in range(STARTS)]
+    both = wide.join(products, "_group").withColumn("_s", F.explode(F.array(*own)))
+    return staged(_with_cholesky(both.select("_group", *(f"m_{i}" for i in range(DIM)), "_s.*"), ["_group", "_start"]), "mcd-start")
+
+
+def robust_groups(rows: DataFrame, small: bool) -> DataFrame:
+    """Minimum covariance determinant estimate of every ``_group`` of rows.
+
+    From each of STARTS starts FIRST_STEPS concentrations are made; the one with the least
+    determinant goes on for STEPS more. The rows within REWEIGHT of it make up the final
+    centre and covariance; both are scaled to be consistent for normal rows. Counts of bins
+    and moments are partial sums, so a group of any size is never in one task. Each step's
+    estimates (one row a group and start) are written, which cuts the lineage.
     """
-    long = rows.select("_group", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(X)))).alias("s")).select("_group", F.col("s.i").alias("i"), F.col("s.v").alias("v"))
-    medians = _within(long, ["_group", "i"], F.floor(F.col("v") * 500).cast("int"), 0.5)
-    start = medians.groupBy("_group").agg(*(F.max(F.when(F.col("i") == i, (F.col("_bin") + 0.5) / 500)).alias(f"m_{i}") for i in range(DIM)))
-    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n_rows"))
-    first = start.join(sizes, "_group").withColumns({f"c_{i}_{j}": F.lit(LEAST_SD**2 if i == j else 0.0) for i in range(DIM) for j in range(i, DIM)})
-    groups = staged(_with_cholesky(first), "mcd-start")
-    scale = _consistency(SUPPORT)
-    for step in range(STEPS):
-        measured = _with_distance(rows, groups).select("_group", "n_rows", *X, _distance_bin().alias("_at"))
-        border = _within(measured, ["_group"], F.col("_at"), SUPPORT).withColumnRenamed("_bin", "_border")
-        inner = measured.join(border, "_group").filter(F.col("_at") <= F.col("_border"))
-        sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)] + [F.covar_pop(X[i], X[j]).alias(f"v_{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-        moments = inner.groupBy("_group").agg(F.first("n_rows").alias("n_rows"), *sums)
-        floored = moments.withColumns({f"c_{i}_{j}": F.col(f"v_{i}_{j}") * scale + (LEAST_SD**2 if i == j else 0.0) for i in range(DIM) for j in range(i, DIM)})
-        groups = staged(_with_cholesky(floored), f"mcd-{step}")
-    return groups
+    groups, keys = _starts(rows, small), ["_group", "_start"]
+    for k in range(FIRST_STEPS):
+        groups = _step(rows, groups, keys, small, f"mcd-first{k}")
+    rest = [c for c in groups.columns if c not in keys]
+    best = groups.groupBy("_group").agg(F.min_by(F.struct(*rest), F.struct("det", "_start")).alias("b"))
+    groups = staged(best.select("_group", "b.*"), "mcd-best")
+    for k in range(STEPS):
+        groups = _step(rows, groups, ["_group"], small, f"mcd-{k}")
+    inner = _with_distance(_met(rows, groups, ["_group"], small)).filter(F.col("distance") <= _chi2_quantile(REWEIGHT))
+    return staged(_with_cholesky(_moments(inner, ["_group"], _consistency(REWEIGHT)), ["_group"]), "mcd-last")
 
 
 def _groups_of(rows: DataFrame) -> DataFrame:
-    """(_pair, _group): a pair of language and source, or what its rows are pooled with.
+    """(_pair, _group, _n): a pair of language and source, or what its rows are pooled with.
 
     Pairs under LEAST_ROWS are pooled by language, languages that are then still too
     small all together. One row a pair.
@@ -185,26 +250,35 @@ def _groups_of(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("_pair", "_lang").agg(F.count(F.lit(1)).alias("_n"))
     small = F.col("_n") < LEAST_ROWS
     pooled = F.sum(F.when(small, F.col("_n"))).over(Window.partitionBy("_lang"))
-    group = F.when(~small, F.concat(F.lit("p"), "_pair")).when(pooled >= LEAST_ROWS, F.concat(F.lit("l"), "_lang")).otherwise("rest")
-    return staged(sizes.select("_pair", group.alias("_group")), "quality-groups")
+    group = F.when(~small, F.concat(F.lit("p"), "_pair")).when(pooled >= LEAST_ROWS, F.concat(F.lit("l"), "_lang")).otherwise(REST)
+    return staged(sizes.select("_pair", group.alias("_group"), "_n"), "quality-groups")
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Base counts, base verdict, robust distance and verdict of every row.
 
     Groups are pairs of language and source (see _groups_of for small ones); null is a
-    value of its own. Estimates rest on rows that pass the base rules. base_failed: fewer than 20 words, or more than
-    30 % of words in repeated windows. kept: not base_failed and within CUTOFF of the
-    group's robust estimate (rows of groups under LEAST_ROWS pass). Null text counts as
-    empty and fails; repeated rows are judged alike; an empty table gives no rows.
+    value of its own. If the pool of all small ones is itself under LEAST_ROWS, it is
+    judged by an estimate of all rows. Estimates rest on rows that pass the base rules.
+    base_failed: fewer than 20 words, or more than 30 % of words in repeated windows.
+    kept: not base_failed and within CUTOFF of the group's robust estimate. Repetition and
+    repeated lines are no part of the vector: clean texts have them, and the base rules
+    judge them. Null text counts as empty and fails; repeated rows are judged alike; an
+    empty table gives no rows. A kept column named like one of the results is an error.
     """
     keep = keep or ["doc_id"]
     lang, source = (F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in ("lang", "source"))
     rows = staged(text_statistics(docs.withColumn("_lang", lang).withColumn("_pair", F.concat_ws("\x01", lang, source)), [*keep, "_lang", "_pair"]), "quality")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    rows = rows.join(_groups_of(rows.filter(~F.col("base_failed"))), "_pair", "left")
-    groups = robust_groups(rows.filter(~F.col("base_failed")))
-    measured = _with_distance(rows, groups.filter(F.col("n_rows") >= LEAST_ROWS), "left")
+    passed = rows.filter(~F.col("base_failed"))
+    pairs = _groups_of(passed)
+    facts = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_group") == REST, F.col("_n"))).alias("rest")).first()
+    small = facts["n"] <= MAX_BROADCAST
+    grouped = lambda table, how: _met(table, pairs.select("_pair", "_group"), ["_pair"], small, how)
+    basis = grouped(passed, "inner").select("_group", *X)
+    if facts["rest"] and facts["rest"] < LEAST_ROWS:
+        basis = basis.filter(F.col("_group") != REST).union(passed.select(F.lit(REST).alias("_group"), *X))
+    measured = _with_distance(_met(grouped(rows, "left"), robust_groups(basis, small), ["_group"], small, "left"))
     return measured.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)).select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
