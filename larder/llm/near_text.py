@@ -186,27 +186,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, row_id: s
 
     Defined cases: null or wordless text has the empty set and links with nothing; a
     null id gets no component and is not kept; rows that share an id count as one
-    document in the graph; an empty table gives no rows.
+    document in the graph, whose texts are linked; an empty table gives no rows.
+    Vertices are known by their smallest doc_id, by numbers of their own where one
+    doc_id has several texts.
     """
     table = _set_table(docs, size, row_id, text)
     filled = table.filter("set_key is not null and doc_id is not null")
-    vertices = staged(filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "vertices")
+    key = F.xxhash64("set_key")
+    repeats = staged(filled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), (F.min(key) != F.max(key)).alias("differ")).filter("k > 1"), "repeats")
+    repeated, differ = not repeats.isEmpty(), not repeats.filter("differ").isEmpty()
+    vertices = filled.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    vertices = staged(vertices.withColumn("id", F.monotonically_increasing_id() if differ else F.col("doc_id")), "vertices")
     dealt = _bands(vertices).repartition("bkey")
     buckets = dealt.groupBy("bkey").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     multi = staged(dealt.join(buckets, "bkey"), "buckets")
 
     involved = multi.select("id").distinct()
-    schema = "id long, hashes binary"
+    if differ:
+        involved = involved.join(vertices.select("id", "doc_id"), "id").select(F.col("doc_id").alias("id")).distinct()
+    schema = "doc_id long, set_key binary, hashes binary"
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 sets = sk.shingle_sets(part.column(1), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "hashes"])
+                hashes = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in hashes], pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "set_key", "hashes"])
 
-    source = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    bodies = source.join(involved, "id", "left_semi").mapInArrow(sets_of, schema)
-    sets = staged(bodies.join(vertices.select("id", "n", "regs"), "id"), "bodies")
+    source = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
+    bodies = source.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(sets_of, schema)
+    sets = bodies.join(vertices, ["doc_id", "set_key"])
+    if repeated:  # a row and its repeats are one
+        sets = sets.groupBy("doc_id", "set_key", "id", "n").agg(F.first("hashes").alias("hashes"), F.first("regs").alias("regs"))
+    sets = staged(sets.select("id", "hashes", "n", "regs"), "bodies")
 
     pairs = multi.filter("id <> leader").select("leader", "id", "n").distinct()
     leaders = vertices.select(F.col("id").alias("leader"), F.col("n").alias("ln"))
@@ -215,7 +227,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, row_id: s
     pairs = pairs.join(counts, "leader").select("leader", F.pmod(F.xxhash64("id"), F.floor(F.col("m") / BLOCK).cast("long") + 1).cast("int").alias("salt"), "id")
     stars = pairs.withColumn("leads", F.lit(False)).union(pairs.select("leader", "salt", F.col("leader").alias("id"), F.lit(True).alias("leads")).distinct())
     stars = _dealt(stars, ["leader", "salt"]).join(sets, "id")
-    links = staged(_star_links(stars, percent), "star-links")
+    links = _star_links(stars, percent)
+    if differ:
+        at = filled.join(repeats.filter("differ").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+        at = staged(at.join(vertices.select("set_key", "id"), "set_key").select("doc_id", "id"), "shared-ids")
+        links = links.union(at.join(at.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    links = staged(links, "star-links")
     labels = components(links)
 
     at = multi.select("bkey", "id", "n", "k").join(labels, "id", "left").select("bkey", "id", "n", "k", F.coalesce("component", "id").alias("label"))
@@ -230,8 +247,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3, row_id: s
     more = staged(_block_links(near, sets, percent), "block-links")
     labels = components(links.union(more))
 
-    classes = vertices.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    classes = vertices.select("set_key", "doc_id", "id").join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("component", "id").alias("component_id"))
     classes = staged(classes, "classes")
+    if differ:
+        least = classes.groupBy("component_id").agg(F.min("doc_id").alias("_least"))
+        classes = staged(classes.join(least, "component_id").select("set_key", "doc_id", F.col("_least").alias("component_id")), "classes")
+    classes = classes.drop("doc_id")
     rest = table.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = filled.select("doc_id", "n_shingles", "set_key").join(classes, "set_key").select("doc_id", "n_shingles", "component_id").union(rest)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
