@@ -18,6 +18,8 @@ from larder.llm.components import Forest, components
 #: Bounded sample the index is fitted on; every row is indexed.
 FIT_ROWS = 20_000
 SUBSPACES, CODEWORDS = 16, 256
+#: Centres of one level. Where the square root of the rows is larger, every list is divided
+#: by a second level of centres, fitted on residuals, so that lists grow with the rows.
 MAX_LISTS = 4096
 #: A list is probed if a link can make up for its centre's being farther than the nearest
 #: one, at this many deviations.
@@ -49,48 +51,71 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Index:
-    """Coarse centres and residual codebooks of unit vectors."""
+    """Coarse centres, a second level of centres where lists are many, and residual codebooks."""
 
-    def __init__(self, sample: np.ndarray, n_lists: int, cosine: float):
+    def __init__(self, sample: np.ndarray, n_lists: int, cosine: float, max_lists: int = MAX_LISTS):
         rng = np.random.default_rng(11)
         self.dim = sample.shape[1]
         self.width = math.ceil(self.dim / SUBSPACES)
         self.radius = math.sqrt(2 - 2 * cosine)
-        self.centres = _kmeans(sample, min(n_lists, len(sample)), 8, rng)
-        rest = self._split(sample - self.centres[nearest(sample, self.centres)[0]])
+        self.centres = _kmeans(sample, min(n_lists, max_lists, len(sample)), 8, rng)
+        rest = sample - self.centres[nearest(sample, self.centres)[0]]
+        self.fine = np.zeros((1, self.dim))
+        if n_lists > max_lists:
+            self.fine = _kmeans(rest, min(math.ceil(n_lists / max_lists), max_lists, len(sample)), 8, rng)
+        rest = self._split(rest - self.fine[nearest(rest, self.fine)[0]])
         k = min(CODEWORDS, len(sample))
         self.books = np.stack([_kmeans(rest[:, s], k, 5, rng) for s in range(SUBSPACES)])
+        self.lists = len(self.centres) * len(self.fine)
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(x), self.width * SUBSPACES))
         padded[:, : self.dim] = x
         return padded.reshape(len(x), SUBSPACES, self.width)
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest centre of each row, and which lists its search comes to [rows, lists].
+    def _centre(self, lists) -> np.ndarray:
+        return self.centres[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def _near(self, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest centre of each row, and which centres a link of it may be nearest to.
 
         A linked vector lies at most ``radius`` away. Moving a row by e changes the
         difference of its distances to two centres by e . (u - v), u and v the unit
         vectors from the centres to the row; over directions of e that has deviation
         radius * |u - v| / sqrt(dim).
         """
-        home, near = np.empty(len(x), dtype=np.int64), np.empty((len(x), len(self.centres)), dtype=bool)
-        own = (self.centres**2).sum(axis=1)
+        cross, norm = x @ centres.T, (x**2).sum(axis=1)
+        away = np.sqrt(np.maximum(norm[:, None] + (centres**2).sum(axis=1) - 2 * cross, 1e-18))
+        best, i = away.argmin(axis=1), np.arange(len(x))
+        own = centres[best]
+        inner = norm[:, None] - cross - cross[i, best][:, None] + own @ centres.T
+        turned = np.sqrt(np.maximum(2 - 2 * inner / (away * away[i, best][:, None]), 0))
+        return best, away - away[i, best][:, None] <= PROBE_DEVIATIONS * self.radius / math.sqrt(self.dim) * turned + 1e-9
+
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Own list of each row, and the lists its search comes to, in order.
+
+        On the second level the same holds for what is left of row and link about a centre.
+        """
+        home, found, k = np.empty(len(x), dtype=np.int64), [], len(self.fine)
         for s in range(0, len(x), 512):
             part = x[s : s + 512]
-            cross, norm = part @ self.centres.T, (part**2).sum(axis=1)
-            away = np.sqrt(np.maximum(norm[:, None] + own - 2 * cross, 1e-18))
-            best = away.argmin(axis=1)
-            at, i = self.centres[best], np.arange(len(part))
-            inner = norm[:, None] - cross - cross[i, best][:, None] + at @ self.centres.T
-            turned = np.sqrt(np.maximum(2 - 2 * inner / (away * away[i, best][:, None]), 0))
-            home[s : s + 512] = best
-            near[s : s + 512] = away - away[i, best][:, None] <= PROBE_DEVIATIONS * self.radius / math.sqrt(self.dim) * turned + 1e-9
-        return home, near
+            best, near = self._near(part, self.centres)
+            if k == 1:
+                home[s : s + 512] = best
+                found += [np.flatnonzero(row) for row in near]
+                continue
+            for i in range(len(part)):
+                coarse = np.flatnonzero(near[i])
+                own, fine = self._near(part[i] - self.centres[coarse], self.fine)
+                home[s + i] = best[i] * k + own[np.searchsorted(coarse, best[i])]
+                at, inner = np.nonzero(fine)
+                found.append(coarse[at] * k + inner)
+        return home, found
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes (bytes) and the distance of each row to what they stand for."""
-        parts = self._split(x - self.centres[lists])
+        parts = self._split(x - self._centre(lists))
         codes, error = np.empty((len(x), SUBSPACES), dtype=np.uint8), np.zeros(len(x))
         for s in range(SUBSPACES):
             codes[:, s], d = nearest(parts[:, s], self.books[s])
@@ -99,7 +124,7 @@ class Index:
 
     def lookup(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to coded rows of list ``at``, by table look-up."""
-        parts = self._split(queries - self.centres[at])
+        parts = self._split(queries - self._centre(at))
         total = np.zeros((len(queries), len(codes)))
         for s in range(SUBSPACES):
             book = self.books[s]
@@ -119,8 +144,7 @@ def _valid(vectors: DataFrame, row_id: str, column: str) -> DataFrame:
             for value in batch.column(1):
                 row = value.as_py()
                 x = np.array(row, dtype=np.float64) if row and None not in row else None
-                norm = float(np.sqrt((x * x).sum())) if x is not None and np.isfinite(x).all() else 0.0
-                good = norm > 0 and math.isfinite(norm)
+                good = x is not None and bool(np.isfinite(x).all()) and bool(x.any())
                 own = x.astype(kind).tobytes() if good else None
                 keys.append(xxhash.xxh3_128_digest(own) if good else None)
                 bodies.append(own)
@@ -134,8 +158,12 @@ def _width(vectors: DataFrame, column: str) -> str:
 
 
 def _units(column, kind: str) -> np.ndarray:
-    """Unit vectors in doubles, from the bytes of given vectors."""
+    """Unit vectors in doubles, from the bytes of given vectors.
+
+    Divided by the largest component first, so that no square overflows or vanishes.
+    """
     x = np.stack([np.frombuffer(v.as_py(), dtype=kind) for v in column]).astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -152,7 +180,8 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float, kind_o
             mult, q_mult, home = left["mult"].to_numpy(), right["q_mult"].to_numpy(), right["q_home"].to_numpy() - offset
             codes = np.stack([np.frombuffer(c.as_py(), dtype=np.uint8) for c in left["codes"]])
             reach = index.radius + left["error"].to_numpy() + 1e-9
-            near = index.probes(rows)[1]
+            asks = left["probes"].combine_chunks()  # (row, list) as one number, in order
+            asks = np.repeat(np.arange(len(rows)), np.diff(asks.offsets.to_numpy())) * index.lists + asks.values.to_numpy()[asks.offsets[0].as_py() :] - offset
             row_sum, forest = np.zeros(len(rows), dtype=np.int64), Forest()
             for s in range(0, len(qs), 256):
                 part = qs[s : s + 256]
@@ -164,7 +193,7 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float, kind_o
                 for i in np.flatnonzero(sums):
                     kind.append(0), a.append(int(q_ids[s + i])), b.append(0), n.append(int(sums[i]))
                 # a row whose own search does not come to the query's list learns of the link here
-                one_way = ~near[ri, home[qi]]
+                one_way = ~np.isin(ri * index.lists + home[qi], asks)
                 np.add.at(row_sum, ri[one_way], q_mult[qi[one_way]])
                 for x, y in zip(q_ids[qi].tolist(), ids[ri].tolist(), strict=True):
                     if forest.join(x, y):
@@ -177,7 +206,7 @@ def _search(keyed: DataFrame, queries: DataFrame, shipped, cosine: float, kind_o
     return keyed.groupBy(*key).cogroup(queries.groupBy("q_list", "q_q_block", "q_r_block")).applyInArrow(run, "kind int, a long, b long, n long")
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id", column: str = "embedding", max_lists: int = MAX_LISTS) -> DataFrame:
     """Near-duplicate classes of vectors: vec_id, n_links, component_id, kept.
 
     Equal vectors are one class with a multiplicity. Unit vectors go to their nearest
@@ -190,7 +219,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
     Null, zero and non-finite vectors link with nothing and are kept; a null id has no
     component and is not kept; an empty table gives no rows. Each length has an index of
     its own, whose lists are numbered after those of shorter ones; vectors of different
-    lengths have no cosine and do not link.
+    lengths have no cosine and do not link. There are as many lists as the square root of
+    the rows, in two levels beyond max_lists, so lists and their searches grow with it.
     """
     kind = _width(vectors, column)
     table = _valid(vectors, row_id, column)
@@ -208,9 +238,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
         for x in sizes:
             share = min(1.0, FIT_ROWS / x["count"])
             sample = _units(classes.filter((n_bytes == x["bytes"]) & (unit_hash < share)).select("unit").toArrow()["unit"], kind)
-            indexes[x["bytes"]] = offset, Index(sample, max(1, min(MAX_LISTS, round(math.sqrt(x["count"])))), cosine)
-            offset += len(indexes[x["bytes"]][1].centres)
-        # MAX_LISTS centres and the codebooks a length, however many rows there are
+            indexes[x["bytes"]] = offset, Index(sample, max(1, round(math.sqrt(x["count"]))), cosine, max_lists)
+            offset += indexes[x["bytes"]][1].lists
+        # at most max_lists centres a level and the codebooks a length, however many rows there are
         shipped = spark.sparkContext.broadcast(pickle.dumps(indexes))
 
         def index_rows(batches):
@@ -220,9 +250,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
                 for length in np.unique(lengths).tolist():
                     part, (first, index) = batch.filter(pa.array(lengths == length)), own[length]
                     x = _units(part.column(2), kind)
-                    home, near = index.probes(x)
+                    home, found = index.probes(x)
                     codes, error = index.encode(x, home)
-                    probes = [np.flatnonzero(row) + first for row in near]
+                    probes = [lists + first for lists in found]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), part.column(1), part.column(2), pa.array(home + first, pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))],
                         names=["id", "mult", "unit", "home", "codes", "error", "probes"],
@@ -235,7 +265,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, row_id: str = "vec_id
         plan = F.broadcast(staged(list_rows.join(list_asks, "list"), "vector-lists"))  # one row a list
         deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         rows = indexed.withColumnRenamed("home", "list").join(plan, "list").withColumn("r_block", deal("r_blocks")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        rows = rows.select("list", "q_block", "r_block", "id", "mult", "unit", "codes", "error")
+        rows = rows.select("list", "q_block", "r_block", "id", "mult", "unit", "codes", "error", "probes")
         queries = indexed.select("id", "mult", "unit", "home", F.explode("probes").alias("list")).join(plan, "list").withColumn("q_block", deal("q_blocks")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.col("r_blocks") - 1)))
         queries = queries.select(F.col("list").alias("q_list"), F.col("q_block").alias("q_q_block"), F.col("r_block").alias("q_r_block"), F.col("id").alias("q_id"), F.col("mult").alias("q_mult"), F.col("unit").alias("q_unit"), F.col("home").alias("q_home"))
         result = staged(_search(rows, queries, shipped, cosine, kind), "vector-links")
