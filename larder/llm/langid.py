@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +18,9 @@ ROUNDS = 8
 #: Log-likelihood a further language must add, in units of log(n).
 PENALTY = 12.0
 SLICE_BYTES = 400_000
+#: The model is collected and broadcast: BINS numbers a language, so 64 MB at this many
+#: languages. More distinct values than that are refused.
+MAX_LANGUAGES = 500
 
 
 def trigram_bins(text: str) -> np.ndarray:
@@ -33,11 +34,14 @@ def learn(docs: DataFrame, row_id: str = "doc_id") -> tuple[list[str], np.ndarra
     """Languages and their log-probabilities of bins [BINS, languages].
 
     Learns from the rows given (null text or language left out) by a bounded sample:
-    about SAMPLE_ROWS rows a language. Sums are made in a few tasks and are BINS numbers
-    a language, however large the input.
+    about SAMPLE_ROWS rows a language. Each task sums what it has of the sample; what the
+    driver gets is one row a language and bin.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    sizes = {r["lang"]: r["n"] for r in found}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((BINS, 0))
@@ -51,11 +55,14 @@ def learn(docs: DataFrame, row_id: str = "doc_id") -> tuple[list[str], np.ndarra
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = sums.setdefault(lang, np.zeros(BINS, dtype=np.int64))
                 own += np.bincount(trigram_bins(text.as_py()), minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([zlib.compress(v.tobytes()) for v in sums.values()], pa.binary())], names=["lang", "counts"])
+        for lang, own in sums.items():
+            bins = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(own[bins])], names=["lang", "bin", "n"])
 
     totals = np.zeros((BINS, len(langs)))
-    for r in sample.coalesce(4).mapInArrow(count, "lang string, counts binary").collect():
-        totals[:, langs.index(r["lang"])] += np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+    summed = sample.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    place = {k: i for i, k in enumerate(langs)}
+    totals[summed["bin"].to_numpy(), [place[k] for k in summed["lang"].to_pylist()]] = summed["n"].to_numpy()
     smooth = totals + SMOOTHING
     return langs, np.log(smooth / smooth.sum(axis=0))
 
