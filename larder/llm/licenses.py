@@ -194,15 +194,28 @@ def detections(lowered: str) -> list[tuple[int, int, Rule]]:
     """Places of rules that stand after suppression, in text order.
 
     Rules are tried only where their keyword occurs. By priority, then length, then
-    place, a place is dropped if a kept one of another or the same rule contains it.
+    place, a place is dropped if a kept one of another or the same rule contains it: if
+    the furthest end of kept places that start no later reaches its end. Those furthest
+    ends are prefix maxima in a tree over starts, so time grows with hits * log(hits).
     """
     gated = {k: found for _, (k, found) in _automaton().iter(lowered)}
     hits = [(m.start(), m.end(), r) for found in gated.values() for r in found for m in r.pattern.finditer(lowered)]
     hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
+    place = {start: k + 1 for k, start in enumerate(sorted({h[0] for h in hits}))}
+    furthest = [-1] * (len(place) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in hits:
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        k, reach = place[start], -1
+        while k:
+            reach = max(reach, furthest[k])
+            k &= k - 1
+        if reach >= end:
+            continue
+        kept.append((start, end, rule))
+        k = place[start]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], end)
+            k += k & -k
     return sorted(kept, key=lambda h: (h[0], h[1]))
 
 
