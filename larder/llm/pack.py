@@ -25,8 +25,9 @@ class ByteBpe:
 
     tiktoken runs the file's own vocabulary: with byte-level BPE a merge's rank and the
     id of its product rise together, so ids serve as ranks (checked on loading; else,
-    and for texts that hold an added token's string, the tokenizers library encodes).
-    Both give the same ids; tests compare them.
+    and for texts that hold an added token's string or runs of white space that tiktoken's
+    matcher gives up on, the tokenizers library encodes). Both give the same ids; tests
+    compare them.
     """
 
     def __init__(self, spec: bytes):
@@ -57,10 +58,14 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.added):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        except ValueError:  # "Max stack size exceeded", from about 600,000 blanks on
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def _read_bytes(path: str) -> bytes:
+def read_bytes(path: str) -> bytes:
+    """A tokenizer file, to be broadcast; a larger one than MAX_TOKENIZER_BYTES is refused."""
     size = os.path.getsize(path)
     if size > MAX_TOKENIZER_BYTES:
         raise ValueError(f"tokenizer file of {size} bytes; at most {MAX_TOKENIZER_BYTES} are broadcast")
@@ -77,7 +82,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0, row_id: s
     Null text counts as empty; every row ends with end_id, so none is without tokens.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(_read_bytes(tokenizer_path))
+    shipped = spark.sparkContext.broadcast(read_bytes(tokenizer_path))
     schema = "part int, local_start long, doc_id long, n_tokens long, width int, ids binary"
 
     def encode(batches):
