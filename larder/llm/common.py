@@ -22,11 +22,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests in local
-    mode) a temporary folder is made and set for the session.
+    Read from ``spark.checkpoint.dir``. Where that is unset, a local session (as in
+    tests) gets a temporary folder of its own, set for the session; a cluster, whose
+    machines would not share one, is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,7 +61,8 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """staged, but as an external table in buckets of key: grouping by key reads it in place.
 
     As many buckets as the session has shuffle partitions; rows are large blobs, so no
-    codec and at most a file a row.
+    codec and at most a file a row. The table leaves the catalog once it is resolved; its
+    files stay.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -66,6 +70,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     back = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
     back.staged_at = path
     return back
 

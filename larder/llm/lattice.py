@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.chunks import chunk_table, dealt, lists, pack_words, squeeze, unpack_words, unsqueeze, unsqueeze_codes
 from larder.llm.common import release, staged
+from larder.llm.pack import read_bytes
 
 SPACE, LINE = "▁", ""
 #: Longer words are folded by the same recursion outside the lattice table.
@@ -55,12 +56,12 @@ def _log_p(scores: list[float]) -> list[float]:
 
 
 class Pieces:
-    """The piece table of a SentencePiece model file: pieces, scores and byte pieces."""
+    """The piece table of a SentencePiece model file's bytes: pieces, scores and byte pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, spec: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=spec)
         n = sp.get_piece_size()
         if n > MAX_PIECES:
             raise ValueError(f"{n} pieces; at most {MAX_PIECES} are broadcast")
@@ -132,8 +133,12 @@ class Pieces:
 
 
 @cache
+def pieces_of(spec: bytes) -> Pieces:
+    return Pieces(spec)
+
+
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return pieces_of(read_bytes(path))
 
 
 def split(text: str) -> list[str]:
@@ -221,10 +226,14 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
     The best path is by summed log-probabilities of pieces (of a merge model, by their
     ranks: see _log_p), with characters that have no piece spelled in bytes. Null or empty text has
     no pieces; a null id stays; repeated rows repeat. with_ids adds the ids themselves.
+    A text that holds one of the two marks itself decodes to a space or line feed there,
+    so its round_trip is false.
     """
     model = pieces(model_path)
     spark = docs.sparkSession
-    chunks = chunk_table(docs, lambda texts: split_column(pieces(model_path), texts), F.lit(True).alias("_flag"), row_id, text, by_chunk=True)
+    shipped = spark.sparkContext.broadcast(read_bytes(model_path))
+    unmarked = ~F.coalesce(F.col(text).cast("string").rlike(f"[{SPACE}{LINE}]"), F.lit(False))
+    chunks = chunk_table(docs, lambda texts: split_column(pieces_of(shipped.value), texts), unmarked.alias("_flag"), row_id, text, by_chunk=True)
     total = chunks.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     buckets = max(1, math.ceil(total / WORDS_A_BUCKET))
 
@@ -273,7 +282,7 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
     schema = "doc_id long, n_words long, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = pieces(model_path)
+        m = pieces_of(shipped.value)
         batch = left.combine_chunks().to_batches()[0]
         n = batch.column("n_words")[0].as_py()
         own = unpack_words(batch.column("words")[0].as_py(), n)
@@ -306,14 +315,14 @@ def encode(docs: DataFrame, model_path: str, row_id: str = "doc_id", text: str =
         doc_ids = batch.column("doc_ids")[0].as_py()
         line, mark = (np.array([w.startswith(c) for w in own], dtype=bool) for c in (LINE, SPACE))
         at, rows, kept = 0, [], []
-        for k in lists(batch, 0, "sizes").tolist():
+        for k, is_unmarked in zip(lists(batch, 0, "sizes").tolist(), lists(batch, 0, "flags").tolist(), strict=True):
             mine = codes[at : at + k]
             at += k
             many = count[mine]
             heads = line[mine] | mark[mine]
             heads[1:] |= line[mine[:-1]]
             ids = long_ids[runs(first[mine], many)]
-            rows.append((int(heads.sum()), len(ids), int(byte_count[mine].sum()), zlib.crc32(ids.tobytes()), bool(good[mine].all())))
+            rows.append((int(heads.sum()), len(ids), int(byte_count[mine].sum()), zlib.crc32(ids.tobytes()), bool(is_unmarked and good[mine].all())))
             if with_ids:
                 kept.append(ids)
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -330,9 +339,10 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", out: str = "te
 
     Null ids give null, no ids an empty text. Ids outside the model are an error.
     """
+    shipped = encoded.sparkSession.sparkContext.broadcast(read_bytes(model_path))
 
     def texts(column: pa.Array) -> pa.Array:
-        m = pieces(model_path)
+        m = pieces_of(shipped.value)
         return pa.array([None if x is None else m.decode(x) for x in column.to_pylist()], pa.string())
 
     texts = F.arrow_udf(texts, "string")

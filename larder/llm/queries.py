@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = os.environ.get("LARDER_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on the driver, from which it is shipped."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +40,7 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.lattice import encode
 
-    return encode(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encode(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larder.llm.pack import pack
 
-    return pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", 1024, 0)
+    return pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 0)
 
 
 def op7_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:

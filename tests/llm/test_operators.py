@@ -408,3 +408,177 @@ def test_mixture_of_all_languages():
         found = mixtures(["word", "".join(texts[:n]), texts[4]], log_p)
         assert sorted(i for i, _ in found[1]) == list(range(n)) and max(v for _, v in found[1]) < 1 / n + 0.1
         assert [i for i, _ in found[2]] == [4]
+
+
+def test_near_text_of_repeated_ids(spark):
+    from larder.llm.near_text import near_duplicates
+
+    a = " ".join(f"w{i}" for i in range(62))
+    b = " ".join(f"v{i}" for i in range(62))
+    given = [(1, a), (1, b), (2, a + " q"), (3, b + " q"), (4, "x y z u"), (5, None), (1, a), (1, a), (0, b + " r q"), (9, "x y z u"), (9, "")]
+    got = near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert len(got) == len(given)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 5), (9, 4), (9, 9)}
+    same = [(7, a)] * 5 + [(8, a)] * 3 + [(6, b)] * 2
+    got = near_duplicates(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(6, 6)] * 2 + [(7, 7)] * 5 + [(8, 7)] * 3
+
+
+def test_near_vectors_of_any_scale_and_two_levels(spark):
+    from larder.llm.vectors import near_vectors
+
+    given = [(1, [1e180, 2e180]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [5e-324, 0.0]), (5, [1.0, 0.0]), (6, [float("inf"), 1.0]), (7, [-1.0, 0.0]), (None, [1.0, 0.0]), (5, [1.0, 0.0])]
+    got = near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 4), (5, 2, 4), (6, 0, 6), (7, 0, 7), (None, 0, None)}
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, a string, id long")).count() == 0
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 12))
+    x[600:] = x[:300] + 0.08 * rng.normal(size=(300, 12))
+    near = np.array([[np.dot(p, q) / np.linalg.norm(p) / np.linalg.norm(q) for q in x] for p in x]) >= 0.95
+    table = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<double>, id string")
+    for most in (4096, 5):
+        got = {r["vec_id"]: r["n_links"] for r in near_vectors(table, max_lists=most).collect()}
+        found, there = sum(got.values()), int(near.sum()) - 900
+        assert all(got[i] <= near[i].sum() - 1 for i in got) and found >= 0.95 * there > 300
+
+
+def test_packing_of_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    from larder.llm.pack import pack
+
+    plain = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b", "long and plain text, " * 50_000]
+    got = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"{TOKENIZERS}/byte_bpe_50k.json").collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        mine = [r for r in got if r["doc_id"] == i]
+        assert sum(r["length"] for r in mine) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
+
+
+def test_lattice_owns_up_to_marks_in_texts(spark):
+    from larder.llm.lattice import LINE, SPACE, encode
+
+    table = spark.createDataFrame([(1, f"a{SPACE}b"), (2, f"a{LINE}b"), (3, "a b\n"), (4, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["round_trip"] for r in encode(table, f"{TOKENIZERS}/piece_bpe_32k.model").collect()} == {1: False, 2: False, 3: True, 4: True}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("larder")]
+
+
+def test_licenses_of_tables_and_long_texts(spark, docs, none):
+    from larder.llm.licenses import detections, rules, scan_licenses, scan_text
+
+    assert scan_licenses(none).count() == 0
+    got = scan_licenses(docs).collect()
+    assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        if r["doc_id"] is not None:
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (dict((x[0], x[1]) for x in rows())[r["doc_id"]] or "").translate(LOWER))
+            places = sorted(i for p in (["mit", "license"], ["apache", "license"], ["general", "public", "license"]) for i in range(len(w)) if w[i : i + len(p)] == p)
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), places[0] if places else None, places[-1] if places else None)
+    text = "licensed under the mit license, or the apache license 2.0; general public license version 3. spdx-license-identifier: mit " * 3
+    hits = [(m.start(), m.end(), r) for r in rules() for m in r.pattern.finditer(text)]
+    kept = []
+    for h in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
+        if not any(a <= h[0] and h[1] <= b for a, b, _ in kept):
+            kept.append(h)
+    assert detections(text) == sorted(kept, key=lambda h: (h[0], h[1]))
+    assert scan_text(text * 3000)[1] == 9 * 3000  # a megabyte
+
+
+def test_main_text_of_any_markup(spark, none):
+    import random
+
+    from larder.llm.main_text import extract_pages, extract_text
+
+    line = "Plain words of a paragraph that belong to the article of this page. "
+    body = f"<h1>Title</h1><p>{line * 4}</p><p>Short.</p><p>{line * 3}</p>"
+    want = "\n\n".join(["Title", (line * 4).strip(), "Short.", (line * 3).strip()])
+    for page in (
+        '<div class="content has-sidebar">%s</div>', '<div class="overflow-hidden">%s</div>', '<div class="post comments-open">%s</div>', '<div id="search-article">%s</div>', '<div class="social widget">%s</div>',
+        "<div><a>Home</a> <a>News</a> <a>Sports</a></div><div>%s</div>", "<article>%s<ul><li><a href=1>Another</a></li><li><a>One more</a></li></ul></article>", "<![x[y]]>%s", "%s<![x[", "%s<!-- never closed", "%s<a href='",
+        "<main>%s</main><div class='comment-list'><p>" + "A reader says a lot. " * 90 + "</p></div>", "<body class='no-sidebar'><div class='site-header'>Name</div>%s<div class='related-posts'><p>" + line + "</p></div>",
+    ):
+        assert extract_text(page % body) == want, page
+    for page in ("<div>" * 20000 + "x", "<p><b class=x>" * 20000, "<!--" * 100_000, "<a " * 100_000, "<![" * 100_000, "<ul><li>" * 20000 + "x", "</" * 100_000, "<" * 100_000):
+        extract_text(page)
+    rng = random.Random(1)
+    parts = ["<", ">", "!", "[", "]", "-", "--", "/", "a", "div", "p", " ", '"', "'", "=", "&", "#", "script", "CDATA", "doctype", "?", "\n", "article", ";", "\x00", "<![", "</", "<!--"]
+    for _ in range(3000):
+        extract_text("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))))
+    table = spark.createDataFrame([(1, None, None, "x"), (1, "u", f"<article>{body}</article>", "x"), (None, "u", "", "x"), (2, "u", "<nav>only</nav>", "x")], "page_id long, url string, html string, text string")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_pages(table).collect()) == [(0, "", 0), (1, "", 0), (1, want, len(want)), (2, "", 0)]
+    assert extract_pages(table.limit(0)).count() == 0
+
+
+def minimum_covariance(v):
+    """Centre and covariance of rows by the steps that the operator's docstrings tell, in numpy."""
+    from larder.llm.quality import LEAST_SD, _chi2_quantile, _consistency
+
+    floor = np.array(LEAST_SD)
+
+    def factor(c):
+        low = np.zeros((4, 4))
+        for j in range(4):
+            low[j, j] = math.sqrt(max(c[j, j] - low[j, :j] @ low[j, :j], floor[j] ** 2))
+            for i in range(j + 1, 4):
+                low[i, j] = (c[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        return low
+
+    def distance(m, low):
+        return (np.linalg.solve(low, (v - m).T) ** 2).sum(axis=0)
+
+    def quantile(bins):  # the least bin at which half of the rows is reached
+        return np.sort(bins)[math.ceil(0.5 * len(bins)) - 1]
+
+    median = np.array([(quantile(np.floor(v[:, i] * 2000)) + 0.5) / 2000 for i in range(4)])
+    sd = np.array([max(1.4826 * (quantile(np.floor(abs(v[:, i] - median[i]) * 2000)) + 0.5) / 2000, floor[i]) for i in range(4)])
+    z = (v - median) / sd
+    starts = [np.eye(4)]
+    for w in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]):
+        p = w.T @ w / len(v)
+        d = np.diag(p)
+        r = p / np.sqrt(np.maximum(np.outer(d, d), 1e-18))
+        np.fill_diagonal(r, 1)
+        starts.append(r)
+
+    def concentrate(m, low):
+        at = np.minimum(np.floor(np.log1p(distance(m, low)) * 200), 2400)
+        inner = v[at <= quantile(at)]
+        return inner.mean(axis=0), factor(np.cov(inner.T, bias=True) * _consistency(0.5))
+
+    ends = []
+    for r in starts:
+        m, low = median, factor(r * np.outer(sd, sd))
+        for _ in range(2):
+            m, low = concentrate(m, low)
+        ends.append((np.diag(low).prod(), len(ends), m, low))
+    _, _, m, low = min(ends, key=lambda e: e[:2])
+    for _ in range(4):
+        m, low = concentrate(m, low)
+    inner = v[distance(m, low) <= _chi2_quantile(0.975)]
+    return distance(inner.mean(axis=0), factor(np.cov(inner.T, bias=True) * _consistency(0.975)))
+
+
+def test_quality_verdict_is_the_brute_force_one(spark):
+    from larder.llm.quality import CUTOFF, X, _chi2_cdf, judge, text_statistics
+
+    assert 1 - _chi2_cdf(CUTOFF, 4) == pytest.approx(1e-9, rel=0.1)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = judge(table).toPandas().set_index("doc_id")
+    stats = text_statistics(table, ["doc_id", "lang", "source"]).toPandas().set_index("doc_id").join(got[["base_failed", "kept", "distance"]])
+    good = stats[~stats.base_failed]
+    sizes = good.groupby(["lang", "source"], dropna=False).size()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    whole = 0
+    for (lang, source), n in sizes.items():
+        own = good[(good.lang == lang) & (good.source == source)]
+        if n >= 20:
+            d = minimum_covariance(own[X].to_numpy())
+            assert np.allclose(own.distance, d, rtol=1e-6), (lang, source)
+            assert (own.kept == (d <= CUTOFF)).all()
+            whole += n
+    assert whole > 300 and good.distance.notna().all()
+    verdict = [(labels[i], k) for i, k in good.kept.items() if i in labels]
+    assert sum(k for q, k in verdict if not q) <= 0.05 * sum(not q for q, _ in verdict)
+    assert sum(not k for q, k in verdict if q) <= 0.02 * sum(q for q, _ in verdict)
