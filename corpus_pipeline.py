@@ -15,7 +15,7 @@ from larder.llm.langid import identify
 from larder.llm.near_text import near_duplicates
 from larder.llm.pack import pack
 from larder.llm.quality import judge
-from larder.llm.queries import TOKENIZERS
+from larder.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language holds this share of it.
@@ -44,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of 1024 tokens."""
-    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", 1024, 0)
+    return pack(docs, tokenizer("byte_bpe_50k.json"), 1024, 0)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("packing", packing)]
