@@ -18,28 +18,40 @@ from larder.llm.quality import judge
 from larder.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if no language holds this share of it.
-LEAST_SHARE = 0.4
+#: A document goes if no language holds this share of it, or if its languages explain it no
+#: better than this (nats a trigram over even bins), as with text of no learned language.
+LEAST_SHARE, LEAST_GAIN = 0.5, 0.0
 #: Near-duplicates: five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    passed = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(passed, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows that pass the base rules and are no outliers of their language and source.
+
+    Each row has its own verdict, whatever its id; a null text fails.
+    """
+    return judge(docs.select(*COLUMNS), keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; ``lang`` stays the given one."""
+    """Rows with a language that holds LEAST_SHARE of them and explains them; ``lang`` stays the given one."""
     found = identify(docs, keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE) & (F.col("gain") > LEAST_GAIN)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Wordless texts stay."""
-    kept = near_duplicates(docs, percent=PERCENT, size=SHINGLE).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates: the smallest id. Wordless texts stay.
+
+    Rows that share an id are one document, of which the first row by its columns stays. A
+    row without an id cannot be told from others of its group and goes.
+    """
+    kept = staged(near_duplicates(docs, percent=PERCENT, size=SHINGLE).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")), "pipeline-kept")
+    rows = docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS, "_k")
+    if kept.filter("_k > 1").isEmpty():
+        return rows.select(*COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    first = rows.filter("_k > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
+    return rows.filter("_k = 1").select(*COLUMNS).union(first.select(*COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +61,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("language", language), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: Neither robust estimates nor sketches can be said in SQL; a test holds run() against
-#: a brute-force version.
+#: Neither robust estimates nor sketches can be said in SQL; tests/llm holds run() against
+#: a brute-force version of every stage.
 ORACLE_SQL = None
 
 
