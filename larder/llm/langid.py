@@ -79,8 +79,9 @@ def _em(p: np.ndarray, counts: np.ndarray, rows: np.ndarray, starts: np.ndarray,
     return share, np.add.reduceat(counts * np.log(mixed), starts)
 
 
-def mixtures(texts: list[str], log_p: np.ndarray) -> list[list[tuple[int, float]]]:
-    """Languages (by index) and proportions of each non-empty text, the largest first.
+def mixtures(texts: list[str], log_p: np.ndarray) -> tuple[list[list[tuple[int, float]]], np.ndarray]:
+    """Languages (by index) and proportions of each non-empty text, the largest first; and
+    how much likelier each text is under them than under even bins, in nats a trigram.
 
     EM over all languages orders them; EM within the first 1, 2, .. of that order gives
     likelihoods, and the set with the best one after its penalty stays. A text goes on to k
@@ -103,7 +104,7 @@ def mixtures(texts: list[str], log_p: np.ndarray) -> list[list[tuple[int, float]
     order = np.argsort(-share, axis=1, kind="stable")
     log_n = np.log(np.add.reduceat(c, starts) + 1)
     best = np.full(len(texts), -np.inf)
-    chosen = np.zeros((len(texts), n_langs))
+    chosen, fits = np.zeros((len(texts), n_langs)), np.zeros(len(texts))
     most = np.add.reduceat(c * np.log(p.max(axis=1)), starts)
     for k in range(1, n_langs + 1):
         open_ = most - PENALTY * (k - 1) * log_n > best
@@ -114,41 +115,43 @@ def mixtures(texts: list[str], log_p: np.ndarray) -> list[list[tuple[int, float]
         mask = np.zeros((len(live), n_langs))
         np.put_along_axis(mask, order[live, :k], 1.0, axis=1)
         own, fit = _em(p[part], c[part], np.repeat(np.arange(len(live)), own_sizes), np.cumsum(own_sizes) - own_sizes, mask, ROUNDS if k > 1 else 0)
-        fit = fit - PENALTY * (k - 1) * log_n[live]
-        better = fit > best[live]
-        best[live[better]], chosen[live[better]] = fit[better], own[better]
+        judged = fit - PENALTY * (k - 1) * log_n[live]
+        better = judged > best[live]
+        best[live[better]], chosen[live[better]], fits[live[better]] = judged[better], own[better], fit[better]
     out = []
     for own in chosen:
         top = [int(i) for i in np.argsort(-own, kind="stable") if own[i] > 0]
         out.append([(i, float(own[i])) for i in top])
-    return out
+    return out, fits / np.add.reduceat(c, starts) + np.log(BINS)
 
 
 def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and langs of every row, from its whole text alone.
+    """lang_pred, score, langs and gain of every row, from its whole text alone.
 
     lang_pred is the language with the largest proportion of the chosen set, score that
-    proportion, langs all of the set with their proportions. Null text, or one without a
-    letter, is ``und`` with score 0, and so is everything if nothing was learned.
+    proportion, langs all of the set with their proportions. gain tells how well they
+    explain the text: nats a trigram over even bins, below 0 for what is in none of them.
+    Null text, or one without a letter, is ``und`` with score and gain 0, and so is
+    everything if nothing was learned.
     """
     keep = keep or ["doc_id"]
     # BINS numbers a learned language; half precision of logs would do, float32 is sent
     shipped = docs.sparkSession.sparkContext.broadcast(log_p.astype(np.float32).tobytes())
     source = docs.select(*keep, F.col("text").cast("string").alias("_lid_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string", "score double", "langs string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string", "score double", "langs string", "gain double"])
     n_langs = len(langs)
 
     def run(batches):
         model = np.frombuffer(shipped.value, dtype=np.float32).reshape(BINS, n_langs).astype(float)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
+            pred, score, sets, gains = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts), [0.0] * len(texts)
             pending: list[tuple[int, str]] = []
             held = 0
 
             def settle():
-                for (i, _), found in zip(pending, mixtures([t for _, t in pending], model), strict=True):
-                    pred[i], score[i] = langs[found[0][0]], min(1.0, found[0][1])
+                for (i, _), found, gain in zip(pending, *mixtures([t for _, t in pending], model), strict=True):
+                    pred[i], score[i], gains[i] = langs[found[0][0]], min(1.0, found[0][1]), float(gain)
                     sets[i] = ",".join(f"{langs[j]}:{v:.3f}" for j, v in found)
                 pending.clear()
 
@@ -163,7 +166,7 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray, keep: list[str
                     held = 0
             if pending:
                 settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[*batch.schema.names[:-1], "lang_pred", "score", "langs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string()), pa.array(gains, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score", "langs", "gain"])
 
     return source.mapInArrow(run, schema)
 

@@ -289,8 +289,9 @@ def test_mixture_of_two():
 
     a, b = "the cat and the dog " * 60, "der hund und die katze " * 60
     counts = np.stack([np.bincount(trigram_bins(t), minlength=BINS) for t in (a, b)], axis=1) + SMOOTHING
-    one, both = mixtures([a[:400], a[:400] + b[:400]], np.log(counts / counts.sum(axis=0)))
+    (one, both, none), gain = mixtures([a[:400], a[:400] + b[:400], "qxv zjw kpy " * 20], np.log(counts / counts.sum(axis=0)))
     assert [i for i, _ in one] == [0] and sorted(i for i, _ in both) == [0, 1]
+    assert none and gain[0] > 1 and gain[1] > 1 and gain[2] < 0
 
 
 def test_main_text():
@@ -405,7 +406,7 @@ def test_mixture_of_all_languages():
     counts = np.stack([np.bincount(trigram_bins(t), minlength=BINS) for t in texts], axis=1) + SMOOTHING
     log_p = np.log(counts / counts.sum(axis=0))
     for n in (1, 4, 5):
-        found = mixtures(["word", "".join(texts[:n]), texts[4]], log_p)
+        found, _ = mixtures(["word", "".join(texts[:n]), texts[4]], log_p)
         assert sorted(i for i, _ in found[1]) == list(range(n)) and max(v for _, v in found[1]) < 1 / n + 0.1
         assert [i for i, _ in found[2]] == [4]
 
@@ -582,3 +583,48 @@ def test_quality_verdict_is_the_brute_force_one(spark):
     verdict = [(labels[i], k) for i, k in good.kept.items() if i in labels]
     assert sum(k for q, k in verdict if not q) <= 0.05 * sum(not q for q, _ in verdict)
     assert sum(not k for q, k in verdict if q) <= 0.02 * sum(q for q, _ in verdict)
+
+
+def test_pipeline_is_the_brute_force_one(spark, real, tmp_path):
+    """Base rules and covariances by numpy, letters, all pairs of sets, plain tokens."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+    from larder.llm.quality import CUTOFF, X, text_statistics
+
+    given = [tuple(r) for r in real.select(*c.COLUMNS).collect()]
+    base = next(r for r in given if r[0] == 3)
+    copy = base[1].split()
+    given += [(9001, " ".join([*copy[:-1], "changed"]), *base[2:]), (9002, None, "en", "s", 0), (9003, "1 2 3 " * 30, "en", "s", 0), (9004, "qxv zjw kpy xqj wzv vkx " * 2 + "qqx jjz wwk vvy xxq zzj ppk yyw qzx jwk vzy kxq wjz pky", "en", "s", 0), given[5], given[5], (None, base[1], *base[2:])]
+    spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    s = text_statistics(table, c.COLUMNS).toPandas()
+    s["n_words_again"] = [len(WORDS.findall(x or "")) for x in s.text]
+    assert (s.n_words == s.n_words_again).all()
+    s = s[(s.n_words >= 20) & (100 * s.n_repeat_words <= 30 * s.n_words)].copy()
+    pair = s.groupby(["lang", "source"], dropna=False).doc_id.transform("size")
+    small = s[pair < 20]
+    by_lang = small.groupby("lang", dropna=False).doc_id.transform("size")
+    s["group"] = ["rest"] * len(s)
+    s.loc[pair >= 20, "group"] = "p" + s.lang.astype(str) + s.source.astype(str)
+    s.loc[by_lang[by_lang >= 20].index, "group"] = "l" + s.lang.astype(str)
+    s["d"] = 0.0
+    for group, own in s.groupby("group"):
+        basis = s if group == "rest" and len(own) < 20 else own
+        d = minimum_covariance(basis[X].to_numpy())
+        s.loc[own.index, "d"] = [d[list(basis.index).index(i)] for i in own.index]
+    s = s[s.d <= CUTOFF]
+    s = s[[any(ch.isalpha() for ch in x) for x in s.text] & (s.doc_id != 9004)]
+    sets = {}
+    for i, text in zip(s.doc_id, s.text, strict=True):
+        if i == i:  # a row without an id goes
+            w = words(text)
+            sets[int(i)] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {i for i, root in components_of(sets, 80).items() if i == root}
+    plain = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    texts = {int(i): t for i, t in zip(s.doc_id, s.text, strict=True) if i == i}
+    tokens = {i: len(plain.encode(texts[i], add_special_tokens=False).ids) + 1 for i in want}
+    got = collections.Counter()
+    for r in c.run(spark, str(tmp_path)).collect():
+        got[r["doc_id"]] += r["length"]
+    assert dict(got) == tokens and 9001 not in got and len(got) > 100
