@@ -19,13 +19,20 @@ def trim(value: Column) -> Column:
     return F.regexp_replace(value, rf"^{v.WS}+|{v.WS}+\z", "")
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate value once and hand it to body; an expression that a lambda or several
+    branches refer to is evaluated again for each."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(value: Column) -> Column:
-    return F.regexp_replace(value, rf"{v.WS}+", " ")
+    """One space for each run of white space; single spaces are not matched, so not replaced."""
+    return F.regexp_replace(value, rf"{v.WS}{{2,}}|(?! ){v.WS}", " ")
 
 
 def clean_text(value: Column) -> Column:
     """One space for each run of white space, trimmed."""
-    return trim(collapse(text(value)))
+    return F.trim(collapse(text(value)))
 
 
 def _chain(value: Column, steps: list[tuple[str, str]]) -> Column:
@@ -60,9 +67,13 @@ def decode_simple_entities(value: Column) -> Column:
 
 def clean_note(value: Column) -> Column:
     """Parenthesised notes to ``Note: ``; every closing parenthesis at the end goes."""
-    c = F.regexp_replace(text(value), rf"(?i)^\(Note:{v.WS}*", "Note: ")
-    c = F.regexp_replace(c, rf"(?i)^\(Note{v.WS}*", "Note: ")
-    return clean_text(F.regexp_replace(c, r"\)+\z", ""))
+    return collapse(_note(clean_text(value)))
+
+
+def _note(clean: Column) -> Column:
+    """clean_note of a text without runs of white space, which it makes none of."""
+    c = F.regexp_replace(clean, r"(?i)^\(Note(?:: ?| ?)", "Note: ")
+    return F.trim(F.regexp_replace(c, r"\)+\z", ""))
 
 
 def recipe_notes(value: Column) -> Column:
@@ -77,8 +88,8 @@ def slugify(value: Column) -> Column:
 
 
 def recipe_slug(name: Column, key: Column) -> Column:
-    """Slug with four digits of the key's hash, the same on every run."""
-    return F.concat(slugify(name), F.lit("-"), F.lpad(F.pmod(F.xxhash64(key), F.lit(10000)).cast("string"), 4, "0"))
+    """Slug with the last four digits of a row's number, the same on every run."""
+    return F.concat(slugify(name), F.lit("-"), F.lpad(F.pmod(key.cast("long"), F.lit(10000)).cast("string"), 4, "0"))
 
 
 def cooking_text(value: Column) -> Column:
@@ -109,7 +120,8 @@ def split_each(value: Column) -> Column:
 
 
 def _sentences(value: Column, clean) -> Column:
-    parts = F.filter(F.transform(F.split(collapse(value), rf"(?<=[.!?]){v.WS}+"), clean), lambda x: x != "")
+    """Sentences of a text without runs of white space, each with a full stop."""
+    parts = F.filter(F.transform(F.split(value, "(?<=[.!?]) "), clean), lambda x: x != "")
     return F.transform(parts, lambda x: F.when(x.rlike(r"[.!?]\z"), x).otherwise(F.concat(x, F.lit("."))))
 
 
@@ -117,15 +129,14 @@ def split_long_steps(steps: Column) -> Column:
     """Steps of 220 characters or more in sentences, each with a full stop."""
 
     def one(step: Column) -> Column:
-        c = clean_note(clean_text(step))
-        return F.when(F.length(c) < 220, F.array(c)).otherwise(_sentences(c, clean_note))
+        return bind(_note(clean_text(step)), lambda c: F.when(F.length(c) < 220, F.array(c)).otherwise(_sentences(c, _note)))
 
     return F.flatten(F.transform(steps, one))
 
 
 def split_single_step(steps: Column) -> Column:
     """A lone step in sentences, whatever its length."""
-    return F.when(F.size(steps) == 1, _sentences(F.element_at(steps, 1), trim)).otherwise(steps)
+    return F.when(F.size(steps) == 1, _sentences(collapse(F.element_at(steps, 1)), F.trim)).otherwise(steps)
 
 
 def compare_key(value: Column) -> Column:

@@ -155,8 +155,11 @@ def compact_parts(parts: Column) -> Column:
     return F.transform(kept, lambda r: r["x"])
 
 
-def resolve_posts(posts: DataFrame) -> DataFrame:
-    """Caption parts of posts (post_id, raw_name, description, fallback_text, source_url)."""
+def resolve_posts(posts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Caption parts of posts (post_id, raw_name, description, fallback_text, source_url).
+
+    The columns named by keep (post_id alone by default) come first.
+    """
     texts = [t.text(F.col(c)) for c in ("raw_name", "description", "fallback_text")]
     account = F.coalesce(F.nullif(t.account_name(texts[0]), F.lit("")), t.account_name(texts[1]))
     one = posts.select("*", u.platform(F.col("source_url")).alias("platform"), account.alias("account_name"), F.concat(*(quoted(x) for x in texts)).alias("_quoted"))
@@ -165,7 +168,7 @@ def resolve_posts(posts: DataFrame) -> DataFrame:
     all_titles = F.filter(F.concat(title_candidates(lead), title_candidates(name), title_candidates(desc), F.transform("_quoted", t.clean_title), hashtag_titles(F.concat_ws("\n\n", lead, desc, name, texts[2]))), lambda x: x != "")
     three = two.withColumn("_titles", all_titles)
     return three.select(
-        "post_id",
+        *(keep or ["post_id"]),
         "platform",
         "fallback_title",
         "account_name",
@@ -176,8 +179,10 @@ def resolve_posts(posts: DataFrame) -> DataFrame:
     )
 
 
-def post_titles(posts: DataFrame) -> DataFrame:
-    return resolve_posts(posts).select("post_id", F.coalesce(F.nullif("title_candidate", F.lit("")), "fallback_title").alias("title"))
+def candidate_priority(url: Column, content_type: Column) -> Column:
+    """1 for MP4, 2 for playlists, 3 for other video types, 4 for the rest."""
+    a, kind = F.lower(t.text(url)), F.lower(t.text(content_type))
+    return F.when(kind.contains("video/mp4") | a.rlike(r"\.mp4(?:[?#]|\z)"), 1).when(kind.contains("mpegurl") | a.rlike(r"\.m3u8(?:[?#]|\z)"), 2).when(kind.startswith("video/"), 3).otherwise(4)
 
 
 def _earliest(column: str, usable: Column) -> Column:

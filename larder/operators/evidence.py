@@ -7,16 +7,16 @@ without scripts and styles, with line breaks around blocks.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions import text as t
+from larder.functions import urls as u
 from larder.functions import vocab as v
-from larder.operators.pages import VOID, absolute
+from larder.functions.markup import VOID, TotalParser
+from larder.operators.pages import absolute
 
 _S = T.StringType()
 VIDEO = T.StructType().add("url", _S).add("source", _S).add("content_type", _S)
@@ -26,9 +26,9 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt figure foot
 MOST_TEXT = 12_000
 
 
-class _Seen(HTMLParser):
+class _Seen(TotalParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.title: list[str] | None = None
         self.metas, self.links = {}, {}
         self.text: dict[str, list[str]] = {}
@@ -94,8 +94,7 @@ class _Seen(HTMLParser):
 def read_evidence(html: str | None) -> dict:
     """What one page shows: title, metas by attribute, texts, scripts, videos and links."""
     p = _Seen()
-    p.feed(html or "")
-    p.close()
+    p.read(html)
     inner = {k: "\n".join(x for x in (" ".join(y.split()) for y in "".join(parts).split("\n")) if x) for k, parts in p.text.items()}
     return {
         "title": "".join(p.title or []), "metas": p.metas, "article": inner.get("article", ""), "main": inner.get("main", ""), "scripts": ["".join(x) for x in p.scripts],
@@ -169,6 +168,64 @@ def media_evidence(pages: DataFrame) -> DataFrame:
     return _seen(pages).select("page_id", F.posexplode(found).alias("ord", "_c")).select("page_id", "ord", "_c.*")
 
 
+def linked_media(html: Column) -> Column:
+    """The platform's own video address of a page: the standard one, else the high one, else empty."""
+    low, high = (escaped_json_string(html, f"browser_native_{k}_url") for k in ("sd", "hd"))
+    return F.when(u.is_facebook_media(low), low).when(u.is_facebook_media(high), high).otherwise("")
+
+
+def video_record(e: Column) -> Column:
+    """Metadata of validated video evidence; null evidence gives the empty record."""
+    said = lambda name: F.coalesce(e[name], F.lit(""))
+    return F.struct(
+        *(said(n).alias(n) for n in ("title", "title_source", "visible_recipe_text", "spoken_recipe_text", "combined_recipe_text")),
+        *(t.true_only(e[n]).alias(n) for n in ("ingredients_appear_complete", "instructions_appear_complete")),
+        F.coalesce(e["possible_missing_content"], F.lit(True)).alias("possible_missing_content"), F.coalesce(e["warnings"], F.array().cast("array<string>")).alias("warnings"),
+    )
+
+
+def prepared_record(frames: Column, has_audio: Column, error: Column) -> Column:
+    """Metadata of a prepared video; one without frames was not available."""
+    there = frames.isNotNull()
+    return F.struct(
+        F.when(there, "resolved-instagram-video.mp4").otherwise("").alias("filename"), F.when(there, "video/mp4").otherwise("").alias("mimetype"), F.coalesce(frames, F.lit(0)).alias("frame_count"),
+        (there & t.true_only(has_audio)).alias("has_audio"), there.alias("available"), F.when(there, "").otherwise(t.text(error)).alias("error"),
+    )
+
+
+def resolved_record(tracks: Column, size: Column, candidates: Column, error: Column) -> Column:
+    """Metadata of a resolved video from its tracks (kind, duration_seconds): null tracks were not had.
+
+    Its duration is that of its longest track.
+    """
+    there = tracks.isNotNull()
+    longest = F.aggregate(F.coalesce(tracks, F.array().cast("array<struct<kind:string,duration_seconds:double>>")), F.lit(0.0), lambda a, x: F.greatest(a, F.coalesce(x["duration_seconds"], F.lit(0.0))))
+    return F.struct(
+        F.lit("instagram").alias("platform"), there.alias("available"), longest.alias("duration_seconds"), F.when(there, F.coalesce(size, F.lit(0))).otherwise(0).cast("long").alias("size_bytes"),
+        F.coalesce(F.exists(tracks, lambda x: x["kind"] == "audio"), F.lit(False)).alias("has_audio"), F.when(there, F.coalesce(candidates, F.lit(0))).otherwise(0).cast("int").alias("candidate_count"),
+        F.greatest(F.coalesce(F.size(tracks), F.lit(0)), F.lit(0)).alias("unique_track_count"), F.when(there, "").otherwise(t.text(error)).alias("error"),
+    )
+
+
+def caption_record(success: Column, text: Column, source: Column, score: Column, image: Column, candidates: Column, error: Column) -> Column:
+    """Metadata of a resolved caption."""
+    return F.struct(
+        (t.true_only(success) & (t.text(text) != "")).alias("found"), t.text(source).alias("source"), F.coalesce(score, F.lit(0.0)).alias("score"), t.trim(t.text(text)).alias("text"),
+        t.trim(t.text(image)).alias("image_url"), F.coalesce(candidates, F.lit(0)).alias("candidate_count"), t.text(error).alias("error"),
+    )
+
+
+def post_record(success: Column, reply: Column) -> Column:
+    """Metadata of a short video's post from its embedding reply, trimmed, with defaults."""
+    said = lambda name, default="": F.coalesce(F.nullif(t.trim(t.text(reply[name])), F.lit("")), F.lit(default)).alias(name)
+    number = lambda name: F.coalesce(reply[name].cast("int"), F.lit(0)).alias(name)
+    return F.struct(
+        (t.true_only(success) & (t.text(reply["caption_text"]) != "")).alias("found"), F.lit("tiktok").alias("platform"),
+        *(said(n) for n in ("original_url", "expanded_url", "source_url", "caption_source", "caption_text", "image_url")), number("image_width"), number("image_height"),
+        *(said(n) for n in ("author_name", "author_url", "author_unique_id", "video_id")), said("provider_name", "TikTok"), said("embed_type", "video"), said("oembed_version"),
+    )
+
+
 def link_evidence(pages: DataFrame) -> DataFrame:
     """Title, description, image, canonical and oEmbed links of pages."""
     return _seen(pages).select(

@@ -123,10 +123,21 @@ def recipe_of(blocks: pd.Series) -> pd.DataFrame:
 RECIPE_OF = recipe_of.asNondeterministic()
 
 
-def blocks_of(html: Column) -> Column:
-    """Trimmed texts of a page's JSON-LD scripts in order, empty ones left out."""
-    pattern = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), t.trim), lambda x: x != "")
+BLOCK = re.compile(r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.IGNORECASE | re.DOTALL)
+
+
+def read_blocks(html: str) -> list[tuple[bool, str | None, list[str], list[str], str]]:
+    """All JSON-LD blocks of a page, read, in order; empty ones left out."""
+    if "ld+json" not in html.lower():
+        return []
+    return [read_block(m[1]) for m in BLOCK.finditer(html) if m[1].strip()]
+
+
+def first_usable_of(blocks: Column) -> Column:
+    """The first of a page's read blocks that is more than metadata, cleaned, or null."""
+    clean = F.transform(blocks, lambda b: F.struct(t.clean_html_entities(b["name"]).alias("name"), clean_list(b["ingredients"]).alias("ingredients"), clean_list(b["instructions"]).alias("instructions"), b["image"].alias("image")))
+    levelled = F.transform(clean, lambda b: F.struct(*(b[c].alias(c) for c in ("name", "ingredients", "instructions", "image")), success_level(F.size(b["ingredients"]), F.size(b["instructions"])).alias("success_level")))
+    return F.get(F.filter(levelled, lambda b: b["success_level"] != "metadata-only"), F.lit(0))
 
 
 def clean_list(items: Column) -> Column:
@@ -148,9 +159,3 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
     read = blocks.withColumn("_r", RECIPE_OF(F.coalesce("raw", F.lit(""))))
     out = read.select("page_id", "ord", F.col("_r.found").alias("found"), t.clean_html_entities(F.col("_r.name")).alias("name"), clean_list(F.col("_r.ingredients")).alias("ingredients"), clean_list(F.col("_r.instructions")).alias("instructions"), F.col("_r.image").alias("image"))
     return out.withColumn("success_level", success_level(F.size("ingredients"), F.size("instructions")))
-
-
-def first_usable(blocks: DataFrame) -> DataFrame:
-    """The first block of each page that is more than metadata."""
-    usable = from_blocks(blocks).filter("success_level <> 'metadata-only'")
-    return usable.groupBy("page_id").agg(F.min_by(F.struct("name", "ingredients", "instructions", "image", "success_level"), "ord").alias("r")).select("page_id", "r.*")

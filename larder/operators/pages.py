@@ -2,62 +2,69 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from larder.functions import text as t
 from larder.functions import urls as u
 from larder.functions import vocab as v
-from larder.operators.jsonld import success_level
+from larder.functions.markup import VOID, Open, TotalParser
+from larder.operators.jsonld import RECIPE, first_usable_of, read_blocks, success_level
 
 STRINGS = ArrayType(StringType())
 LINK = StructType([StructField("href", StringType()), StructField("text", StringType())])
-PIECES = StructType([StructField("title", StringType()), StructField("body", StringType()), StructField("metas", MapType(StringType(), StringType())), StructField("selected", ArrayType(STRINGS)), StructField("links", ArrayType(LINK)), StructField("items", STRINGS), StructField("plugin", ArrayType(STRINGS))])
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "tr": {"tr", "td", "th"}}
-
-
-def _classes(attrs: dict[str, str]) -> set[str]:
-    return set((attrs.get("class") or "").split())
-
-
-# Selectors of ingredients (4) and instructions (5), tried in this order.
-SELECTORS = [
-    lambda tag, a, path: a.get("data-ingredient-name") == "true",
-    lambda tag, a, path: "mntl-structured-ingredients__list-item" in _classes(a),
-    lambda tag, a, path: "ingredients-item-name" in _classes(a),
-    lambda tag, a, path: tag == "li" and "ingredient" in (a.get("class") or ""),
-    lambda tag, a, path: {"comp", "mntl-sc-block", "mntl-sc-block-html"} <= _classes(a),
-    lambda tag, a, path: "mntl-sc-block-group--LI" in _classes(a),
-    lambda tag, a, path: tag == "li" and "instruction" in (a.get("class") or ""),
-    lambda tag, a, path: tag == "p" and "instruction" in (a.get("class") or ""),
-    lambda tag, a, path: tag == "div" and "direction" in (a.get("class") or ""),
-]
-# Selectors of the recipe plugin, ingredients (3) and instructions (3); all are taken.
-PLUGIN = [
-    s
-    for kind in ("ingredient", "instruction")
-    for s in (
-        lambda tag, a, path, k=kind: f"wprm-recipe-{k}" in _classes(a),
-        lambda tag, a, path, k=kind: tag == "li" and any(f"wprm-recipe-{k}s" in c for c in path),
-        lambda tag, a, path, k=kind: f"wprm-recipe-{k}" in (a.get("class") or ""),
-    )
-]
-
+_FIELDS = {
+    "title": StringType(), "body": StringType(), "metas": MapType(StringType(), StringType()), "selected": ArrayType(STRINGS), "links": ArrayType(LINK), "n_links": IntegerType(),
+    "n_items": IntegerType(), "plugin": ArrayType(STRINGS), "blocks": ArrayType(RECIPE),
+}
+PIECES = StructType([StructField(name, kind) for name, kind in _FIELDS.items()])
+CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "tr": {"tr", "td", "th"}, "a": {"a"}}
+KINDS = ("ingredient", "instruction")
+
+
+def selectors(tag: str, attrs: dict[str, str], names: set[str]) -> list[int]:
+    """Which selectors an element meets: 0 to 3 of ingredients, 4 to 8 of instructions, tried in this order."""
+    whole = attrs.get("class") or ""
+    tests = [
+        attrs.get("data-ingredient-name") == "true",
+        "mntl-structured-ingredients__list-item" in names,
+        "ingredients-item-name" in names,
+        tag == "li" and "ingredient" in whole,
+        {"comp", "mntl-sc-block", "mntl-sc-block-html"} <= names,
+        "mntl-sc-block-group--LI" in names,
+        tag == "li" and "instruction" in whole,
+        tag == "p" and "instruction" in whole,
+        tag == "div" and "direction" in whole,
+    ]
+    return [i for i, met in enumerate(tests) if met]
+
+
+def plugin_selectors(tag: str, attrs: dict[str, str], names: set[str], within: dict[str, int]) -> list[int]:
+    """Which selectors of the recipe plugin: 0 to 2 of ingredients, 3 to 5 of instructions; all are taken."""
+    tests = [met for k in KINDS for met in (f"wprm-recipe-{k}" in names, tag == "li" and within[k] > 0, f"wprm-recipe-{k}" in (attrs.get("class") or ""))]
+    return [i for i, met in enumerate(tests) if met]
+
+
+class _Page(TotalParser):
+    """One pass over a page. The text of an element is a run of the page's pieces of data."""
 
-class _Page(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, set[str], list[tuple[list[str], int]]]] = []
-        self.title, self.body, self.metas, self.links = [], [], {}, []
-        self.selected = [[] for _ in SELECTORS]
-        self.plugin = [[] for _ in PLUGIN]
-        self.items: list[list[str]] = []
-        self.open: list[list[str]] = []
+        super().__init__()
+        self.open = Open()
+        self.sinks: list[list[tuple[list, int, int]]] = []
+        self.holders: list[tuple[str, ...]] = []
+        self.within = dict.fromkeys(KINDS, 0)
+        self.data: list[str] = []
+        self.title, self.body, self.metas = [], [], {}
+        self.links: list[list[str]] = []
+        self.hrefs: list[str] = []
+        self.n_links = self.n_items = 0
+        self.selected, self.plugin = [[] for _ in range(9)], [[] for _ in range(6)]
 
     def handle_starttag(self, tag, attrs):
         a = {k: x or "" for k, x in reversed(attrs)}
@@ -65,53 +72,60 @@ class _Page(HTMLParser):
             self.metas[key] = a.get("content", "")
         if tag in VOID:
             return
-        while self.stack and self.stack[-1][0] in CLOSES.get(tag, ()):
+        while self.open.names and self.open.names[-1] in CLOSES.get(tag, ()):
             self._pop()
-        path = [c for _, c, _ in self.stack]
-        sinks = [self.selected[i] for i, s in enumerate(SELECTORS) if s(tag, a, path)] + [self.plugin[i] for i, s in enumerate(PLUGIN) if s(tag, a, path)]
-        own: list[list[str]] = []
-        for sink in sinks:
-            own.append([])
-            sink.append(own[-1])
+        names = set((a.get("class") or "").split())
+        targets = []
+        if names or "data-ingredient-name" in a or tag == "li":
+            targets = [self.selected[i] for i in selectors(tag, a, names)] + [self.plugin[i] for i in plugin_selectors(tag, a, names, self.within)]
         if tag == "a":
-            own.append([])
-            self.links.append((a.get("href"), own[-1]))
-        if tag == "li":
-            own.append([])
-            self.items.append(own[-1])
-        self.open += own
-        self.stack.append((tag, _classes(a), own))
+            self.n_links += 1
+            if "/recipe/" in (a.get("href") or ""):
+                self.hrefs.append(a["href"])
+                targets.append(self.links)
+        self.n_items += tag == "li"
+        for target in targets:
+            target.append("")
+        holds = tuple(k for k in KINDS if f"wprm-recipe-{k}s" in names)
+        for k in holds:
+            self.within[k] += 1
+        self.sinks.append([(target, len(target) - 1, len(self.data)) for target in targets])
+        self.holders.append(holds)
+        self.open.push(tag)
 
     def _pop(self):
-        own = self.stack.pop()[2]
-        if own:
-            drop = {id(x) for x in own}
-            self.open = [x for x in self.open if id(x) not in drop]
+        self.open.pop()
+        for target, place, start in self.sinks.pop():
+            target[place] = "".join(self.data[start:])
+        for k in self.holders.pop():
+            self.within[k] -= 1
 
     def handle_endtag(self, tag):
-        if any(x[0] == tag for x in self.stack):
-            while self.stack and self.stack[-1][0] != tag:
-                self._pop()
-            if self.stack:
-                self._pop()
+        depth = self.open.last(tag)
+        while 0 <= depth < len(self.open.names):
+            self._pop()
 
     def handle_data(self, data):
-        inside = {x[0] for x in self.stack}
-        if "title" in inside and not self.body:
+        self.data.append(data)
+        titled = self.open.last("title") >= 0
+        if titled and not self.body:
             self.title.append(data)
-        if "head" not in inside and "title" not in inside:
+        if not titled and self.open.last("head") < 0:
             self.body.append(data)
-        for x in self.open:
-            x.append(data)
+
+    def finish(self):
+        while self.open.names:
+            self._pop()
 
 
 def read_page(html: str | None) -> dict:
-    """Title, body text, metas, selector hits, links and list items of one page."""
+    """Title, body text, metas, selector hits, links to recipes, counts and JSON-LD of one page."""
     p = _Page()
-    p.feed(html or "")
-    p.close()
-    joined = lambda lists: [["".join(x) for x in one] for one in lists]
-    return {"title": "".join(p.title), "body": "".join(p.body), "metas": p.metas, "selected": joined(p.selected), "links": [{"href": h, "text": "".join(x)} for h, x in p.links], "items": ["".join(x) for x in p.items], "plugin": joined(p.plugin)}
+    p.read(html)
+    p.finish()
+    links = [{"href": h, "text": x} for h, x in zip(p.hrefs, p.links, strict=True)]
+    blocks = [dict(zip(RECIPE.names, b, strict=True)) for b in read_blocks(html or "")]
+    return {"title": "".join(p.title), "body": "".join(p.body), "metas": p.metas, "selected": p.selected, "links": links, "n_links": p.n_links, "n_items": p.n_items, "plugin": p.plugin, "blocks": blocks}
 
 
 @F.pandas_udf(PIECES)
@@ -136,12 +150,9 @@ def only_steps(lines: Column) -> Column:
 
 def is_blocked(title: Column, body: Column, url: Column) -> Column:
     """Whether any sign of a challenge page is there."""
-    a, b = F.lower(t.clean_text(title)), F.lower(t.clean_text(body))
-    tests = [a.contains(x) for x in v.BLOCKED_TITLES] + [b.contains(x) for x in v.BLOCKED_BODIES] + [t.text(url).contains(x) for x in v.BLOCKED_URLS]
-    out = tests[0]
-    for x in tests[1:]:
-        out = out | x
-    return out
+    found = lambda parts: lambda c: reduce(or_, (c.contains(x) for x in parts))
+    one = lambda value, parts: t.bind(F.lower(t.clean_text(value)), found(parts))
+    return one(title, v.BLOCKED_TITLES) | one(body, v.BLOCKED_BODIES) | found(v.BLOCKED_URLS)(t.text(url))
 
 
 def first_meta(metas: Column, *names: str) -> Column:
@@ -167,14 +178,13 @@ def absolute(base: Column, href: Column) -> Column:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Page pieces and the fallback recipe (page_id, url, html): one parse a page."""
-    parsed = pages.withColumn("_p", PIECES_OF(F.coalesce("html", F.lit("")))).select("page_id", "url", "html", "_p.*")
+    parsed = pages.withColumn("_p", PIECES_OF(F.coalesce("html", F.lit("")))).select("page_id", "url", "_p.*")
     plugin = F.coalesce(F.col("url").contains("natashaskitchen.com"), F.lit(False))
     flat = lambda a, b: F.array_distinct(F.filter(F.transform(F.flatten(F.slice("plugin", a, b)), lambda x: t.clean_html_entities(t.clean_text(x))), lambda x: x != ""))
     own_ingredients, own_steps = F.slice(flat(1, 3), 1, 80), F.slice(F.filter(flat(4, 3), lambda x: F.length(x) > 10), 1, 40)
     return parsed.select(
         "page_id",
         "url",
-        "html",
         t.clean_text(F.col("title")).alias("title"),
         is_blocked(F.col("title"), F.col("body"), F.col("url")).alias("blocked"),
         first_meta(F.col("metas"), "og:title").alias("og_title"),
@@ -183,8 +193,9 @@ def extract(pages: DataFrame) -> DataFrame:
         F.when(plugin & (F.size(own_ingredients) > 0), own_ingredients).otherwise(first_selector(F.slice("selected", 1, 4))).alias("ingredients"),
         F.when(plugin & (F.size(own_steps) > 0), own_steps).otherwise(only_steps(first_selector(F.slice("selected", 5, 5)))).alias("instructions"),
         absolute(F.col("url"), recipe_link(F.col("links"), F.col("title"))).alias("linked_recipe_url"),
-        F.size("links").alias("n_links"),
-        F.size("items").alias("n_items"),
+        "n_links",
+        "n_items",
+        first_usable_of(F.col("blocks")).alias("json_ld"),
     )
 
 
