@@ -44,12 +44,6 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.clean_text(F.col("text")).alias("clean"))
 
 
-@query("page_recipes")
-def page_recipes(spark, sf):
-    out = recipes.page_recipes(table(spark, sf, "pages"))
-    return out.withColumns({c: F.array_join(c, "\n") for c in ("ingredients", "instructions")})
-
-
 TITLE = "trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g'))"
 DECODED = f"replace(replace(replace({TITLE}, '&nbsp;', ' '), '&amp;', '&'), '&quot;', '\"')"
 
@@ -67,16 +61,37 @@ def _drop_sql(url: str) -> str:
     return f"regexp_replace({base}, '\\?.*$', '') || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
 
 
+def page_recipes(spark, sf):
+    out = recipes.page_recipes(table(spark, sf, "pages"))
+    return out.withColumns({c: F.array_join(c, "\n") for c in ("ingredients", "instructions")})
+
+
 @query("url_canonical", f"SELECT page_id, {_drop_sql('url')} AS canonical FROM pages")
 def url_canonical(spark, sf):
     return table(spark, sf, "pages").select("page_id", u.canonical(F.col("url")).alias("canonical"))
 
 
-@query("url_import")
+@query("url_import", f"SELECT page_id, {_drop_sql('url')} AS canonical FROM pages")
 def url_import(spark, sf):
     return table(spark, sf, "pages").select("page_id", u.import_url("url").alias("canonical"))
 
 
+TEXT = f"lower({CLEAN.format(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', ' ', ', ', 'g', ')']))})"
+SLUG = f"regexp_replace(regexp_replace(regexp_replace(lower(trim({DECODED})), '[^a-zA-Z0-9_\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g') || '-' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0')"
+_blocked_page = " OR ".join([f"contains(lower({DECODED}), '{x}')" for x in v.BLOCKED_TITLES] + [f"contains({TEXT}, '{x}')" for x in v.BLOCKED_BODIES] + [f"contains(url, '{x}')" for x in v.BLOCKED_URLS])
+_items_sql = "array_to_string(list_distinct(regexp_extract_all(html, '<li[^>]*class=\"[^\"]*{0}[^\"]*\"[^>]*>([^<]*)', 1)), chr(10))"
+_ingredients, _steps = _items_sql.format("ingredient"), _items_sql.format("instruction")
+
+query(
+    "page_recipes",
+    f"""SELECT page_id, {_drop_sql('url')} AS source_url, {DECODED} AS name, {_ingredients} AS ingredients, {_steps} AS instructions, regexp_extract(html, 'property="og:image" content="([^"]*)"', 1) AS image,
+    regexp_extract(html, '(?:property="og:|name=")description" content="([^"]*)"', 1) AS description, regexp_extract(html, 'href="([^"]*/recipe/[^"]*)"', 1) AS linked_recipe_url,
+    CASE WHEN {_blocked_page} THEN 'blocked' WHEN {_ingredients} <> '' AND {_steps} <> '' THEN 'full' WHEN {_ingredients} <> '' OR {_steps} <> '' THEN 'partial'
+    WHEN regexp_matches(lower(url), 'facebook[.]com|fb[.]watch|instagram[.]com|tiktok[.]com|pinterest[.]com') THEN 'social-metadata-only' ELSE 'metadata-only' END AS success_level,
+    {_blocked_page} AS blocked, CAST(len(regexp_extract_all(html, '<a[ >]')) AS INTEGER) AS n_links, CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS n_items, {SLUG} AS slug FROM pages""",
+)(page_recipes)
+
+
 LINKS = "(1, 'https://www.instagram.com/reel/abc/?x=1#y'), (2, 'https://vm.tiktok.com/Z1'), (3, 'http://m.facebook.com/v'), (4, 'https://www.pinterest.com/pin/12/'), (5, 'https://pin.it/q'), (6, 'https://notinstagram.com/reel/a'), (7, 'ftp://x'), (8, ''), (9, NULL), (10, 'https://fb.watch/a'), (11, 'https://www.tiktok.com/@me/video/77?q=1')"
 HOST = "lower(regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#:]+)', 1))"
 
@@ -138,12 +153,25 @@ def _captions(spark, sf):
 KEYED = "SELECT conv_id AS post_id, turn AS ord, CASE WHEN role = 'user' THEN 'og-description' ELSE 'script-caption' END AS source, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key, length(trim(text)) AS n FROM conversations"
 
 
-@query("caption_dedupe", f"SELECT post_id, min(ord) AS ord FROM ({KEYED}) WHERE key <> '' GROUP BY post_id, key")
+_word = lambda words: f"CASE WHEN regexp_matches(text, '(?i)\\b(?:{words})\\b') THEN 1 ELSE 0 END"
+SIGNAL = f"""25 * {_word("ingredients?|what you(?:''|’)?ll need")} + 25 * {_word("instructions?|directions?|method|steps?")}
+    + 20 * greatest({_word("cup|cups|tablespoons?|tbsp|teaspoons?|tsp|ounces?|oz|pounds?|lbs?|grams?|ml")}, CASE WHEN regexp_matches(text, '(?i)[A-Za-z0-9_]°[fc](?:[^A-Za-z0-9_]|$)') THEN 1 ELSE 0 END)
+    + 15 * {_word("bake|cook|stir|mix|whisk|roast|boil|simmer|fry|grill|season|serve|preheat")} + 5 * CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END"""
+_generic = " OR ".join(["text = 'instagram'", *(f"contains(lower(text), '{x}')" for x in v.GENERIC_CAPTIONS)])
+SCORED = f"""SELECT post_id, ord, source, text, CASE WHEN length(text) < 3 OR {_generic} THEN -1000.0 ELSE CAST(CASE source {" ".join(f"WHEN '{k}' THEN {w}" for k, w in v.SOURCE_WEIGHTS.items())} ELSE 10 END AS DOUBLE)
+    + CAST(least(length(text), 1200) AS DOUBLE) / 40.0 + {SIGNAL} - CASE WHEN length(text) > 6000 THEN 100 WHEN length(text) > 3000 THEN 30 ELSE 0 END END AS score
+    FROM (SELECT post_id, key, min(ord) AS ord, arg_min(source, ord) AS source, arg_min(text, ord) AS text FROM ({KEYED.replace(", length(trim(text)) AS n", ", trim(text) AS text")}) WHERE key <> '' GROUP BY post_id, key)"""
+
+
+@query("caption_dedupe", SCORED)
 def caption_dedupe(spark, sf):
-    return captions.dedupe_captions(_captions(spark, sf)).select("post_id", "ord")
+    return captions.dedupe_captions(_captions(spark, sf)).select("post_id", "ord", "source", "text", "score")
+
+
+_place = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(v.CANONICAL_SOURCES))
 
 
-@query("caption_best")
+@query("caption_best", f"SELECT post_id, source, text, score FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY CASE source {_place} ELSE 3 END, score DESC, ord) AS k FROM ({SCORED}) WHERE score > 0) WHERE k = 1")
 def caption_best(spark, sf):
     return captions.best_caption(_captions(spark, sf))
 
@@ -476,3 +504,114 @@ def video_imports(spark, sf):
     shown = rows(spark, SHOWN, "doc_id, has_recipe_content, title, visible_recipe_text, spoken_recipe_text, ingredients_appear_complete, instructions_appear_complete")
     out = recipes.import_videos(shown, rows(spark, PARSED, "doc_id, name, ingredients, instructions"))
     return out.withColumns({c: F.coalesce(F.array_join(c, "|"), F.lit("")) for c in ("ingredients", "instructions")})
+
+
+_key = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[''’]', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    "document_scalars",
+    f"""SELECT doc_id, {_key} AS key, substring(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 240) AS notes, coalesce(nullif(lower(substring(lang, 1, 2)), ''), 'en') AS language,
+    CASE WHEN lower(substring(lang, 1, 2)) = 'es' THEN 'es' ELSE 'en' END AS route, regexp_extract(lower(coalesce(source, '')), '[.][a-z0-9]+$') AS extension, CASE WHEN lower(trim(source)) IN ('quick', 'big') THEN lower(trim(source)) ELSE 'normal' END AS effort FROM documents""",
+)
+def document_scalars(spark, sf):
+    c = F.col("text")
+    return table(spark, sf, "documents").select(
+        "doc_id", t.compare_key(c).alias("key"), t.recipe_notes(c).alias("notes"), t.language(F.col("lang")).alias("language"), t.route_language(F.col("lang")).alias("route"), u.file_extension(F.col("source")).alias("extension"), t.effort(F.col("source")).alias("effort")
+    )
+
+
+_page_host = "regexp_extract(url, '^https?://([^/?#:]+)', 1)"
+
+
+@query(
+    "page_urls",
+    f"""SELECT page_id, CASE WHEN {_page_host} = 'pin.it' OR {_page_host} LIKE '%pinterest.com' THEN true ELSE false END AS pinterest, regexp_replace({_page_host}, '[.]$', '') AS host,
+    regexp_matches({_page_host}, '{"|".join(x.replace(".", "[.]") for x in v.BAD_HOST_FRAGMENTS)}') OR regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '[.](?:jpg|jpeg|png|webp|gif|svg)$') AS bad,
+    regexp_matches(url, '(?i)[.](?:mp4|m4v|mov|webm|m3u8)(?:[?#]|$)|/video/|video_dashinit|videoplayback') AS video, CASE WHEN regexp_matches(lower(url), '[.]mp4(?:[?#]|$)') THEN 1 WHEN regexp_matches(lower(url), '[.]m3u8(?:[?#]|$)') THEN 2 ELSE 4 END AS priority,
+    CASE WHEN url LIKE 'https://%' THEN 'UNSUPPORTED_PUBLIC_VIDEO_PLATFORM' ELSE 'INVALID_PUBLIC_VIDEO_URL' END AS instagram_error, CASE WHEN url LIKE 'https://%' THEN 'UNSUPPORTED_FACEBOOK_VIDEO_PLATFORM' ELSE 'INVALID_FACEBOOK_VIDEO_URL' END AS facebook_error FROM pages""",
+)
+def page_urls(spark, sf):
+    c, none = F.col("url"), F.lit("")
+    return table(spark, sf, "pages").select(
+        "page_id", u.is_pinterest(c).alias("pinterest"), u.clean_hostname(u.host(c)).alias("host"), u.is_bad_candidate(c).alias("bad"), u.looks_like_video(c, none).alias("video"), captions.candidate_priority(c, none).alias("priority"),
+        u.validate_instagram(c)["error_code"].alias("instagram_error"), u.validate_facebook(c)["error_code"].alias("facebook_error"),
+    )
+
+
+@query(
+    "html_links_scored",
+    f"""SELECT page_id, ord, href, length(shown) AS n, CASE WHEN regexp_matches(href, 'recipe|food|kitchen|cooking|dinner|baking') THEN 1 ELSE 0 END AS score FROM (SELECT page_id, unnest(range(1, len(hrefs) + 1)) AS ord, unnest(hrefs) AS href, unnest(texts) AS shown
+    FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS texts FROM pages))""",
+)
+def html_links_scored(spark, sf):
+    pattern = F.lit('<a href="([^"]*)">([^<]*)</a>')
+    both = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("href"), F.regexp_extract_all("html", pattern, 2).alias("shown"))
+    links = table(spark, sf, "pages").select("page_id", F.posexplode(both).alias("ord", "l"))
+    return links.select("page_id", (F.col("ord") + 1).cast("long").alias("ord"), "l.href", F.length("l.shown").cast("long").alias("n"), F.col("l.href").rlike("recipe|food|kitchen|cooking|dinner|baking").cast("int").alias("score"))
+
+
+def _flat(results: DataFrame) -> DataFrame:
+    shown = results.withColumns({c: F.array_join(c, "\n") for c in ("ingredients", "instructions")})
+    return shown.select("request_id", "success", "success_level", "name", "ingredients", "instructions", "source_url", "imported_from_url", "image", "fallback_text", F.col("recipe.slug").alias("slug"), F.col("recipe.instructions").alias("steps"))
+
+
+@query(
+    "import_recipe",
+    f"""SELECT page_id AS request_id, true AS success, 'metadata-only' AS success_level, name, '' AS ingredients, '' AS instructions, url AS source_url, url AS imported_from_url, '' AS image,
+    CASE WHEN user_caption = '' THEN '' ELSE user_caption || chr(10) || chr(10) END || array_to_string(list_filter([name, url], lambda x: x <> ''), chr(10) || chr(10)) AS fallback_text, {SLUG.replace(DECODED, 'name')} AS slug, '{v.SOURCE_STEPS}' AS steps
+    FROM (SELECT page_id, coalesce(nullif({DECODED}, ''), 'Imported Recipe') AS name, {_drop_sql('url')} AS url, CASE WHEN page_id % 2 = 0 THEN 'Seen on ' || page_id ELSE '' END AS user_caption FROM pages) WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY {_drop_sql('url')})""",
+)
+def import_recipe(spark, sf):
+    """Every page's address as a request, every second one with a caption of the user's that is too short to be a recipe."""
+    found = table(spark, sf, "pages")
+    caption = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Seen on "), F.col("page_id").cast("string")))
+    first = found.groupBy(u.canonical(F.col("url"))).agg(F.min("page_id").alias("page_id")).select("page_id")
+    asked = found.join(first, "page_id", "left_semi").select(F.col("page_id").alias("request_id"), "url", caption.alias("caption_text"), F.lit(None).cast("string").alias("shared_text"), F.lit("en").alias("language"))
+    return _flat(recipes.import_recipes(asked, found, found.limit(0), rows(spark, NO_PINS, "url, resolved_url").limit(0), rows(spark, SAID, "url, caption, image_url"), rows(spark, SHOWN_VIDEOS, SHOWN_COLUMNS)))
+
+
+NO_PINS = "('https://pin.it/q', 'https://blog.com/pie'), ('https://pin.it/q', 'https://blog.com/zzz')"
+SAID = r"""('https://www.instagram.com/reel/a/', 'Best Soup\nIngredients:\n1 cup beans\nwater\nInstructions:\n1. Boil the water for ten minutes until it is hot\n2) Add beans and cook them slowly for an hour until tender', 'https://i/s.jpg')"""
+SHOWN_COLUMNS = "url, has_recipe_content, title, visible_recipe_text, spoken_recipe_text, combined_recipe_text, ingredients_appear_complete, instructions_appear_complete, image_url, parsed"
+SHOWN_VIDEOS = """('https://www.facebook.com/v/1', true, 'Rice Bowl', '1 cup rice', '', '1 cup rice. Cook it.', false, false, 'https://i/v.jpg', named_struct('name', 'Rice Bowl', 'ingredients', array('1 cup rice'), 'instructions', array('Cook it.'), 'ingredients_appear_complete', true, 'instructions_appear_complete', true)),
+('https://www.facebook.com/v/2', true, 'Pie', '1 cup flour', '', '1 cup flour', false, false, '', named_struct('name', 'Pie', 'ingredients', array('1 cup flour'), 'instructions', array('Bake.'), 'ingredients_appear_complete', true, 'instructions_appear_complete', false))"""
+IMPORT_PAGES = """(1, 'https://blog.com/pie', '<title>Pie</title><script type="application/ld+json">{"@type":"Recipe","name":"Apple Pie","recipeIngredient":["1 cup flour"],"recipeInstructions":["Bake."]}</script>'),
+(2, 'https://blog.com/list', '<title>Ten pies for you</title><a href="/recipe/pie">Get the recipe</a>'), (3, 'https://blog.com/recipe/pie', '<title>Linked</title><ul><li class="ingredient">2 apples</li></ul>'),
+(4, 'https://www.instagram.com/reel/a/', '<title>Instagram</title>'), (5, 'https://www.facebook.com/v/1', '<title>Facebook</title>'), (6, 'https://www.facebook.com/v/2', '<title>Facebook</title>'),
+(7, 'https://blog.com/weak', '<title>Just a moment</title>'), (8, 'https://www.tiktok.com/x', '<title>TikTok</title>')"""
+RENDERED = """(1, 'https://blog.com/weak', '<title>Weak Stew</title><li class="ingredient">1 onion</li><p class="instruction">Cook the onion.</p>')"""
+ASKED = r"""(1, 'https://blog.com/pie?utm_source=x', NULL, NULL, 'en'), (2, 'https://blog.com/list', NULL, NULL, 'es'), (3, 'https://www.instagram.com/reel/a/', NULL, NULL, 'en'), (4, 'https://www.facebook.com/v/1', '', NULL, 'en'), (5, 'https://www.facebook.com/v/2', NULL, NULL, 'en'),
+(6, 'https://blog.com/weak', NULL, NULL, 'en'), (7, 'https://pin.it/q', NULL, NULL, 'en'), (8, '', NULL, NULL, 'en'), (9, 'https://nowhere.org/', NULL, NULL, 'en'), (10, NULL, NULL, NULL, NULL), (11, 'https://pin.it/none', NULL, NULL, 'en'),
+(12, 'https://www.tiktok.com/x', NULL, 'Best Rice\nIngredients:\n1 cup rice\nInstructions:\n1. Boil the rice in water until it is done and tender', 'en')"""
+
+
+@query(
+    "import_cases",
+    """SELECT * FROM (VALUES (1, 'full', 'Apple Pie', '1 cup flour', 'Bake.', 'none', false), (2, 'partial', 'Linked', '2 apples', '', 'caption-no-recipe', true),
+    (3, 'full', 'Best Soup', '1 cup beans|water', 'Boil the water for ten minutes until it is hot|Add beans and cook them slowly for an hour until tender', 'caption', false), (4, 'full', 'Rice Bowl', '1 cup rice', 'Cook it.', 'video', false),
+    (5, 'social-metadata-only', 'Facebook Recipe', '', '', 'video-incomplete', false), (6, 'full', 'Weak Stew', '1 onion', 'Cook the onion.', 'none', false), (7, 'full', 'Apple Pie', '1 cup flour', 'Bake.', 'none', false), (8, 'bad-url', '', '', '', 'none', false),
+    (9, 'fetch-failed', '', '', '', 'none', false), (10, 'bad-url', '', '', '', 'none', false), (11, 'fetch-failed', '', '', '', 'none', false),
+    (12, 'full', 'Best Rice', '1 cup rice', 'Boil the rice in water until it is done and tender', 'caption', false)) AS t(request_id, success_level, name, ingredients, instructions, rescue, followed)""",
+)
+def import_cases(spark, sf):
+    """One request for every way through an import."""
+    asked = rows(spark, ASKED, "request_id, url, caption_text, shared_text, language")
+    out = recipes.import_recipes(asked, rows(spark, IMPORT_PAGES, "page_id, url, html"), rows(spark, RENDERED, "page_id, url, html"), rows(spark, NO_PINS, "url, resolved_url"), rows(spark, SAID, "url, caption, image_url"), rows(spark, SHOWN_VIDEOS, SHOWN_COLUMNS))
+    return out.select("request_id", "success_level", "name", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("instructions", "|").alias("instructions"), "rescue", "followed")
+
+
+_quoted = "replace(replace(replace(text, chr(92), ''), '\"', ''), chr(9), ' ')"
+
+
+@query(
+    "import_jsonld",
+    f"""SELECT doc_id AS request_id, true AS success, CASE WHEN clean = '' THEN 'metadata-only' ELSE 'partial' END AS success_level, name, clean AS ingredients FROM (SELECT doc_id, 'Dish ' || doc_id AS name,
+    trim(regexp_replace(regexp_extract({_quoted}, '^[A-Za-z]+'), '\\s+', ' ', 'g')) AS clean FROM documents WHERE text IS NOT NULL)""",
+)
+def import_jsonld(spark, sf):
+    """The first word of every text as the one ingredient of a recipe."""
+    word = F.regexp_extract(F.regexp_replace("text", r'[\\"]', ""), "^[A-Za-z]+", 0)
+    raw = F.format_string('{"@type":"Recipe","name":"Dish %s","recipeIngredient":["%s"]}', F.col("doc_id"), word)
+    asked = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("request_id"), F.lit("https://a.org/x").alias("url"), raw.alias("json_ld"))
+    return recipes.import_jsonld(asked).select("request_id", "success", "success_level", "name", F.array_join("ingredients", "\n").alias("ingredients"))

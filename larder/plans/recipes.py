@@ -22,18 +22,12 @@ def identity(rows: DataFrame) -> DataFrame:
 
 
 def page_recipes(table: DataFrame) -> DataFrame:
-    """One recipe row a page (page_id, url, html): JSON-LD first, then selectors.
-
-    Pages are parsed once; JSON-LD blocks meet their page by a join on its id.
-    """
+    """One recipe row a page (page_id, url, html): JSON-LD first, then selectors. One parse, no join."""
     page = pages.page_level(pages.extract(table))
-    blocks = table.select("page_id", F.posexplode(jsonld.blocks_of(F.col("html"))).alias("ord", "raw"))
-    best = jsonld.first_usable(blocks).select("page_id", *(F.col(c).alias(f"j_{c}") for c in ("name", "ingredients", "instructions", "image", "success_level")))
-    both = page.join(best, "page_id", "left")
-    from_ld = F.col("j_success_level").isNotNull() & ~F.col("blocked")
-    pick = lambda c, other: F.when(from_ld, F.col(f"j_{c}")).otherwise(other)
+    from_ld = F.col("json_ld").isNotNull() & ~F.col("blocked")
+    pick = lambda c, other: F.when(from_ld, F.col(f"json_ld.{c}")).otherwise(other)
     name = F.coalesce(F.nullif(pick("name", F.lit("")), F.lit("")), F.nullif("og_title", F.lit("")), F.nullif("title", F.lit("")), F.lit("Imported Recipe"))
-    out = both.select(
+    out = page.select(
         "page_id",
         u.canonical(F.col("url")).alias("source_url"),
         t.clean_html_entities(name).alias("name"),
@@ -42,7 +36,7 @@ def page_recipes(table: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(pick("image", F.lit("")), F.lit("")), "image").alias("image"),
         "description",
         "linked_recipe_url",
-        F.when(from_ld, F.col("j_success_level")).otherwise(F.col("success_level")).alias("success_level"),
+        pick("success_level", F.col("success_level")).alias("success_level"),
         "blocked",
         "n_links",
         "n_items",
@@ -50,6 +44,24 @@ def page_recipes(table: DataFrame) -> DataFrame:
     return out.withColumn("slug", t.recipe_slug(F.col("name"), F.col("page_id")))
 
 
+def page_results(table: DataFrame) -> DataFrame:
+    """Canonical results of pages: page_recipes with success, the address it came from and a
+    text to fall back on (name, description and address) where a page has no recipe."""
+    found = page_recipes(table.select("page_id", "url", "html"))
+    empty = (F.size("ingredients") == 0) & (F.size("instructions") == 0)
+    text = F.array_join(F.filter(F.array("name", "description", "source_url"), lambda x: x != ""), "\n\n")
+    return found.select("*", (~F.col("blocked")).alias("success"), F.col("source_url").alias("imported_from_url"), F.when(empty, text).otherwise("").alias("fallback_text"))
+
+
+def recipe_record(name: Column, ingredients: Column, instructions: Column, image: Column, source_url: Column, level: Column, fallback: Column, key: Column) -> Column:
+    """The canonical recipe of a result; steps that are not there are at the source."""
+    steps = F.when(F.size(instructions) > 0, F.array_join(instructions, "\n")).otherwise(v.SOURCE_STEPS)
+    return F.struct(
+        name.alias("name"), F.array_join(ingredients, "\n").alias("ingredients"), steps.alias("instructions"), image.alias("photo_url"), t.recipe_slug(name, key).alias("slug"),
+        source_url.alias("source_url"), F.lit("normal").alias("effort"), level.alias("import_status"), fallback.alias("fallback_text"),
+    )
+
+
 def rendered_over_fast(fast: DataFrame, rendered: DataFrame) -> DataFrame:
     """The fetched page's result where usable, else the rendered page's."""
     usable = classify.fast_usable(~F.col("f.blocked"), F.lit(True), F.col("f.success_level"))
@@ -58,11 +70,17 @@ def rendered_over_fast(fast: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def follow_links(recipes: DataFrame) -> DataFrame:
-    """Recipes without ingredients take those of the page they link to, if it is there."""
-    linked = recipes.filter(F.size("ingredients") > 0).select(F.col("source_url").alias("_to"), F.struct("ingredients", "instructions", "success_level").alias("_l"))
-    use = (F.size("ingredients") == 0) & (F.col("linked_recipe_url") != "") & F.col("_l").isNotNull()
-    joined = recipes.join(linked, u.canonical(F.col("linked_recipe_url")) == F.col("_to"), "left")
-    return joined.select(*(F.when(use, F.col(f"_l.{c}")).otherwise(F.col(c)).alias(c) if c in ("ingredients", "instructions", "success_level") else F.col(c) for c in recipes.columns))
+    """Recipes without ingredients take those of the page they link to, if it is there.
+
+    Of several pages with one address the first by page_id counts. A row that follows
+    nothing gets a key of its own, so such rows do not meet in one task.
+    """
+    first = F.min_by(F.struct("ingredients", "instructions", "success_level"), F.col("page_id"))
+    linked = recipes.filter((F.size("ingredients") > 0) & F.col("source_url").isNotNull()).groupBy(F.col("source_url").alias("_to")).agg(first.alias("_l"))
+    due = (F.size("ingredients") == 0) & (F.col("linked_recipe_url") != "")
+    key = F.when(due, u.canonical(F.col("linked_recipe_url"))).otherwise(F.concat(F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    joined = recipes.join(linked, key == F.col("_to"), "left")
+    return joined.select(*(F.when(F.col("_l").isNotNull(), F.col(f"_l.{c}")).otherwise(F.col(c)).alias(c) if c in ("ingredients", "instructions", "success_level") else F.col(c) for c in recipes.columns))
 
 
 def _lines(value: Column) -> Column:
@@ -80,18 +98,18 @@ def clean_instructions(items: Column) -> Column:
     return F.filter(steps, lambda x: (x != "") & ~x.rlike(f"(?i)^(?:{noise})"))
 
 
-def cleanup(raw: DataFrame, enrich: Enricher = identity) -> DataFrame:
+def cleanup(raw: DataFrame, enrich: Enricher = identity, keep: list[str] | None = None) -> DataFrame:
     """Normalised recipes of raw ones (recipe_id, name, ingredients, instructions, effort,
     tags, is_vegetarian, notes, success_level); full ones that need nothing are passed on.
 
-    The placeholder sentence for missing steps is not taken for a step.
+    The placeholder sentence for missing steps is not taken for a step. Columns named by
+    keep (recipe_id and name by default) come first.
     """
     lines = raw.select("*", _lines(F.col("ingredients")).alias("_i"), F.filter(_lines(F.col("instructions")), lambda x: x != v.SOURCE_STEPS).alias("_s"))
     skip = classify.skip_cleanup(F.col("success_level"), F.size("_i"), F.size("_s"), classify.mentions_enough(F.col("ingredients"), F.col("instructions")))
     given = enrich(lines.withColumn("skipped", skip))
     return given.select(
-        "recipe_id",
-        "name",
+        *(keep or ["recipe_id", "name"]),
         "skipped",
         F.when(F.col("skipped"), F.col("_i")).otherwise(clean_ingredients(F.col("_i"))).alias("ingredients"),
         F.when(F.col("skipped"), F.col("_s")).otherwise(clean_instructions(t.split_single_step(F.col("_s")))).alias("instructions"),
@@ -200,3 +218,176 @@ def social_titles(results: DataFrame) -> DataFrame:
     name = F.when(F.col("due"), F.coalesce(F.nullif("title_candidate", F.lit("")), "fallback_title")).otherwise(F.col("name"))
     text = F.when(F.col("due"), F.coalesce(F.nullif("rescue_text", F.lit("")), "fallback_text")).otherwise(F.col("fallback_text"))
     return both.select("post_id", name.alias("name"), t.recipe_slug(name, F.col("post_id")).alias("slug"), text.alias("fallback_text"), F.col("due").alias("cleaned"))
+
+
+# One lineage from a shared link to a clean recipe. Rows are requests; every step adds to
+# or replaces their columns, and only the steps that read another table join.
+
+
+def _needs_caption(result: DataFrame) -> Column:
+    none = (F.size("ingredients") == 0) & (F.size("instructions") == 0)
+    return F.col("success") & none & F.col("success_level").isin("metadata-only", "social-metadata-only")
+
+
+def _replaced(df: DataFrame, when: Column, **values: Column) -> DataFrame:
+    """Columns that take a value where a condition holds."""
+    marked = df.withColumn("_when", F.coalesce(when, F.lit(False)))
+    return marked.withColumns({c: F.when(F.col("_when"), x).otherwise(F.col(c)) for c, x in values.items()}).drop("_when")
+
+
+def _first_by(table: DataFrame, url: str, order: str, columns: list[str], name: str) -> DataFrame:
+    """One row an address: the first by order, as a struct; rows without an address go."""
+    picked = F.min_by(F.struct(*columns), F.col(order)).alias(name)
+    return table.filter(F.coalesce(F.col(url), F.lit("")) != "").groupBy(F.col(url).alias(f"{name}_url")).agg(picked)
+
+
+def rescue_instagram(results: DataFrame, said: DataFrame) -> DataFrame:
+    """Instagram results that need a caption, without one of the user's, take that of their
+    post (url, caption, image_url) as description, and its image if they have none."""
+    post = _first_by(said.withColumn("_o", F.struct("caption", "image_url")), "url", "_o", ["caption", "image_url"], "_post")
+    due = _needs_caption(results) & (u.video_platform(F.col("asked_url")) == "instagram") & (F.col("user_caption") == "")
+    key = F.when(due, F.col("asked_url")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
+    joined = results.join(post, key == F.col("_post_url"), "left")
+    caption = t.trim(t.text(F.col("_post.caption")))
+    image = F.coalesce(F.nullif("image", F.lit("")), t.trim(t.text(F.col("_post.image_url"))))
+    return _replaced(joined, F.col("_post").isNotNull() & (caption != ""), description=caption, image=image).drop("_post", "_post_url")
+
+
+PARTS = ["platform", "fallback_title", "raw_caption", "title_candidate", "rescue_text", "caption_evidence"]
+
+
+def with_parts(results: DataFrame) -> DataFrame:
+    """Results with PARTS: their caption's parts, and as caption_evidence the user's caption
+    with the address, else what the post's texts give. The steps below share them."""
+    posts = results.withColumn("post_id", F.col("request_id")).withColumn("raw_name", F.col("name"))
+    parts = captions.resolve_posts(posts, results.columns).drop("account_name", "title_candidates")
+    own = F.array_join(F.array_distinct(F.filter(F.array("user_caption", t.trim(F.col("source_url"))), lambda x: x != "")), "\n\n")
+    return parts.withColumn("caption_evidence", F.when(F.col("user_caption") != "", own).otherwise(F.col("rescue_text")))
+
+
+def _social_name(name: Column) -> Column:
+    """A rescued name: of a social source the best title of its caption, else the platform's."""
+    social = F.coalesce(F.nullif("title_candidate", F.lit("")), F.col("fallback_title"))
+    return F.when(u.is_social(F.col("source_url")), F.when((name != "") & ~captions.is_bad_title(name, F.lit("")), name).otherwise(social)).otherwise(name)
+
+
+def rescue_social(results: DataFrame) -> DataFrame:
+    """Results with parts that need a caption take the sections of the caption itself, else of all its evidence.
+
+    A user's caption counts from 80 characters on, another one if it looks like a recipe.
+    rescue says what happened: caption, caption-too-short, caption-no-recipe, none.
+    """
+    both = results.withColumn("_needs", _needs_caption(results)).withColumn("_own", F.col("user_caption") != "")
+    text = F.col("caption_evidence")
+    short = F.col("_own") & (F.length(t.trim(text)) < 80)
+    unlike = ~F.col("_own") & ~F.coalesce(classify.looks_like_recipe(text), F.lit(False))
+    due = F.col("_needs") & ~short & ~unlike
+    itself = F.when(F.col("_own"), F.col("user_caption")).otherwise(F.col("raw_caption"))
+    found = both.withColumn("_a", F.when(due, classify.caption_sections(itself))).withColumn("_b", F.when(due, classify.caption_sections(text)))
+    found = found.withColumn("_c", F.when((F.size("_a.ingredients") > 0) & (F.size("_a.instructions") > 0), F.col("_a")).otherwise(F.col("_b")))
+    good = F.col("_c").isNotNull() & (F.size("_c.ingredients") > 0) & (F.size("_c.instructions") > 0)
+    said = F.when(~F.col("_needs"), "none").when(good, "caption").when(short, "caption-too-short").otherwise("caption-no-recipe")
+    name = _social_name(F.coalesce(F.nullif("_c.name", F.lit("")), F.nullif("name", F.lit("")), F.lit("Saved Recipe")))
+    out = found.withColumn("rescue", said)
+    out = _replaced(out, F.col("rescue") == "caption", name=name, ingredients=jsonld.clean_list(F.col("_c.ingredients")), instructions=jsonld.clean_list(F.col("_c.instructions")), success_level=F.lit("full"), fallback_text=F.lit(""))
+    return out.select(*results.columns, "rescue")
+
+
+def rescue_video(results: DataFrame, shown: DataFrame) -> DataFrame:
+    """Facebook results with parts, without both lists, and without a linked recipe, are promoted to full
+    by their video's evidence.
+
+    shown: url, the fields of validated evidence, image_url, and parsed (name, ingredients,
+    instructions, ingredients_appear_complete, instructions_appear_complete). Evidence must be
+    substantive, and both lists there and complete; anything else leaves the result as it is.
+    """
+    facts = ["has_recipe_content", "title", "visible_recipe_text", "spoken_recipe_text", "combined_recipe_text", "ingredients_appear_complete", "instructions_appear_complete", "image_url", "parsed"]
+    video = _first_by(shown.withColumn("_o", F.struct(*facts)), "url", "_o", facts, "_video")
+    due = F.col("success") & (u.platform(F.col("source_url")) == "facebook") & ((F.size("ingredients") == 0) | (F.size("instructions") == 0)) & (F.col("linked_recipe_url") == "")
+    key = F.when(due, F.col("source_url")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
+    joined = results.join(video, key == F.col("_video_url"), "left")
+    e = lambda c: F.col(f"_video.{c}")
+    solid = classify.substantive(e("has_recipe_content"), e("ingredients_appear_complete"), e("instructions_appear_complete"), e("visible_recipe_text"), e("spoken_recipe_text")) & (t.trim(t.text(e("combined_recipe_text"))) != "")
+    lists = joined.withColumn("_r", parsed_recipe(e("parsed")))
+    complete = t.true_only(e("parsed.ingredients_appear_complete")) & t.true_only(e("parsed.instructions_appear_complete")) & is_full(F.col("_r"))
+    full = F.coalesce(solid & complete, F.lit(False))
+    name = _social_name(F.coalesce(F.nullif("_r.name", F.lit("")), F.nullif(t.clean_text(e("title")), F.lit("")), F.nullif("name", F.lit("")), F.lit("Facebook Recipe")))
+    image = F.coalesce(F.nullif("image", F.lit("")), t.text(e("image_url")))
+    said = F.when(full, "video").when(F.col("_video").isNotNull(), "video-incomplete").otherwise(F.col("rescue"))
+    out = _replaced(lists.withColumn("_full", full), F.col("_full"), name=name, ingredients=F.col("_r.ingredients"), instructions=F.col("_r.instructions"), image=image, success_level=F.lit("full"), fallback_text=F.lit(""))
+    return out.withColumn("rescue", said).select(*results.columns)
+
+
+def fallback_titles(results: DataFrame) -> DataFrame:
+    """Social results that no caption made whole are named by their caption or platform and keep its text."""
+    due = F.col("success") & u.is_social(F.col("source_url")) & (F.col("rescue") != "caption") & ~((F.size("ingredients") > 0) & (F.size("instructions") > 0))
+    name = F.coalesce(F.nullif("title_candidate", F.lit("")), F.col("fallback_title"))
+    text = F.coalesce(F.nullif("rescue_text", F.lit("")), F.col("fallback_text"))
+    return _replaced(results, due, name=name, fallback_text=text)
+
+
+def import_recipes(requests: DataFrame, fetched: DataFrame, rendered: DataFrame, pins: DataFrame, said: DataFrame, shown: DataFrame, enrich: Enricher = identity) -> DataFrame:
+    """Shared links to clean recipes, whole: one canonical row a request.
+
+    requests: request_id, url, caption_text, shared_text, language. fetched and rendered:
+    pages (page_id, url, html) as had without and with a browser. pins: url, resolved_url.
+    said, shown: see rescue_instagram and rescue_video. Link, page (rendered where the
+    fetched one is too weak), the user's caption, the rescues, titles, the linked recipe and
+    cleanup follow each other as in an import of one link. A request without a link is
+    bad-url, one whose pin or page is not there fetch-failed; neither has a recipe.
+    """
+    given = lambda c: F.nullif(t.trim(t.text(F.col(c))), F.lit(""))
+    asked = requests.select("request_id", u.import_url(t.text(F.col("url"))).alias("asked_url"), F.coalesce(given("caption_text"), given("shared_text"), F.lit("")).alias("user_caption"), t.route_language(t.trim(t.text(F.col("language")))).alias("language"))
+    pin = _first_by(pins, "url", "resolved_url", ["resolved_url"], "_pin")
+    is_pin = u.is_pinterest(F.col("asked_url"))
+    key = F.when(is_pin, F.col("asked_url")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
+    asked = asked.withColumn("_key", key).withColumn("_pinned", is_pin).join(pin, F.col("_key") == F.col("_pin_url"), "left")
+    asked = asked.withColumn("asked_url", F.when(F.col("_pinned"), F.coalesce("_pin.resolved_url", F.lit(""))).otherwise(F.col("asked_url"))).drop("_key", "_pin", "_pin_url")
+
+    facts = ["source_url", "imported_from_url", "success", "success_level", "name", "ingredients", "instructions", "image", "description", "linked_recipe_url", "fallback_text", "blocked"]
+    sides = {side: page_results(table.withColumn("url", u.import_url(F.coalesce("url", F.lit(""))))) for side, table in (("fast", fetched), ("slow", rendered))}
+    sides = {side: _first_by(found, "source_url", "page_id", facts, f"_{side}") for side, found in sides.items()}
+    at = F.when(F.col("asked_url") == "", F.concat(F.lit("\x00"), F.col("request_id").cast("string"))).otherwise(u.canonical(F.col("asked_url")))
+    both = asked.withColumn("_at", at).join(sides["fast"], F.col("_at") == F.col("_fast_url"), "left").join(sides["slow"], F.col("_at") == F.col("_slow_url"), "left")
+    usable = classify.fast_usable(F.col("_fast.success"), F.lit(True), F.col("_fast.success_level"))
+    page = both.withColumn("_r", F.when(usable | F.col("_slow").isNull(), F.col("_fast")).otherwise(F.col("_slow")))
+    none = F.array().cast("array<string>")
+    missing = F.when((F.col("asked_url") == "") & ~F.col("_pinned"), "bad-url").otherwise("fetch-failed")
+    lists = {"ingredients": none, "instructions": none, "success": F.lit(False), "success_level": missing, "source_url": F.col("asked_url")}
+    result = page.select("request_id", "language", "user_caption", "asked_url", *(F.coalesce(F.col(f"_r.{c}"), lists.get(c, F.lit(""))).alias(c) for c in facts if c != "blocked"))
+
+    result = _replaced(result, F.col("success"), fallback_text=attach_caption(F.col("fallback_text"), F.col("user_caption")))
+    result = fallback_titles(rescue_video(rescue_social(with_parts(rescue_instagram(result, said))), shown)).drop(*PARTS)
+
+    linked = {side: table.select(F.col(f"_{side}_url").alias(f"_l{side}_url"), F.col(f"_{side}").alias(f"_l{side}")) for side, table in sides.items()}
+    due = F.col("success") & (F.col("linked_recipe_url") != "") & (F.size("ingredients") == 0)
+    key = F.when(due, u.canonical(F.col("linked_recipe_url"))).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
+    followed = result.withColumn("_to", key).join(linked["fast"], F.col("_to") == F.col("_lfast_url"), "left").join(linked["slow"], F.col("_to") == F.col("_lslow_url"), "left")
+    usable = classify.fast_usable(F.col("_lfast.success"), F.lit(True), F.col("_lfast.success_level"))
+    followed = followed.withColumn("_r", F.when(usable | F.col("_lslow").isNull(), F.col("_lfast")).otherwise(F.col("_lslow"))).withColumn("followed", F.col("_r").isNotNull())
+    taken = ["success", "success_level", "name", "ingredients", "instructions", "image", "description", "fallback_text"]
+    followed = _replaced(followed, F.col("followed"), **{c: F.col(f"_r.{c}") for c in taken}, imported_from_url=F.col("linked_recipe_url"))
+    return cleaned_results(followed.select(*result.columns, "followed"), enrich)
+
+
+def cleaned_results(results: DataFrame, enrich: Enricher = identity) -> DataFrame:
+    """Results after cleanup, with their canonical recipe; the other columns stay."""
+    kept = [c for c in results.columns if c not in ("ingredients", "instructions")]
+    raw = results.withColumns({"ingredients": F.array_join("ingredients", "\n"), "instructions": F.array_join("instructions", "\n"), "effort": F.lit("normal"), "tags": F.array().cast("array<string>"), "is_vegetarian": F.lit(False), "notes": F.lit("")})
+    clean = cleanup(raw, enrich, kept)
+    record = recipe_record(*(F.col(c) for c in ("name", "ingredients", "instructions", "image", "imported_from_url", "success_level", "fallback_text", "request_id")))
+    return clean.withColumn("recipe", F.when(F.col("success"), record))
+
+
+def import_jsonld(requests: DataFrame, enrich: Enricher = identity) -> DataFrame:
+    """JSON-LD that a device sent (request_id, url, json_ld) to clean recipes.
+
+    A request without an address or text is bad-request and has no recipe.
+    """
+    blocks = requests.select(F.col("request_id").alias("page_id"), F.struct(u.import_url(t.text(F.col("url"))).alias("url"), (t.trim(t.text(F.col("json_ld"))) != "").alias("given")).alias("ord"), F.col("json_ld").alias("raw"))
+    good = F.col("ord.given") & (F.col("ord.url") != "")
+    found = jsonld.from_blocks(blocks).select(
+        F.col("page_id").alias("request_id"), F.col("ord.url").alias("source_url"), F.col("ord.url").alias("imported_from_url"), good.alias("success"), F.when(good, F.col("success_level")).otherwise("bad-request").alias("success_level"),
+        F.coalesce(F.nullif("name", F.lit("")), F.lit("Imported Recipe")).alias("name"), "ingredients", "instructions", "image", F.lit("").alias("fallback_text"),
+    )
+    return cleaned_results(found, enrich)

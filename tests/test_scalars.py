@@ -99,3 +99,55 @@ def test_stream_equals_batch(spark, tmp_path):
     op = lambda d: d.select("id", t.clean_text(F.col("text")).alias("text"))
     streaming.run(spark, str(tmp_path / "in"), "id int, text string", op, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, op(df).collect()))
+
+
+def test_pages_of_any_markup():
+    import random
+    import time
+
+    from larder.operators.evidence import read_evidence
+
+    began = time.time()
+    for page in ("<![x[y]]><p>a", "<![x[", "<div>" * 20000 + "x", "<a href=/recipe/1>" * 20000, "<li class=x>" * 20000, "<ul><li>" * 20000, "<!--" * 100_000, "<a " * 100_000, "<![" * 100_000, "</" * 100_000, "<title>" * 20000, "<article>" * 20000 + "x" * 20):
+        read_page(page), read_evidence(page)
+    rng = random.Random(2)
+    parts = ["<", ">", "!", "[", "]", "--", "/", "a", "li", "p", " ", '"', "=", "&", "#", "script", "title", "video", "?", "\n", "article", ";", "<![", "</", "<!--"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        read_page(page), read_evidence(page)
+    assert time.time() - began < 60
+    assert read_page("<![x[y]]><title>T</title>")["title"] == read_evidence("<![x[y]]><title>T</title>")["title"] == "T"
+
+
+def test_links_to_an_address_with_two_pages(spark):
+    from larder.plans.recipes import follow_links
+
+    rows = [(1, "https://a.com/r", ["x"], ["y"], "", "full"), (2, "https://a.com/r", ["z"], [], "", "partial"), (3, "https://a.com/l", [], [], "https://a.com/r?utm_source=q", "metadata-only"), (4, None, [], [], None, "metadata-only"), (None, None, ["b"], [], None, "partial")]
+    got = follow_links(spark.createDataFrame(rows, "page_id long, source_url string, ingredients array<string>, instructions array<string>, linked_recipe_url string, success_level string")).collect()
+    assert len(got) == 5 and next((r["ingredients"], r["success_level"]) for r in got if r["page_id"] == 3) == (["x"], "full")
+
+
+def test_records(spark):
+    from larder.operators import evidence as e
+
+    none = F.lit(None)
+    tracks = F.array(F.struct(F.lit("video").alias("kind"), F.lit(2.5).alias("duration_seconds")), F.struct(F.lit("audio").alias("kind"), F.lit(3.0).alias("duration_seconds")))
+    got = value(spark, e.resolved_record(tracks, F.lit(9), F.lit(4), none))
+    assert (got["available"], got["duration_seconds"], got["size_bytes"], got["has_audio"], got["candidate_count"], got["unique_track_count"]) == (True, 3.0, 9, True, 4, 2)
+    got = value(spark, e.resolved_record(none.cast("array<struct<kind:string,duration_seconds:double>>"), F.lit(9), F.lit(4), F.lit("gone")))
+    assert (got["available"], got["duration_seconds"], got["size_bytes"], got["has_audio"], got["unique_track_count"], got["error"]) == (False, 0.0, 0, False, 0, "gone")
+    got = value(spark, e.prepared_record(none.cast("int"), F.lit(True), F.lit("no")))
+    assert (got["available"], got["has_audio"], got["frame_count"], got["error"]) == (False, False, 0, "no")
+    got = value(spark, e.caption_record(F.lit(True), F.lit(" x "), none, none, none, none, none))
+    assert (got["found"], got["text"], got["score"], got["image_url"]) == (True, "x", 0.0, "")
+    got = value(spark, e.video_record(e.video_evidence(F.lit('{"title":" S "}'))))
+    assert (got["title"], got["title_source"], got["possible_missing_content"], got["warnings"]) == ("S", "unknown", True, [])
+    page = '{"browser_native_sd_url":"https:\\/\\/evil.com\\/a","browser_native_hd_url":"https:\\/\\/x.fbcdn.net\\/b"}'
+    assert value(spark, e.linked_media(F.lit(page))) == "https://x.fbcdn.net/b"
+    names = ["caption_text", "original_url", "expanded_url", "source_url", "caption_source", "image_url", "author_name", "author_url", "author_unique_id", "video_id", "provider_name", "embed_type", "oembed_version"]
+    reply = F.struct(*(F.lit(" c " if n == "caption_text" else None).cast("string").alias(n) for n in names), F.lit(7).alias("image_width"), none.cast("int").alias("image_height"))
+    got = value(spark, e.post_record(F.lit(True), reply))
+    assert (got["found"], got["caption_text"], got["image_width"], got["image_height"], got["provider_name"], got["embed_type"]) == (True, "c", 7, 0, "TikTok", "video")
+    assert [value(spark, captions.candidate_priority(F.lit(a), F.lit(b))) for a, b in (("x.mp4", ""), ("x", "application/x-mpegURL"), ("x", "video/webm"), ("x", None))] == [1, 2, 3, 4]
+    assert value(spark, u.canonical_tiktok(F.lit('<blockquote cite="https://www.tiktok.com/@a/video/12">'))) == "https://www.tiktok.com/@a/video/12"
+    assert value(spark, u.is_supported(u.validate_instagram(F.lit("https://www.instagram.com/p/1/")))) is True
