@@ -223,11 +223,14 @@ def _serialize(parts, query: str | None, fragment: str) -> str:
 
 
 def normalize_url(raw: str | None) -> str:
-    """One shared link to the address to import, as scripts of web pages parse URLs."""
+    """One shared link to the address to import, as scripts of web pages parse URLs.
+
+    Redirects are unwrapped however deep they nest: each target is shorter than its wrapper.
+    """
     import re
 
     value = (raw or "").strip()
-    for _ in range(8):
+    while True:
         m = re.search(r"https?://[^\s\"'<>]+", value, re.I)
         candidate = m[0] if m else value
         try:
@@ -238,7 +241,7 @@ def normalize_url(raw: str | None) -> str:
             origin = f"{parts.scheme}://{parts.netloc}/"
             given = dict(reversed(pairs))
             target = next((urljoin(origin, given[k]) for k in v.REDIRECTS if given.get(k) and re.match("https?://", urljoin(origin, given[k]), re.I)), None)
-            if target:
+            if target and len(target) < len(candidate):
                 value = target
                 continue
             if any(h in parts.hostname.lower() for h in [*v.SOCIAL_HOSTS, "pin.it"]):
@@ -246,7 +249,6 @@ def normalize_url(raw: str | None) -> str:
             return _serialize(parts, urlencode([(k, x) for k, x in pairs if k not in v.TRACKING], safe="*-._"), "")
         except ValueError:
             return candidate
-    return value
 
 
 @F.pandas_udf(StringType())

@@ -1,5 +1,7 @@
 """Expected values worked out by hand."""
 
+from urllib.parse import quote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,14 @@ def test_import_url(raw, want):
     assert u.normalize_url(raw) == want
 
 
+def test_import_url_of_nested_redirects():
+    link = "https://y.org/r"
+    for _ in range(12):
+        link = "https://l.com/?u=" + quote(link, safe="")
+    assert u.normalize_url(link) == "https://y.org/r"
+    assert u.normalize_url("https://h.com/?u=%3Fu%3D%2F") == "https://h.com/"
+
+
 def test_jsonld_order():
     assert find_recipe(parse('{"b":{"cookTime":"1"},"2":{"prepTime":"x"}}')) == {"prepTime": "x"}
     assert read_block('{"a": NaN, "@type":"Recipe"}')[0] is False
