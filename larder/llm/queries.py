@@ -15,6 +15,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """The pattern that cuts texts for the public byte-level BPE files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,6 +86,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.codebooks import compress
+
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.bpe_tree import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), tokenizer_pattern())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larder.llm.audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,10 +111,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_katz, op2_quality, op3_interleave, op4_pieces, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, pipeline]
+    found = [op1_katz, op2_quality, op3_interleave, op4_pieces, op5_licenses, op6_packing, op7_near_text, op8_near_vectors, op9_language, op10_main_text, op11_codes, op12_byte_bpe, op13_filter_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be said in SQL that ends on whole tables; tests use brute force."""
-    return {}
+    """The others cannot be said in SQL that ends on whole tables; tests use brute force."""
+    from larder.llm import audit
+
+    return {"op13_filter_audit": audit.SQL}
