@@ -76,11 +76,11 @@ class Coder:
             coder = tiktoken.Encoding("class", pat_str=c, mergeable_ranks=single, special_tokens={})
             theirs[c], ours[c] = set(bytes(coder.encode_ordinary(every)).decode()), set(regex.findall(c, every))
         table = {ord(x): next((stand for c, stand in CLASSES.items() if x in theirs[c]), "!") for c in CLASSES for x in theirs[c] ^ ours[c]}
-        return regex.compile("[" + "".join(map(chr, sorted(table))) + "]") if table else None, table
+        return frozenset(map(chr, table)), table
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches, by the classes that tiktoken knows."""
-        if self.odd is None or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return self.cut.findall(text)
         return [text[m.start() : m.end()] for m in self.cut.finditer(text.translate(self.stand_in))]
 
