@@ -117,6 +117,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others cannot be said in SQL that ends on whole tables; tests use brute force."""
-    from larder.llm import audit
+    from larder.llm import audit, codebooks
 
-    return {"op13_filter_audit": audit.SQL}
+    return {"op11_codes": codebooks.SQL, "op13_filter_audit": audit.SQL}
