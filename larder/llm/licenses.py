@@ -61,7 +61,7 @@ LICENSES: list[tuple[str, list[str], list[str], list[str]]] = [
     ("sspl-1.0", ["SSPL-1.0"], ["server side public licen[sc]e"], [r"mongodb\.com/licensing/server-side-public-license"]),
     ("elastic-2.0", ["Elastic-2.0"], ["elastic licen[sc]e"], [r"elastic\.co/licensing/elastic-license"]),
     ("ncsa", ["NCSA"], ["university of illinois/ncsa open source licen[sc]e", "ncsa open source licen[sc]e"], [r"opensource\.org/licenses?/ncsa"]),
-    ("psf-2.0", ["PSF-2.0", "Python-2.0"], ["python software foundation licen[sc]e"], [r"docs\.python\.org/\S*license"]),
+    ("psf-2.0", ["PSF-2.0", "Python-2.0"], ["python software foundation licen[sc]e"], [r"docs\.python\.org/\S{0,200}?license"]),
     ("php-3.01", ["PHP-3.0", "PHP-3.01"], ["php licen[sc]e,? (?:version |v)? ?3"], [r"php\.net/license"]),
     ("postgresql", ["PostgreSQL"], ["postgresql licen[sc]e"], [r"opensource\.org/licenses?/postgresql"]),
     ("openssl", ["OpenSSL"], ["openssl licen[sc]e"], [r"openssl\.org/source/license"]),
@@ -72,7 +72,7 @@ LICENSES: list[tuple[str, list[str], list[str], list[str]]] = [
     ("afl-3.0", ["AFL-2.1", "AFL-3.0"], ["academic free licen[sc]e"], [r"opensource\.org/licenses?/afl"]),
     ("upl-1.0", ["UPL-1.0"], ["universal permissive licen[sc]e"], [r"opensource\.org/licenses?/upl"]),
     ("vim", ["Vim"], ["vim licen[sc]e"], []),
-    ("w3c", ["W3C"], ["w3c software (?:notice and )?licen[sc]e"], [r"w3\.org/consortium/legal/\S*copyright-software"]),
+    ("w3c", ["W3C"], ["w3c software (?:notice and )?licen[sc]e"], [r"w3\.org/consortium/legal/\S{0,200}?copyright-software"]),
     ("zpl-2.1", ["ZPL-2.0", "ZPL-2.1"], ["zope public licen[sc]e"], []),
     ("ecl-2.0", ["ECL-2.0"], ["educational community licen[sc]e"], []),
     ("mulan-psl-2.0", ["MulanPSL-2.0"], ["mulan permissive software licen[sc]e"], [r"license\.coscl\.org\.cn/mulanpsl2"]),
@@ -82,7 +82,7 @@ LICENSES: list[tuple[str, list[str], list[str], list[str]]] = [
     ("odc-by-1.0", ["ODC-By-1.0"], ["open data commons attribution licen[sc]e"], [r"opendatacommons\.org/licenses/by"]),
     ("pddl-1.0", ["PDDL-1.0"], ["public domain dedication and licen[sc]e"], [r"opendatacommons\.org/licenses/pddl"]),
     ("ogl-uk-3.0", ["OGL-UK-1.0", "OGL-UK-2.0", "OGL-UK-3.0"], ["open government licen[sc]e"], [r"nationalarchives\.gov\.uk/doc/open-government-licence"]),
-    ("etalab-2.0", ["etalab-2.0"], ["licence ouverte"], [r"etalab\.gouv\.fr/\S*licence-ouverte"]),
+    ("etalab-2.0", ["etalab-2.0"], ["licence ouverte"], [r"etalab\.gouv\.fr/\S{0,200}?licence-ouverte"]),
     ("cc0-1.0", ["CC0-1.0"], ["cc0(?: 1\\.0)?(?: universal)?(?: public domain dedication)? licen[sc]e", "creative commons zero", "licen[sc]ed under cc0", "cc0 1\\.0"], [r"creativecommons\.org/publicdomain/zero"]),
     ("openrail", [], ["open rail.?m licen[sc]e", "bigscience open rail", "creativeml open rail"], []),
     ("llama-community", [], ["llama \\d(?:\\.\\d)? community licen[sc]e"], []),
@@ -108,11 +108,21 @@ PASSAGES = [
     ("bsl-1.0", "boost", "distributed under the boost software licen[sc]e"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "domain", "(?:released|dedicated|placed|is) (?:in|into|to|in to) the public domain"),
-    ("all-rights-reserved", "reserved", "(?:copyright|\u00a9|\\(c\\)) .{0,80}?all rights reserved"),
+    ("all-rights-reserved", "reserved", "(?:copyright|\u00a9|\\(c\\))[\\W_]{1,80}+.{0,80}?all rights reserved"),
     ("proprietary", "proprietary", "(?:proprietary and confidential|this is proprietary software)"),
 ]
 
-SEPARATORS = r"[\W_]+"
+#: Runs of separators are taken whole and never given back, so that no pattern splits one in
+#: more than one way; what stands between two of them is bounded.
+SEPARATORS = r"[\W_]++"
+EDGE = r"(?<![0-9a-z])"
+GRANT = re.compile(rf"{EDGE}(?:licen[sc]ed|released|distributed|available|published){SEPARATORS}under{SEPARATORS}")
+TAG = re.compile(rf"{EDGE}spdx-license-identifier:\s*+(?:\(\s*+)?")
+TAG_WORD, TAG_AND = re.compile(r"[\w.+-]++"), re.compile(r"\s++(?:or|and)\s++")
+
+
+#: Priorities of rules that begin with GRANT; they are tried only where it occurs.
+GRANTS = (60, 61)
 
 
 @dataclass(frozen=True)
@@ -125,7 +135,14 @@ class Rule:
 
 
 def _spaced(pattern: str) -> str:
-    return pattern.replace(" ?", "\0").replace(" ", SEPARATORS).replace("\0", r"[\W_]*")
+    return pattern.replace(" ?", "\0").replace(" ", SEPARATORS).replace("\0", r"[\W_]*+")
+
+
+def _from_edge(body: str) -> str:
+    """A pattern that begins at an edge: its first letter, if it has one, goes first and is searched fast."""
+    if not re.match(r"[a-z0-9](?![?*+{])", body):
+        return EDGE + body
+    return rf"{body[0]}(?<![0-9a-z]{body[0]}){body[1:]}"
 
 
 def literal_runs(parsed) -> list[str]:
@@ -135,6 +152,8 @@ def literal_runs(parsed) -> list[str]:
         if kind is _constants.LITERAL and re.match(r"[a-z0-9]", chr(value)):
             runs[-1] += chr(value)
             continue
+        if kind in (_constants.ASSERT_NOT, _constants.AT):  # between two letters it takes nothing
+            continue
         if kind is _constants.SUBPATTERN:
             runs += literal_runs(value[3])
         elif kind in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0]:
@@ -149,9 +168,13 @@ def _keyword(pattern: str) -> str:
     return max([x for x in runs if not x.startswith("licen")] or runs, key=len)
 
 
+def _tag_pattern(identifier: str) -> str:
+    return rf"{TAG.pattern}(?:[\w.+-]++\s++(?:or|and)\s++)*{re.escape(identifier)}(?![\w.+-])"
+
+
 @cache
-def rules() -> list[Rule]:
-    """All rules, the surest kind first: tags, passages, addresses, grants, names."""
+def _table() -> list[tuple[str, list[str], list[str], list[str]]]:
+    """Licenses and the Creative Commons family: label, identifiers, names, addresses."""
     table = [(label, spdx, names, urls) for label, spdx, names, urls in LICENSES]
     for part, long_name in CC_PARTS:
         short = part.replace("-", " ")
@@ -159,23 +182,51 @@ def rules() -> list[Rule]:
             number = re.escape(v)
             table.append((f"cc-{part}-{v}", [f"CC-{part.upper()}-{v}"], [f"cc {short} {number}", f"creative commons {long_name} {number}"], [rf"creativecommons\.org/licenses/{part}/{number}"]))
         table.append((f"cc-{part}", [], [f"cc {short} licen[sc]e", f"creative commons {long_name}"], []))
+    return table
+
+
+@cache
+def rules() -> list[Rule]:
+    """All rules, the surest kind first: tags, passages, addresses, grants, names."""
     made: list[Rule] = []
-    edge = r"(?<![0-9a-z])"
-    for label, spdx, names, urls in table:
+    for label, spdx, names, urls in _table():
         versioned = bool(re.search(r"\d", label))
         for s in spdx:
-            made.append(Rule(label, 90, 1.0, "spdx", re.compile(rf"{edge}spdx-license-identifier:\s*\(?\s*(?:[\w.+-]+\s+(?:or|and)\s+)*{re.escape(s.lower())}(?![\w.+-])")))
+            made.append(Rule(label, 90, 1.0, "spdx", re.compile(_tag_pattern(s.lower()))))
         for u in urls:
             made.append(Rule(label, 70 + versioned, 0.9, _keyword(u), re.compile(u)))
         for n in names:
             body = rf"{_spaced(n)}(?![0-9a-z])"
-            made.append(Rule(label, 60 + versioned, 0.95, _keyword(_spaced(n)), re.compile(rf"{edge}(?:licen[sc]ed|released|distributed|available|published){SEPARATORS}under{SEPARATORS}(?:the{SEPARATORS})?(?:terms{SEPARATORS}of{SEPARATORS}(?:the{SEPARATORS})?)?(?:gnu{SEPARATORS})?{body}")))
-            made.append(Rule(label, 40 + versioned, 0.8, _keyword(_spaced(n)), re.compile(edge + body)))
+            made.append(Rule(label, 60 + versioned, 0.95, _keyword(_spaced(n)), re.compile(rf"{GRANT.pattern}(?:the{SEPARATORS})?(?:terms{SEPARATORS}of{SEPARATORS}(?:the{SEPARATORS})?)?(?:gnu{SEPARATORS})?{body}")))
+            made.append(Rule(label, 40 + versioned, 0.8, _keyword(_spaced(n)), re.compile(_from_edge(body))))
     for label, keyword, pattern in PASSAGES:
         made.append(Rule(label, 80, 0.9, keyword, re.compile(_spaced(pattern), re.DOTALL)))
     return sorted(made, key=lambda r: -r.priority)
 
 
+@cache
+def _identifiers() -> dict[str, Rule]:
+    """Rules of tags by the identifier they look for."""
+    own = {s.lower(): label for label, spdx, _, _ in _table() for s in spdx}
+    by_pattern = {r.pattern.pattern: r for r in rules() if r.keyword == "spdx"}
+    return {s: by_pattern[_tag_pattern(s)] for s in own}
+
+
+def tagged(lowered: str) -> list[tuple[int, int, Rule]]:
+    """What the rules of tags find, each tag read once and its identifiers looked up."""
+    found = []
+    for tag in TAG.finditer(lowered):
+        at, ends = tag.end(), {}
+        while word := TAG_WORD.match(lowered, at):
+            if rule := _identifiers().get(word[0]):
+                ends[rule] = word.end()
+            if not (more := TAG_AND.match(lowered, word.end())):
+                break
+            at = more.end()
+        found += [(tag.start(), end, rule) for rule, end in ends.items()]
+    return found
+
+
 @cache
 def _automaton():
     import ahocorasick
@@ -199,7 +250,10 @@ def detections(lowered: str) -> list[tuple[int, int, Rule]]:
     ends are prefix maxima in a tree over starts, so time grows with hits * log(hits).
     """
     gated = {k: found for _, (k, found) in _automaton().iter(lowered)}
-    hits = [(m.start(), m.end(), r) for found in gated.values() for r in found for m in r.pattern.finditer(lowered)]
+    granted = GRANT.search(lowered) is not None
+    hits = [(m.start(), m.end(), r) for k, found in gated.items() if k != "spdx" for r in found if granted or r.priority not in GRANTS for m in r.pattern.finditer(lowered)]
+    if "spdx" in gated:
+        hits += tagged(lowered)
     hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
     place = {start: k + 1 for k, start in enumerate(sorted({h[0] for h in hits}))}
     furthest = [-1] * (len(place) + 1)
