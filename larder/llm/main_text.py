@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ ARTICLES = frozenset(["article", "main"])
 REPEATS = frozenset("li dt dd td th tr option".split())
 #: Open elements beyond which nothing is ended by a new block.
 BARRIERS = ("ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "td")
+#: Words of a line that tells prose from captions, buttons and bylines.
+WORDS = 10
 #: Elements that are no region of their own.
 SMALL = frozenset("p li b h1 h2 h3 h4 h5 h6 td tr span blockquote pre".split())
 
@@ -72,6 +75,7 @@ class Box:
     mark: str = ""
     last: int = 0
     titled: bool = False
+    name: str = ""
 
 
 class _Events(TotalParser):
@@ -109,17 +113,17 @@ class _Events(TotalParser):
             self.open.pop()
             self.numbers.pop()
 
-    def _kind(self, tag: str, attrs) -> tuple[bool, str]:
-        """Whether an element is never content, and the kind of its mark: remark, furniture or none."""
+    def _kind(self, tag: str, attrs) -> tuple[bool, str, str]:
+        """Whether an element is never content, the kind of its mark (remark, furniture or none) and its name."""
         if tag in NEVER or tag == "header" and not self.articles:
-            return True, ""
-        mark = ""
+            return True, "", ""
+        mark = name_of = ""
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-                return True, ""
+                return True, "", ""
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, ""
+                return True, "", ""
             if name in ("class", "id") and tag not in ("html", "body", "main"):
                 found = marks(value)
                 if tag == "article":
@@ -127,8 +131,8 @@ class _Events(TotalParser):
                 if found & REMARKS:
                     mark = "remark"
                 elif found & FURNITURE or found & HEADERS and not self.articles:
-                    mark = mark or "furniture"
-        return False, mark
+                    mark, name_of = mark or "furniture", value
+        return False, mark, name_of
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -155,11 +159,11 @@ class _Events(TotalParser):
                 return
         elif tag not in NEVER and not any(n in ("class", "id", "role", "hidden", "style", "aria-hidden") for n, _ in attrs):
             return
-        hard, mark = self._kind(tag, attrs)
+        hard, mark, name = self._kind(tag, attrs)
         if hard and tag not in BLOCKS:
             self.parts.append(" ")
         parent = self.numbers[-1] if self.numbers else 0
-        box = Box(tag, parent, hard, tag in ARTICLES and not hard and not mark, mark)
+        box = Box(tag, parent, hard, tag in ARTICLES and not hard and not mark, mark, name=name)
         self.numbers.append(len(self.boxes))
         self.boxes.append(box)
         self.open.push(tag)
@@ -224,40 +228,61 @@ def _within(boxes: list[Box], box: int, number: int) -> bool:
     return box <= number <= boxes[box].last
 
 
-def _weights(lines: list[Line], boxes: list[Box], chosen: list[bool]) -> list[int]:
-    """Characters of the chosen lines in every box, those of its descendants included."""
+def _weights(boxes: list[Box], lines: list[Line], values: list[int]) -> list[int]:
+    """Sums of the lines' values in every box, those of its descendants included."""
     weight = [0] * len(boxes)
-    for line, is_chosen in zip(lines, chosen, strict=True):
-        weight[line.inside] += len(line.text) * is_chosen
+    for line, value in zip(lines, values, strict=True):
+        weight[line.inside] += value
     for number in range(len(boxes) - 1, 0, -1):  # a box comes after its parent
         weight[boxes[number].parent] += weight[number]
     return weight
 
 
-def unmarked(lines: list[Line], boxes: list[Box]) -> list[Line]:
-    """Lines outside boxes whose mark counts.
+def _prose(line: Line) -> int:
+    """Characters of a line that are neither a heading's nor a link's."""
+    return 0 if line.heading else max(0, len(line.text) - line.linked)
+
+
+def _marked_off(boxes: list[Box], marks_of: Callable[[int, Box], bool]) -> list[bool]:
+    """Boxes that marks_of picks, with all that lies in them."""
+    out = [False] * len(boxes)
+    for number, box in enumerate(boxes):
+        out[number] = out[box.parent] or marks_of(number, box)
+    return out
+
 
-    A mark does not count for a box with a first heading or a main element in it, nor, on
-    pages that have neither of them nor an article elsewhere and unless it marks reader
-    comments, for one with half of the page's text or more: such a class speaks of the
-    page's layout.
+def unmarked(lines: list[Line], boxes: list[Box]) -> list[Line]:
+    """Lines outside boxes whose mark counts; words of a class never outweigh the text itself.
+
+    A box counts if an article or main element beside it, in no marked box itself, has text
+    other than headings and links. Else one of reader comments counts if there is a line of
+    prose (WORDS words, no heading, less than half of it links) outside of all such boxes, and
+    one of furniture unless it, or a box of the same name, holds half of the page's prose
+    (comments apart) or more. No mark
+    counts on a box with a first heading or a main element in it, nor furniture's where no
+    prose would be left.
     """
-    weight = _weights(lines, boxes, [True] * len(lines))
+    prose = [_prose(x) for x in lines]
     for line in lines:
         if boxes[line.inside].tag == "h1":
             boxes[line.inside].titled = True
     for number in range(len(boxes) - 1, 0, -1):
         box = boxes[number]
         boxes[box.parent].titled |= box.titled or box.tag == "main" and not box.hard
-    out = [False] * len(boxes)
-    marked = [False] * len(boxes)
-    for number, box in enumerate(boxes):
-        marked[number] = marked[box.parent] or bool(box.mark)
-    anchored = boxes[0].titled or any(b.article and not m and w for b, m, w in zip(boxes, marked, weight, strict=True))
-    for number, box in enumerate(boxes):
-        counts = box.mark and not box.titled and (box.mark == "remark" or anchored or 2 * weight[number] < weight[0])
-        out[number] = out[box.parent] or bool(counts)
-    return [line for line in lines if not out[line.inside]]
+
+    marked = _marked_off(boxes, lambda _, box: bool(box.mark))
+    own = _weights(boxes, lines, [p * (not marked[x.inside]) for x, p in zip(lines, prose, strict=True)])
+    articles = [n for n, box in enumerate(boxes) if box.article and own[n]]
+    beside = lambda number: any(not _within(boxes, n, number) for n in articles[:1] + articles[-1:])
+
+    remarks = _marked_off(boxes, lambda _, box: box.mark == "remark" and not box.titled)
+    if not any(2 * p > len(x.text) and len(x.text.split()) >= WORDS and not remarks[x.inside] for x, p in zip(lines, prose, strict=True)):
+        remarks = _marked_off(boxes, lambda n, box: box.mark == "remark" and not box.titled and beside(n))
+    weight = _weights(boxes, lines, [p * (not remarks[x.inside]) for x, p in zip(lines, prose, strict=True)])
+    main = {box.name for n, box in enumerate(boxes) if box.mark == "furniture" and weight[n] and 2 * weight[n] >= weight[0]}
+    out = _marked_off(boxes, lambda n, box: remarks[n] or box.mark == "furniture" and not box.titled and (box.name not in main or beside(n)))
+    left = [x for x in lines if not out[x.inside]]
+    return left if any(map(_prose, left)) or not any(prose) else [x for x in lines if not remarks[x.inside]]
 
 
 def without_link_lists(lines: list[Line], content: list[bool]) -> list[Line]:
@@ -279,7 +304,7 @@ def extract_text(html: str | None) -> str:
     ratio = smoothed([len(x.text) / x.tags for x in lines])
     cut = threshold(ratio)
     content = [r >= cut for r in ratio]
-    weight = _weights(lines, boxes, content)
+    weight = _weights(boxes, lines, [len(x.text) * c for x, c in zip(lines, content, strict=True)])
     total = weight[0]
     region = max((n for n in range(1, len(boxes)) if weight[n] >= 0.8 * total and boxes[n].tag not in SMALL), default=0)
     article = max((n for n in range(1, len(boxes)) if boxes[n].article and 2 * weight[n] >= total), key=lambda n: (weight[n], -n), default=0)
