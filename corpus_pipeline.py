@@ -40,18 +40,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Wordless texts stay.
+    """One row of each group of near-duplicates: that of the smallest id, an id before none.
 
-    Rows that share an id are one document, of which the first row by its columns stays. A
-    row without an id cannot be told from others of its group and goes.
+    Rows are told apart by a number of their own, so rows without an id, and rows that share
+    one, go only where their texts are near. Wordless texts stay.
     """
-    kept = staged(near_duplicates(docs, percent=PERCENT, size=SHINGLE).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")), "pipeline-kept")
-    rows = docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS, "_k")
-    if kept.filter("_k > 1").isEmpty():
-        return rows.select(*COLUMNS)
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    first = rows.filter("_k > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
-    return rows.filter("_k = 1").select(*COLUMNS).union(first.select(*COLUMNS))
+    rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_duplicates(rows.select("_row", "text"), percent=PERCENT, size=SHINGLE, row_id="_row")
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
