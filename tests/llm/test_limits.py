@@ -53,3 +53,13 @@ def test_license_tags():
         want = {(m.start(), m.end(), r) for r in rules() if r.keyword == "spdx" for m in r.pattern.finditer(text)}
         assert set(tagged(text)) == want, text
     assert scan_text("SPDX-License-Identifier:" + " " * 100_000 + "ISC")[5] == "isc"
+
+
+def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
+    import corpus_pipeline as c
+
+    texts = [f"{word} " + " ".join(f"{word}{i}" for i in range(60)) for word in ("one", "two", "three", "four", "five")]
+    given = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (None, texts[4] + " more"), (3, texts[3] + " more"), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in c.near_dedup(spark, docs, "").collect())))
+    assert kept == sorted(map(str, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[4]), (3, texts[3] + " more"), (5, ""), (6, "")]))
