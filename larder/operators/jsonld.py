@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
@@ -11,26 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from larder.functions import text as t
+from larder.operators.jsonread import parse, told
 
 RECIPE = StructType([StructField("found", BooleanType()), StructField("name", StringType()), StructField("ingredients", ArrayType(StringType())), StructField("instructions", ArrayType(StringType())), StructField("image", StringType())])
 SPACE = re.compile("[\\s﻿]+")
 
 
-def _ordered(pairs: list[tuple[str, object]]) -> dict[str, object]:
-    """An object as scripts hold it: number-like keys first, a repeated key's last value."""
-    d = dict(pairs)
-    numbers = sorted((k for k in d if k.isdigit() and str(int(k)) == k), key=int)
-    return {k: d[k] for k in [*numbers, *(k for k in d if k not in set(numbers))]}
-
-
-def _reject(name: str):
-    raise ValueError(name)
-
-
-def parse(text: str) -> object:
-    return json.loads(text, object_pairs_hook=_ordered, parse_constant=_reject)
-
-
 def _is_recipe(node: dict) -> bool:
     kind = node.get("@type")
     named = kind == "Recipe" or isinstance(kind, list) and any(str(k).lower() == "recipe" for k in kind)
@@ -49,32 +34,45 @@ def find_recipe(root: object) -> dict | None:
             if _is_recipe(node):
                 return node
             graph = node.get("@graph")
-            first = graph if isinstance(graph, list) else []
-            stack.extend(reversed([*first, *(x for x in node.values() if isinstance(x, (list, dict)))]))
+            first = [graph] if isinstance(graph, list) else []  # not walked again as a value: nothing was in it
+            rest = [x for k, x in node.items() if isinstance(x, (list, dict)) and not (first and k == "@graph")]
+            stack.extend(reversed(first + rest))
     return None
 
 
-def steps_of(node: object) -> list[str]:
-    """Instruction texts: strings, lists of them, step and section objects."""
-    if isinstance(node, str):
-        clean = SPACE.sub(" ", node).strip()
-        return [clean] if clean else []
-    if isinstance(node, list):
-        return [s for item in node for s in steps_of(item)]
-    if isinstance(node, dict):
-        nested = steps_of(node["itemListElement"]) if node.get("itemListElement") else []
-        return nested or steps_of(node.get("text") or node.get("name"))
-    return []
-
-
-def image_of(node: object) -> str:
-    if isinstance(node, str):
-        return node
-    if isinstance(node, list):
-        return next((x for x in map(image_of, node) if x), "")
-    if isinstance(node, dict):
-        found = node.get("url") or node.get("contentUrl") or node.get("thumbnailUrl") or ""
-        return found if isinstance(found, str) else ""
+def steps_of(root: object) -> list[str]:
+    """Instruction texts: strings, lists of them, step and section objects, at any depth.
+
+    An object gives the steps of its list, or, if that has none, its text or name.
+    """
+    out: list[str] = []
+    stack: list[tuple[object, int | None]] = [(root, None)]
+    while stack:
+        node, before = stack.pop()
+        if before is not None:
+            if len(out) == before:
+                stack.append((node.get("text") or node.get("name"), None))
+        elif isinstance(node, str):
+            out += [clean] if (clean := SPACE.sub(" ", node).strip()) else []
+        elif isinstance(node, list):
+            stack.extend((item, None) for item in reversed(node))
+        elif isinstance(node, dict):
+            stack += [(node, len(out)), (node.get("itemListElement") or None, None)]
+    return out
+
+
+def image_of(root: object) -> str:
+    """The first address in a string, an object or lists of them at any depth."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack.extend(reversed(node))
+            continue
+        if isinstance(node, dict):
+            node = node.get("url") or node.get("contentUrl") or node.get("thumbnailUrl")
+        if isinstance(node, str) and node:
+            return node
     return ""
 
 
@@ -85,7 +83,7 @@ def _object_at(text: str) -> str:
     if start < 0:
         return ""
     depth = 0
-    for m in re.compile(r'\\.|"(?:\\.|[^"\\])*"|[{}]', re.DOTALL).finditer(text, start):
+    for m in re.compile(r'\\.|"(?:\\.|[^"\\])*+(?:"|\Z)|[{}]', re.DOTALL).finditer(text, start):
         depth += {"{": 1, "}": -1}.get(m[0], 0)
         if depth == 0:
             return text[start : m.end()]
@@ -100,18 +98,18 @@ def read_block(raw: str | None) -> tuple[bool, str | None, list[str], list[str],
     recipe = None
     try:
         recipe = find_recipe(parse(text))
-    except (ValueError, RecursionError):
+    except ValueError:
         pass
     if recipe is None and (body := _object_at(text)):
         try:
             recipe = find_recipe(parse(re.sub(r'\\([^"\\/bfnrtu])', r"\1", re.sub(r"[\x00-\x1f]+", " ", body))))
-        except (ValueError, RecursionError):
+        except ValueError:
             pass
     if recipe is None:
         return False, None, [], [], ""
     given = recipe.get("recipeIngredient")
     name = recipe.get("name")
-    return True, name if isinstance(name, str) else None, [x if isinstance(x, str) else json.dumps(x) for x in given if x] if isinstance(given, list) else [], steps_of(recipe.get("recipeInstructions")), image_of(recipe.get("image"))
+    return True, name if isinstance(name, str) else None, [x if isinstance(x, str) else told(x) for x in given if x] if isinstance(given, list) else [], steps_of(recipe.get("recipeInstructions")), image_of(recipe.get("image"))
 
 
 @F.pandas_udf(RECIPE)
@@ -123,16 +121,6 @@ def recipe_of(blocks: pd.Series) -> pd.DataFrame:
 RECIPE_OF = recipe_of.asNondeterministic()
 
 
-BLOCK = re.compile(r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.IGNORECASE | re.DOTALL)
-
-
-def read_blocks(html: str) -> list[tuple[bool, str | None, list[str], list[str], str]]:
-    """All JSON-LD blocks of a page, read, in order; empty ones left out."""
-    if "ld+json" not in html.lower():
-        return []
-    return [read_block(m[1]) for m in BLOCK.finditer(html) if m[1].strip()]
-
-
 def first_usable_of(blocks: Column) -> Column:
     """The first of a page's read blocks that is more than metadata, cleaned, or null."""
     clean = F.transform(blocks, lambda b: F.struct(t.clean_html_entities(b["name"]).alias("name"), clean_list(b["ingredients"]).alias("ingredients"), clean_list(b["instructions"]).alias("instructions"), b["image"].alias("image")))

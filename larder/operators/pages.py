@@ -13,8 +13,8 @@ from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, Struc
 from larder.functions import text as t
 from larder.functions import urls as u
 from larder.functions import vocab as v
-from larder.functions.markup import VOID, Open, TotalParser
-from larder.operators.jsonld import RECIPE, first_usable_of, read_blocks, success_level
+from larder.operators.jsonld import RECIPE, first_usable_of, read_block, success_level
+from larder.operators.selectors import Picker, Selectors
 
 STRINGS = ArrayType(StringType())
 LINK = StructType([StructField("href", StringType()), StructField("text", StringType())])
@@ -23,109 +23,65 @@ _FIELDS = {
     "n_items": IntegerType(), "plugin": ArrayType(STRINGS), "blocks": ArrayType(RECIPE),
 }
 PIECES = StructType([StructField(name, kind) for name, kind in _FIELDS.items()])
-CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "tr": {"tr", "td", "th"}, "a": {"a"}}
-KINDS = ("ingredient", "instruction")
+#: Selectors of ingredients and of instructions, tried in this order.
+INGREDIENT_SELECTORS = ["[data-ingredient-name='true']", ".mntl-structured-ingredients__list-item", ".ingredients-item-name", "li[class*='ingredient']"]
+INSTRUCTION_SELECTORS = [".comp.mntl-sc-block.mntl-sc-block-html", ".mntl-sc-block-group--LI", "li[class*='instruction']", "p[class*='instruction']", "div[class*='direction']"]
+#: Selectors of the recipe plugin, all of which are taken.
+PLUGIN_SELECTORS = [s for kind in ("ingredient", "instruction") for s in (f".wprm-recipe-{kind}", f".wprm-recipe-{kind}s li", f"[class*='wprm-recipe-{kind}']")]
+RECIPE_LINKS = "a[href*='/recipe/']"
+OWN, PLUGIN = len(INGREDIENT_SELECTORS) + len(INSTRUCTION_SELECTORS), len(PLUGIN_SELECTORS)
+SELECTORS = Selectors([*INGREDIENT_SELECTORS, *INSTRUCTION_SELECTORS, *PLUGIN_SELECTORS, RECIPE_LINKS])
 
 
-def selectors(tag: str, attrs: dict[str, str], names: set[str]) -> list[int]:
-    """Which selectors an element meets: 0 to 3 of ingredients, 4 to 8 of instructions, tried in this order."""
-    whole = attrs.get("class") or ""
-    tests = [
-        attrs.get("data-ingredient-name") == "true",
-        "mntl-structured-ingredients__list-item" in names,
-        "ingredients-item-name" in names,
-        tag == "li" and "ingredient" in whole,
-        {"comp", "mntl-sc-block", "mntl-sc-block-html"} <= names,
-        "mntl-sc-block-group--LI" in names,
-        tag == "li" and "instruction" in whole,
-        tag == "p" and "instruction" in whole,
-        tag == "div" and "direction" in whole,
-    ]
-    return [i for i, met in enumerate(tests) if met]
-
-
-def plugin_selectors(tag: str, attrs: dict[str, str], names: set[str], within: dict[str, int]) -> list[int]:
-    """Which selectors of the recipe plugin: 0 to 2 of ingredients, 3 to 5 of instructions; all are taken."""
-    tests = [met for k in KINDS for met in (f"wprm-recipe-{k}" in names, tag == "li" and within[k] > 0, f"wprm-recipe-{k}" in (attrs.get("class") or ""))]
-    return [i for i, met in enumerate(tests) if met]
-
-
-class _Page(TotalParser):
-    """One pass over a page. The text of an element is a run of the page's pieces of data."""
+class _Page(Picker):
+    """One pass over a page: what selectors meet, title, body, metas, counts, JSON-LD scripts."""
 
     def __init__(self):
-        super().__init__()
-        self.open = Open()
-        self.sinks: list[list[tuple[list, int, int]]] = []
-        self.holders: list[tuple[str, ...]] = []
-        self.within = dict.fromkeys(KINDS, 0)
-        self.data: list[str] = []
+        super().__init__(SELECTORS)
         self.title, self.body, self.metas = [], [], {}
-        self.links: list[list[str]] = []
         self.hrefs: list[str] = []
+        self.scripts: list[list[str]] = []
         self.n_links = self.n_items = 0
-        self.selected, self.plugin = [[] for _ in range(9)], [[] for _ in range(6)]
+        self.in_json = False
+
+    def met(self, lists, tag, attributes):
+        if lists[-1] == OWN + PLUGIN:
+            self.hrefs.append(attributes["href"])
 
     def handle_starttag(self, tag, attrs):
         a = {k: x or "" for k, x in reversed(attrs)}
         if tag == "meta" and (key := a.get("property") or a.get("name")) and key not in self.metas:
             self.metas[key] = a.get("content", "")
-        if tag in VOID:
-            return
-        while self.open.names and self.open.names[-1] in CLOSES.get(tag, ()):
-            self._pop()
-        names = set((a.get("class") or "").split())
-        targets = []
-        if names or "data-ingredient-name" in a or tag == "li":
-            targets = [self.selected[i] for i in selectors(tag, a, names)] + [self.plugin[i] for i in plugin_selectors(tag, a, names, self.within)]
-        if tag == "a":
-            self.n_links += 1
-            if "/recipe/" in (a.get("href") or ""):
-                self.hrefs.append(a["href"])
-                targets.append(self.links)
+        self.n_links += tag == "a"
         self.n_items += tag == "li"
-        for target in targets:
-            target.append("")
-        holds = tuple(k for k in KINDS if f"wprm-recipe-{k}s" in names)
-        for k in holds:
-            self.within[k] += 1
-        self.sinks.append([(target, len(target) - 1, len(self.data)) for target in targets])
-        self.holders.append(holds)
-        self.open.push(tag)
-
-    def _pop(self):
-        self.open.pop()
-        for target, place, start in self.sinks.pop():
-            target[place] = "".join(self.data[start:])
-        for k in self.holders.pop():
-            self.within[k] -= 1
+        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            self.in_json = True
+            self.scripts.append([])
+        self.element(tag, a)
 
     def handle_endtag(self, tag):
-        depth = self.open.last(tag)
-        while 0 <= depth < len(self.open.names):
-            self._pop()
+        self.in_json = self.in_json and tag != "script"
+        super().handle_endtag(tag)
 
     def handle_data(self, data):
-        self.data.append(data)
+        super().handle_data(data)
+        if self.in_json:
+            self.scripts[-1].append(data)
         titled = self.open.last("title") >= 0
         if titled and not self.body:
             self.title.append(data)
         if not titled and self.open.last("head") < 0:
             self.body.append(data)
 
-    def finish(self):
-        while self.open.names:
-            self._pop()
-
 
 def read_page(html: str | None) -> dict:
     """Title, body text, metas, selector hits, links to recipes, counts and JSON-LD of one page."""
     p = _Page()
     p.read(html)
-    p.finish()
-    links = [{"href": h, "text": x} for h, x in zip(p.hrefs, p.links, strict=True)]
-    blocks = [dict(zip(RECIPE.names, b, strict=True)) for b in read_blocks(html or "")]
-    return {"title": "".join(p.title), "body": "".join(p.body), "metas": p.metas, "selected": p.selected, "links": links, "n_links": p.n_links, "n_items": p.n_items, "plugin": p.plugin, "blocks": blocks}
+    found = p.texts()
+    links = [{"href": h, "text": x} for h, x in zip(p.hrefs, found[-1], strict=True)]
+    blocks = [dict(zip(RECIPE.names, read_block(raw), strict=True)) for raw in map("".join, p.scripts) if raw.strip()]
+    return {"title": "".join(p.title), "body": "".join(p.body), "metas": p.metas, "selected": found[:OWN], "links": links, "n_links": p.n_links, "n_items": p.n_items, "plugin": found[OWN : OWN + PLUGIN], "blocks": blocks}
 
 
 @F.pandas_udf(PIECES)

@@ -15,6 +15,7 @@ from larder.functions import text as t
 from larder.functions import urls as u
 from larder.functions import vocab as v
 from larder.operators import captions, classify, evidence, jsonld, pages
+from larder.operators.selectors import extract_by_selectors
 from larder.plans import recipes
 from larder.sources import rows, table
 
@@ -127,8 +128,9 @@ ITEMS = "list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1), lambda x:
 
 @query("html_list_items", f"SELECT page_id, CAST(len({ITEMS}) AS BIGINT) AS n_items, array_to_string({ITEMS}, '|') AS items FROM pages")
 def html_list_items(spark, sf):
-    found = F.transform(F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), 1), lambda x: t.clean_text(F.regexp_replace(x, "<[^>]*>", "")))
-    return table(spark, sf, "pages").select("page_id", F.size(found).cast("long").alias("n_items"), F.array_join(found, "|").alias("items"))
+    found = extract_by_selectors(table(spark, sf, "pages").select("page_id", "html"), ["li"], into="found")
+    items = F.transform(F.col("found")[0], t.clean_text)
+    return found.select("page_id", F.size(items).cast("long").alias("n_items"), F.array_join(items, "|").alias("items"))
 
 
 PAGE_ROWS = "(1, 'Just a moment...', 'x', 'https://a.com'), (2, 'Soup', 'Please  enable cookies now', 'https://a.com'), (3, 'Soup', 'hot', 'https://a.com/?solution=1'), (4, 'Soup', 'hot', 'https://a.com'), (5, NULL, '', NULL), (6, 'ACCESS DENIED', NULL, '')"
@@ -615,3 +617,6 @@ def import_jsonld(spark, sf):
     raw = F.format_string('{"@type":"Recipe","name":"Dish %s","recipeIngredient":["%s"]}', F.col("doc_id"), word)
     asked = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("request_id"), F.lit("https://a.org/x").alias("url"), raw.alias("json_ld"))
     return recipes.import_jsonld(asked).select("request_id", "success", "success_level", "name", F.array_join("ingredients", "\n").alias("ingredients"))
+
+
+from larder.plans import table_queries  # noqa: E402, F401  registers its queries

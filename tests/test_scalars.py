@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from larder.functions import text as t
 from larder.functions import urls as u
 from larder.operators import captions, classify
-from larder.operators.jsonld import find_recipe, parse, read_block
+from larder.operators.jsonld import find_recipe, read_block
+from larder.operators.jsonread import parse
 from larder.operators.pages import read_page
 
 
