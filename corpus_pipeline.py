@@ -42,10 +42,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id, an id before none.
 
-    Rows are told apart by a number of their own, so rows without an id, and rows that share
-    one, go only where their texts are near. Wordless texts stay.
+    Rows are told apart by their places in the files of docs, which are written before this
+    stage reads them, so rows without an id, and rows that share one, go only where their
+    texts are near. Wordless texts stay.
     """
-    rows = staged(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    rows = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
     found = near_duplicates(rows.select("_row", "text"), percent=PERCENT, size=SHINGLE, row_id="_row")
     groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
