@@ -16,7 +16,7 @@ def text(value: Column) -> Column:
 
 def trim(value: Column) -> Column:
     """Trim all white space of scripts, not spaces only."""
-    return F.regexp_replace(value, rf"^{v.WS}+|{v.WS}+\z", "")
+    return F.btrim(value, F.lit(v.WS_CHARACTERS))
 
 
 def bind(value: Column, body) -> Column:
@@ -26,8 +26,8 @@ def bind(value: Column, body) -> Column:
 
 
 def collapse(value: Column) -> Column:
-    """One space for each run of white space; single spaces are not matched, so not replaced."""
-    return F.regexp_replace(value, rf"{v.WS}{{2,}}|(?! ){v.WS}", " ")
+    """One space for each run of white space: all of it to spaces, then runs of spaces to one."""
+    return F.regexp_replace(F.translate(value, v.WS_CHARACTERS, " " * len(v.WS_CHARACTERS)), " {2,}", " ")
 
 
 def clean_text(value: Column) -> Column:

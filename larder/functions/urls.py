@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, quote, unquote_plus, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -255,7 +255,3 @@ def normalize_url(raw: str | None) -> str:
 def import_url(urls: pd.Series) -> pd.Series:
     """normalize_url over a column: redirects unwrapped, tracking and fragment dropped."""
     return urls.map(normalize_url)
-
-
-def query_value(url: str, key: str) -> str:
-    return next((unquote_plus(x.split("=", 1)[1]) for x in urlsplit(url).query.split("&") if x.startswith(key + "=")), "")

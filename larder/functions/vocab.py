@@ -4,17 +4,21 @@ from __future__ import annotations
 
 #: White space as scripts of web pages see it.
 WS = r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters, one by one.
+WS_CHARACTERS = " \t\n\x0b\f\r\xa0\ufeff\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word border of ASCII words, whatever letters stand around.
 B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: The same where a word begins or ends, next to an ASCII letter or digit of its own.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 # Food words of titles.
 FOOD_WORDS = (
     "chicken beef shrimp prawn prawns crab salmon pork steak sausage turkey tofu rice bowl bowls pasta noodle noodles ramen salad soup curry taco tacos potato potatoes "
     "veggie veggies vegetable vegetables mushroom mushrooms cauliflower broccoli zucchini avocado egg eggs bread muffin muffins waffle waffles pancake pancakes lentil lentils "
-    "chickpea chickpeas bean beans quinoa oats banana smoothie cookie cookies cake pie sauce copycat casserole skillet roasted grilled baked fried slow_cooker air_fryer garlic "
+    "chickpea chickpeas bean beans quinoa oats banana smoothie cookie cookies cake pie sauce copycat casserole skillet roasted grilled baked fried garlic "
     "butter cheese cheesy stuffed marinade meatball meatballs chili pizza lasagna cabbage cups wraps sandwich burger burgers dessert brownie brownies"
-).split(" ")
-FOOD = rf"(?i){B}(?:{'|'.join(w.replace('_', ' ') for w in FOOD_WORDS)}){B}"
+).split(" ") + ["slow cooker", "air fryer"]
+FOOD = rf"(?i){BEGIN}(?:{'|'.join(FOOD_WORDS)}){END}"
 
 # Verbs that instructions use; those only at the start are in START_ONLY.
 VERBS = (
@@ -22,14 +26,15 @@ VERBS = (
     "simmer boil grill fry build melt saut(?:e|é) reserve drain nestle spoon use"
 ).split(" ")
 START_ONLY = "slice chop remove transfer fold".split(" ")
-INSTRUCTION_VERB = rf"(?iu){B}(?:{'|'.join(VERBS)}){B}"
+INSTRUCTION_VERB = rf"(?iu){BEGIN}(?:{'|'.join(VERBS)}){B}"
 INSTRUCTION_START = rf"(?iu)^(?:optional:?{WS}*)?(?:{'|'.join(VERBS + START_ONLY)}){B}"
 # What stands around an instruction.
 CONTEXT = (
-    r"minutes? until bowl pan pot tray dish oven coated tender fragrant golden caramelized halfway lemon brightness sauce serve served seasoning single_layer above mixture skillet "
-    r"baking_dish air_fryer remaining_butter chowder_base onion garlic pasta_water lobster_tails? generously reserved chili_flakes spicy_kick"
-).split(" ")
-INSTRUCTION_CONTEXT = rf"(?i){B}(?:{'|'.join(c.replace('_', ' ') for c in CONTEXT)}){B}"
+    r"minutes? until bowl pan pot tray dish oven coated tender fragrant golden caramelized halfway lemon brightness sauce serve served seasoning above mixture skillet "
+    r"onion garlic generously reserved"
+).split(" ") + ["single layer", "baking dish", "air fryer", "remaining butter", "chowder base", "pasta water", "lobster tails?", "chili flakes", "spicy kick"]
+INSTRUCTION_CONTEXT = rf"(?i){BEGIN}(?:{'|'.join(CONTEXT)}){END}"
+# What measures, categories, counts of reactions, steps after a colon and section heads look like.
 MEASURE_START = rf"(?i)^(?:(?:\d+(?:\.\d+)?|\d+/\d+|½|¼|¾|one|two|three|four|five|six){WS}*)?(?:lb|lbs|pound|pounds|oz|ounces?|cup|cups|tbsp|tablespoons?|tsp|teaspoons?|clove|cloves|can|cans|package|packages|stick|sticks){B}"
 GENERIC_CATEGORY = rf"(?i)^(?:shrimp|chicken|beef|pork|salmon|fish|seafood|pasta|rice|taco|tacos|soup|salad|dessert|dinner|breakfast|lunch|air fryer|slow cooker|crockpot|keto|healthy|easy|quick|low carb|high protein)(?:{WS}+recipes?)?\z"
 ENGAGEMENT_UNIT = r"[\d,.]+\s*[kmb]?\s+(?:views?|reactions?|likes?|comments?|shares?|plays?)"
@@ -85,13 +90,16 @@ STEP_NOISE = [
 MEASURE_WORDS = (
     "cup cups tbsp tablespoons? tsp teaspoons? lb lbs pound pounds oz ounce ounces can cans jar jars package packages small medium large fresh dried chopped minced sliced diced to taste for with and the"
 ).split(" ")
+# Verbs that page steps hold and promotion that they do not.
 STEP_VERBS = "mix stir cook bake heat place add whisk combine pour season serve remove transfer drain spread sprinkle preheat".split(" ")
 STEP_PROMOS = "watch video subscribe newsletter follow instagram youtube".split(" ")
+# Signs of challenge pages.
 BLOCKED_TITLES = ["just a moment", "access denied", "access to this page has been denied"]
 BLOCKED_BODIES = [
     "just a moment", "checking your browser", "access to this page has been denied", "please enable cookies", "verify you are human", "attention required", "blocked by network security", "whoa there, pardner",
 ]
 BLOCKED_URLS = ["js_challenge=1", "solution="]
+# Hosts, query keys and error codes.
 SOCIAL_HOSTS = ["facebook.com", "fb.watch", "instagram.com", "tiktok.com", "pinterest.com"]
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid"]
 PIN_TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "igshid", "ref"]

@@ -23,7 +23,7 @@ def _any_part(value: Column, parts: list[str]) -> Column:
 
 def recipe_signal(value: Column) -> Column:
     c = t.text(value)
-    words = lambda x: c.rlike(rf"(?i){v.B}(?:{x}){v.B}")
+    words = lambda x: c.rlike(rf"(?i){v.BEGIN}(?:{x}){v.END}")
     return _points(
         (words("ingredients?|what you(?:'|’)?ll need"), 25),
         (words("instructions?|directions?|method|steps?"), 25),

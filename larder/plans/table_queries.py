@@ -11,6 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from larder.functions import text as t
+from larder.operators.containment import contained
 from larder.operators.selectors import extract_by_selectors
 from larder.plans import recipes
 from larder.plans.queries import query
@@ -100,3 +101,19 @@ def recipe_markup(spark, sf):
     pages = found.select("page_id", F.lit("https://kitchen.example/page").alias("url"), html.alias("html"))
     out = recipes.page_recipes(pages)
     return out.select("page_id", "success_level", "name", F.array_join("ingredients", "\n").alias("ingredients"), F.array_join("instructions", "\n").alias("instructions"), "linked_recipe_url")
+
+
+@query("contained_passages", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+def contained_passages(spark, sf):
+    """Benchmark passages within documents."""
+    return contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_TURN = "regexp_extract(text, '([^.]*)[.]', 1)"
+
+
+@query("contained_sentences", f"SELECT doc_id, conv_id FROM documents d JOIN (SELECT conv_id, {_TURN} AS sentence FROM conversations WHERE turn = 0) c ON sentence <> '' AND contains(d.text, sentence)")
+def contained_sentences(spark, sf):
+    """First sentences of conversations within documents: from a whole line down to part of a word."""
+    asked = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.regexp_extract("text", "([^.]*)[.]", 1).alias("sentence"))
+    return contained(table(spark, sf, "documents"), asked, passage_id="conv_id", passage="sentence")

@@ -19,7 +19,7 @@ def test_query(spark, name):
     if name not in SQL:
         return
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "lineitem"):
+    for t in ("documents", "pages", "conversations", "lineitem", "benchmark", "events"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
