@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as t
 from larder.operators.containment import contained
 from larder.operators.selectors import extract_by_selectors
+from larder.operators.variants import find_recipes
 from larder.plans import recipes
 from larder.plans.queries import query
 from larder.sources import table
@@ -117,3 +118,23 @@ def contained_sentences(spark, sf):
     """First sentences of conversations within documents: from a whole line down to part of a word."""
     asked = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.regexp_extract("text", "([^.]*)[.]", 1).alias("sentence"))
     return contained(table(spark, sf, "documents"), asked, passage_id="conv_id", passage="sentence")
+
+
+#: Nested JSON made of words, and the name of its first recipe; an empty name where it has none.
+NESTED = [
+    ('{"@type":"Recipe","name":"w1"}', "w1"),
+    ('{"a":{"b":[{"@type":"WebPage","name":"w2"},[{"@type":["x","Recipe"],"name":"w3"}]]},"z":{"@type":"Recipe","name":"w4"}}', "w3"),
+    ('{"@graph":[{"name":"w2"},{"deep":{"deep":{"cookTime":"w3","name":"w4"}}}],"@context":{"@type":"Recipe","name":"w1"}}', "w4"),
+    ('[{"cookTime":"","prepTime":0,"recipeIngredient":null,"name":"w1"},{"recipeInstructions":[],"name":"w2"}]', "w2"),
+    ('{"@type":"recipe","name":"w1","items":[1,"Recipe",{"@type":["Thing"],"name":"w2"}]}', ""),
+    ('{"name":"w1",', ""),
+    ("[" * 12 + '{"prepTime":{},"name":"w5"},{"@type":"Recipe","name":"w6"}' + "]" * 12, "w5"),
+]
+
+
+@query("nested_recipes", f"SELECT * FROM (SELECT doc_id, {_case([_spliced_sql(name) for _, name in NESTED])} AS name FROM (SELECT doc_id, CAST(doc_id % {len(NESTED)} AS INTEGER) AS k, regexp_extract_all(text, '{_WORDS}') AS w FROM documents) WHERE len(w) >= 6) WHERE name <> ''")
+def nested_recipes(spark, sf):
+    """First recipes of nested JSON made from documents, found as variants."""
+    found = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
+    raw = F.coalesce(*(F.when(F.col("doc_id") % len(NESTED) == i, _spliced(text)) for i, (text, _) in enumerate(NESTED)))
+    return find_recipes(found.select("doc_id", raw.alias("raw")), "doc_id").select("doc_id", F.variant_get("recipe", "$.name", "string").alias("name"))
