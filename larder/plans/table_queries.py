@@ -16,6 +16,7 @@ from larder.operators.selectors import extract_by_selectors
 from larder.operators.variants import find_recipes
 from larder.plans import recipes
 from larder.plans.queries import query
+from larder.plans.video_imports import import_video_urls
 from larder.sources import table
 
 #: Selector lists of page_selectors and what they meet, by regular expressions over the tables' pages.
@@ -138,3 +139,51 @@ def nested_recipes(spark, sf):
     found = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
     raw = F.coalesce(*(F.when(F.col("doc_id") % len(NESTED) == i, _spliced(text)) for i, (text, _) in enumerate(NESTED)))
     return find_recipes(found.select("doc_id", raw.alias("raw")), "doc_id").select("doc_id", F.variant_get("recipe", "$.name", "string").alias("name"))
+
+
+#: Public videos made of conversations: address, caption, and what the import makes of them.
+_FULL = "w1 Stew\nIngredients:\n1 cup w2\n2 tbsp w3\nInstructions:\n1. Mix w2 with w3\n2) Cook it slowly"
+_REEL, _TOK = "https://www.instagram.com/reel/c#/", "https://www.tiktok.com/@me/video/#"
+_MADE = ("w1 Stew", ["1 cup w2", "2 tbsp w3"], ["Mix w2 with w3", "Cook it slowly"])
+VIDEOS = [
+    (_REEL, _FULL, None, (200, "full", None, "caption-first-full", *_MADE)),
+    (_TOK, _FULL, None, (200, "full", None, "caption-first-full", *_MADE)),
+    (_REEL, "w1 and w2 today", None, (200, "partial", None, "caption-only-video-unavailable", "Imported Video Recipe", [], [])),
+    (_TOK, "w1 and w2 today", None, (200, "partial", None, "caption-only-video-unavailable", "Imported TikTok Recipe", [], [])),
+    (_TOK, None, "w6", (422, "public-video-unavailable", "TIKTOK_CAPTION_UNAVAILABLE", None, "", [], [])),
+    ("https://www.instagram.com/user#/", _FULL, None, (400, "unsupported-video-url", "UNSUPPORTED_INSTAGRAM_PATH", None, "", [], [])),
+    ("https://blog.example/#", _FULL, None, (400, "unsupported-video-url", "UNSUPPORTED_PUBLIC_VIDEO_PLATFORM", None, "", [], [])),
+    (" ", _FULL, None, (400, "missing-video-url", None, None, "", [], [])),
+    (_REEL, "w1 and w2 today", "w4", (200, "full", None, "caption-and-video", "w5 Bowl", ["3 cups w4"], ["Boil w4."])),
+    (_REEL, None, "w4", (200, "full", None, "video-only", "w5 Bowl", ["3 cups w4"], ["Boil w4."])),
+    (_REEL, None, None, (422, "public-video-unavailable", "PUBLIC_VIDEO_NO_RECIPE_FOUND", None, "", [], [])),
+]
+
+
+def _of_video(n: int, quoted=_spliced_sql) -> str:
+    value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else " || chr(10) || ".join(map(quoted, x)) or "''" if isinstance(x, list) else quoted(x)
+    return _case([value(v[3][n]) for v in VIDEOS])
+
+
+_VIDEO_COLUMNS = ["status", "success_level", "error_code", "path", "name", "ingredients", "instructions"]
+
+
+@query(
+    "import_video_url",
+    f"""SELECT conv_id AS request_id, {', '.join(f'{_of_video(n)} AS {c}' for n, c in enumerate(_VIDEO_COLUMNS))}, {_case([str(v[3][0] == 200).lower() for v in VIDEOS])} AS in_record
+    FROM (SELECT conv_id, CAST(conv_id % {len(VIDEOS)} AS INTEGER) AS k, regexp_extract_all(text, '{_WORDS}') AS w FROM conversations WHERE turn = 0) WHERE len(w) >= 6""",
+)
+def import_video_url(spark, sf):
+    """Addresses of videos made of conversations, through the whole import."""
+    said = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", (F.col("conv_id") % len(VIDEOS)).alias("k"), F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
+    pick = lambda n: F.coalesce(*(F.when(F.col("k") == i, _spliced(v[n])) for i, v in enumerate(VIDEOS) if v[n] is not None))
+    posts = said.withColumn("url", F.replace(pick(0), F.lit("#"), F.col("conv_id").cast("string"))).withColumn("caption", pick(1)).withColumn("shown", pick(2))
+    parsed = F.struct(F.concat(F.get("w", F.lit(4)), F.lit(" Bowl")).alias("name"), F.array(F.concat(F.lit("3 cups "), F.get("w", F.lit(3)))).alias("ingredients"), F.array(F.concat(F.lit("Boil "), F.get("w", F.lit(3)), F.lit("."))).alias("instructions"))
+    asked = posts.select(F.col("conv_id").alias("request_id"), "url", F.lit("en").alias("language"))
+    # what a page repeats, shorter, and what it says of itself
+    candidates = posts.select("url", F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("main-text").alias("source"), F.lit("Instagram").alias("text")), F.struct(F.lit(1).alias("ord"), F.lit("og-description").alias("source"), F.col("caption").alias("text")))).alias("c")).select("url", "c.*")
+    videos = posts.select("url", F.col("shown").alias("video"), F.lit("").alias("video_title"), parsed.alias("from_both"), F.lit(None).cast("string").alias("error_code")).filter("video is not null")
+    out = import_video_urls(asked, candidates, videos)
+    shown = lambda c: F.array_join(c, "\n").alias(c)
+    whole = F.coalesce((F.col("recipe.name") == F.col("name")) & (F.col("recipe.import_status") == F.col("success_level")) & F.col("recipe.source_url").startswith("https://"), F.lit(False))
+    return out.select("request_id", "status", "success_level", "error_code", "path", "name", shown("ingredients"), shown("instructions"), whole.alias("in_record"))
