@@ -11,6 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from larder.functions import text as t
+from larder.functions import urls as u
 from larder.operators.containment import contained
 from larder.operators.selectors import extract_by_selectors
 from larder.operators.variants import find_recipes
@@ -187,3 +188,43 @@ def import_video_url(spark, sf):
     shown = lambda c: F.array_join(c, "\n").alias(c)
     whole = F.coalesce((F.col("recipe.name") == F.col("name")) & (F.col("recipe.import_status") == F.col("success_level")) & F.col("recipe.source_url").startswith("https://"), F.lit(False))
     return out.select("request_id", "status", "success_level", "error_code", "path", "name", shown("ingredients"), shown("instructions"), whole.alias("in_record"))
+
+
+#: Addresses made of a page's number (#) and path ($), one of every kind the rules tell apart, and its own (~).
+ADDRESSES = [
+    "https://www.instagram.com/reel/#/?x=1#y", "https://instagram.com$", "https://vm.tiktok.com/Z#", "https://www.tiktok.com/@me/video/#?q=1", "http://m.facebook.com$", "https://fb.watch/#",
+    "https://www.pinterest.com/pin/#/?utm_source=a&k=1&igshid=#", "https://es.pinterest.com$", "https://pin.it/#", "https://notinstagram.com/reel/#", "https://scontent.cdninstagram.com/v/#.mp4?bytestart=0&byteend=9&k=1",
+    "https://x.fbcdn.net/v/#.m3u8", "https://i.pinimg.com/#.jpg", "ftp://www.tiktok.com/#", "", "~",
+]
+_PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
+_UNDER = lambda *names: "(" + " OR ".join(f"host = '{n}' OR host LIKE '%.{n}'" for n in names) + ")"
+_KEPT = "list_filter(string_split(regexp_extract(link, '[?]([^#]*)', 1), '&'), lambda p: NOT regexp_matches(p, '^({})(=|$)'))"
+_WITHOUT = lambda keys: f"(regexp_extract(link, '^[^?#]*') || CASE WHEN array_to_string({_KEPT.format(keys)}, '&') = '' THEN '' ELSE '?' || array_to_string({_KEPT.format(keys)}, '&') END || regexp_extract(link, '#.*$'))"
+_REFUSED = "CASE WHEN link NOT LIKE 'https://%' THEN '{bad}' WHEN {fits} THEN {then} ELSE '{other}' END"
+
+
+@query(
+    "page_addresses",
+    f"""SELECT page_id, link, CASE WHEN {_UNDER('tiktok.com')} THEN 'tiktok' WHEN {_UNDER('instagram.com')} THEN 'instagram' ELSE '' END AS video,
+    CASE WHEN contains(link, 'instagram.com') THEN 'instagram' WHEN contains(link, 'tiktok.com') THEN 'tiktok' WHEN contains(link, 'facebook.com') OR contains(link, 'fb.watch') THEN 'facebook' ELSE 'social' END AS platform,
+    {_UNDER('pinterest.com')} OR host = 'pin.it' AS pinterest, host = 'pin.it' AS pin_it, {_UNDER('pinterest.com')} AND contains(link, '/pin/') AS pin,
+    regexp_matches(link, 'facebook[.]com|fb[.]watch|instagram[.]com|tiktok[.]com|pinterest[.]com') AS social, link LIKE 'https://%' AND {_UNDER('cdninstagram.com', 'fbcdn.net')} AS instagram_media, link LIKE 'https://%' AND {_UNDER('fbcdn.net')} AS facebook_media,
+    link = '' OR regexp_matches(host, 'pinterest[.]|pinimg[.]com|facebook[.]com|instagram[.]com|tiktok[.]com|youtube[.]com|youtu[.]be') OR regexp_matches(regexp_extract(link, '^[^?#]*'), '[.](jpg|jpeg|png|webp|gif|svg)$') AS bad,
+    {_WITHOUT('utm_[^=&]*|fbclid|gclid|mc_cid|mc_eid|igshid|ref')} AS untracked, {_WITHOUT('bytestart|byteend')} AS ranged,
+    {_REFUSED.format(bad='INVALID_FACEBOOK_VIDEO_URL', fits=_UNDER('facebook.com', 'fb.watch'), then='NULL', other='UNSUPPORTED_FACEBOOK_VIDEO_PLATFORM')} AS facebook_code,
+    {_REFUSED.format(bad='INVALID_PUBLIC_VIDEO_URL', fits="host IN ('instagram.com', 'www.instagram.com')", then="CASE WHEN regexp_matches(link, '^https://[^/]*/(reel|reels|p)/') THEN NULL ELSE 'UNSUPPORTED_INSTAGRAM_PATH' END", other='UNSUPPORTED_PUBLIC_VIDEO_PLATFORM')} AS instagram_code,
+    CASE WHEN link = '' THEN 'INVALID_TIKTOK_URL' WHEN link LIKE 'ftp%' THEN 'INVALID_TIKTOK_PROTOCOL' WHEN NOT {_UNDER('tiktok.com')} THEN 'UNSUPPORTED_TIKTOK_HOST' END AS tiktok_code,
+    CASE WHEN link LIKE 'http%' AND {_UNDER('tiktok.com')} THEN CASE WHEN contains(link, '/video/') THEN regexp_extract(link, '^[^?#]*') ELSE regexp_extract(link, '^[^#]*') END END AS tiktok_url
+    FROM (SELECT page_id, link, regexp_extract(link, '^[a-z]+://([^/?#:]+)', 1) AS host FROM (SELECT page_id, CASE WHEN s = '~' THEN url ELSE replace(replace(replace(s, '#y', '!y'), '#', CAST(page_id AS VARCHAR)), '$', {_PATH}) END AS made, replace(made, '!y', '#y') AS link
+    FROM (SELECT page_id, url, unnest([{', '.join(f"'{a}'" for a in ADDRESSES)}]) AS s FROM pages)))""",
+)
+def page_addresses(spark, sf):
+    """What the rules say of addresses of every kind, made of the pages' own."""
+    found = table(spark, sf, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, ADDRESSES))).alias("s"))
+    made = F.replace(F.replace(F.replace("s", F.lit("#y"), F.lit("!y")), F.lit("#"), F.col("page_id").cast("string")), F.lit("$"), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1))
+    c = F.col("link")
+    return found.select("page_id", F.when(F.col("s") == "~", F.col("url")).otherwise(F.replace(made, F.lit("!y"), F.lit("#y"))).alias("link")).select(
+        "page_id", "link", u.video_platform(c).alias("video"), u.platform(c).alias("platform"), u.is_pinterest(c).alias("pinterest"), u.is_pin_it(c).alias("pin_it"), u.is_pin(c).alias("pin"), u.is_social(c).alias("social"),
+        u.is_instagram_media(c).alias("instagram_media"), u.is_facebook_media(c).alias("facebook_media"), u.is_bad_candidate(c).alias("bad"), u.remove_tracking(c).alias("untracked"), u.remove_byte_range(c).alias("ranged"),
+        u.validate_facebook(c)["error_code"].alias("facebook_code"), u.validate_instagram(c)["error_code"].alias("instagram_code"), u.validate_tiktok(c)["error_code"].alias("tiktok_code"), u.validate_tiktok(c)["url"].alias("tiktok_url"),
+    )
