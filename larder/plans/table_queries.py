@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as t
 from larder.functions import urls as u
+from larder.operators import classify
 from larder.operators.containment import contained
 from larder.operators.selectors import extract_by_selectors
 from larder.operators.variants import find_recipes
@@ -228,3 +229,34 @@ def page_addresses(spark, sf):
         u.is_instagram_media(c).alias("instagram_media"), u.is_facebook_media(c).alias("facebook_media"), u.is_bad_candidate(c).alias("bad"), u.remove_tracking(c).alias("untracked"), u.remove_byte_range(c).alias("ranged"),
         u.validate_facebook(c)["error_code"].alias("facebook_code"), u.validate_instagram(c)["error_code"].alias("instagram_code"), u.validate_tiktok(c)["error_code"].alias("tiktok_code"), u.validate_tiktok(c)["url"].alias("tiktok_url"),
     )
+
+
+_CAPTIONS = [
+    "w1 Soup\r\nIngredients:\n1 cup w2\n#tag\n2 w3\nMethod:\n1. Boil w4\n2) Stir w5\nTips:\nno", "https://x.y/z\nw1 Stew\n\n\n\nINGREDIENTS (for 4) -\nw2\nHow to make\nMix w3 and w4\n#food\nw5",
+    "w1 Soup\nIngredients:\n1 cup w2", "Steps:\nw1\nIngredients:\nw2", "w1 w2 w3",
+]
+_SECTIONS = [("w1 Soup", ["1 cup w2", "2 w3"], ["Boil w4", "Stir w5"]), ("w1 Stew", ["w2"], ["Mix w3 and w4"]), ("", [], []), ("", [], []), ("", [], [])]
+_RULES = {
+    "quoted": ("“w1 w2.” ", t.strip_quotes, "w1 w2"),
+    "fenced": ("```json\n{w1}\n```", t.strip_fence, "{w1}"),
+    "account": ("@w1 Cooks on Instagram: w2", t.account_name, "w1 Cooks"),
+    "note": ("(Note: w1  w2)", t.clean_note, "Note: w1 w2"),
+    "entities": ("w1 &amp; w2&#39;s &frac12; &#233; &quot;w3&quot; ", t.clean_html_entities, "w1 & w2's ½ é \"w3\""),
+    "measure": ("1 cup (large) w1 (packed)", t.secondary_measures, "1 cup w1 (packed)"),
+    "repaired": ("wh en th e ov er w1", t.broken_words, "when the over w1"),
+    "degrees": ("180 degrees C for w1", t.cooking_text, "180°F C for w1"),
+    "extension": ("/a/w1.Tar.MP4", u.file_extension, ".mp4"),
+}
+
+
+@query(
+    "text_rules",
+    f"""SELECT doc_id, {', '.join(f'{_spliced_sql(want)} AS {name}' for name, (_, _, want) in _RULES.items())}, {_case([_spliced_sql(x[0]) for x in _SECTIONS])} AS title, {_case([' || chr(10) || '.join(map(_spliced_sql, x[1])) or "''" for x in _SECTIONS])} AS ingredients,
+    {_case([' || chr(10) || '.join(map(_spliced_sql, x[2])) or "''" for x in _SECTIONS])} AS instructions FROM (SELECT doc_id, CAST(doc_id % {len(_CAPTIONS)} AS INTEGER) AS k, regexp_extract_all(text, '{_WORDS}') AS w FROM documents) WHERE len(w) >= 6 AND length(w[1]) > 2""",
+)
+def text_rules(spark, sf):
+    """Text scalars and caption sections on texts made of documents' words."""
+    found = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter((F.size("w") >= 6) & (F.length(F.get("w", F.lit(0))) > 2))
+    caption = F.coalesce(*(F.when(F.col("doc_id") % len(_CAPTIONS) == i, _spliced(c)) for i, c in enumerate(_CAPTIONS)))
+    said = found.select("doc_id", "w", caption.alias("caption")).withColumn("s", classify.caption_sections(F.col("caption")))
+    return said.select("doc_id", *(f(_spliced(given)).alias(name) for name, (given, f, _) in _RULES.items()), F.col("s.name").alias("title"), F.array_join("s.ingredients", "\n").alias("ingredients"), F.array_join("s.instructions", "\n").alias("instructions"))
