@@ -14,8 +14,8 @@ ROWS_PER_BUCKET, MAX_BUCKETS = 2000, 4096
 def _offsets(rows: DataFrame, by: list[str], bucket: str) -> DataFrame:
     """Rows of earlier buckets (of the same ``by``), from exact bucket counts."""
     order = Window.partitionBy(*by).orderBy(bucket) if by else Window.orderBy(bucket)
-    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(*by, bucket, (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_sx_n"))
+    return counts.select(*by, bucket, (F.sum("_sx_n").over(order) - F.col("_sx_n")).alias("_sx_before"))
 
 
 def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", seed: int = 17, row_id: str = "doc_id") -> DataFrame:
@@ -49,7 +49,7 @@ def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", seed: in
         rows.withColumn("_sx_row", F.row_number().over(Window.partitionBy("_sx_stratum", "_sx_bucket").orderBy(*tie)))
         .join(before, ["_sx_stratum", "_sx_bucket"])
         .join(sizes, "_sx_stratum")
-        .withColumn("_sx_rank", F.col("_before") + F.col("_sx_row"))
+        .withColumn("_sx_rank", F.col("_sx_before") + F.col("_sx_row"))
         .withColumn("_sx_frac", (F.col("_sx_rank") - 0.5) / F.col("_sx_size"))
         .withColumn("_sx_slice", F.least(F.floor(F.col("_sx_frac") * buckets), F.lit(buckets - 1)).cast("int"))
         .select(*own, "_sx_stratum", "_sx_rank", "_sx_frac", "_sx_slice")
@@ -61,7 +61,7 @@ def interleave(docs: DataFrame, n_shards: int, stratum: str = "source", seed: in
     return (
         ranked.withColumn("_sx_in", place)
         .join(F.broadcast(before), "_sx_slice")
-        .withColumn("position", (F.col("_before") + F.col("_sx_in")).cast("long"))
+        .withColumn("position", (F.col("_sx_before") + F.col("_sx_in")).cast("long"))
         .withColumn("shard", F.expr(f"cast(position * {n_shards} div {max(total, 1)} as int)"))
         .withColumn("slot", F.expr(f"position - (cast(shard as bigint) * {total} + {n_shards - 1}) div {n_shards}"))
         .select(*own, "position", "shard", "slot")

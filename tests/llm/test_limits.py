@@ -63,3 +63,28 @@ def test_pipeline_keeps_rows_without_an_id_of_their_own(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in c.near_dedup(spark, docs, "").collect())))
     assert kept == sorted(map(str, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[4]), (3, texts[3] + " more"), (5, ""), (6, "")]))
+
+
+def test_interleave_order_is_the_plain_one(spark):
+    import hashlib
+    import zlib
+
+    from larder.llm.interleave import interleave, shard_documents
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()]
+    docs += [(9001, None, None), (9002, "", "src1"), (9003, "é漢", "src1")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    strata = {}
+    for i, _, source in docs:
+        strata.setdefault("n" if source is None else "s" + source, []).append((hashlib.md5(f"17|{i}".encode()).hexdigest(), i))
+    order = sorted(((r + 0.5) / len(own), s, r, i) for s, own in strata.items() for r, (_, i) in enumerate(sorted(own)))
+    want = {}
+    for place, (_, _, _, i) in enumerate(order):
+        shard = place * 7 // len(order)
+        want[i] = (shard, place - -(-shard * len(order) // 7))
+    got = shard_documents(frame, 7).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
+    body = {i: (t or "").encode() for i, t, _ in docs}
+    assert all((r["size"], r["text_crc32"]) == (len(body[r["doc_id"]]) + 16, zlib.crc32(body[r["doc_id"]])) for r in got)
+    clash = frame.selectExpr("doc_id", "source", "'x' AS _before", "1 AS _n")
+    assert sorted((r["doc_id"], r["shard"]) for r in interleave(clash, 7).collect()) == sorted((i, s) for i, (s, _) in want.items())
