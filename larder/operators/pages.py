@@ -127,9 +127,30 @@ def recipe_link(links: Column, title: Column) -> Column:
     return F.coalesce(F.get(F.filter(links, fits), F.lit(0))["href"], F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments taken as directions."""
+    parts = F.split(path, "/")
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), start, lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.{1,2}\z") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def absolute(base: Column, href: Column) -> Column:
-    origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    return F.when(href == "", "").when(href.rlike("^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(F.regexp_replace(F.regexp_replace(base, r"[?#].*\z", ""), r"[^/]*\z", ""), href))
+    """A link as an address, from the page's own; an empty one stays empty.
+
+    Links of any scheme stand for themselves. Others take the base's scheme, host, path or
+    query as far as they do not name their own; dot segments are followed.
+    """
+    of_base = lambda pattern: F.regexp_extract(base, pattern, 1)
+    origin, path, query = of_base(r"^(https?://[^/?#]+)"), of_base(r"^https?://[^/?#]+([^?#]*)"), of_base(r"^[^?#]*(\?[^#]*)")
+    own, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"([?#][\s\S]*)\z", 1)
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*\z", "")), own))
+    whole = F.when(merged.contains("/."), _without_dots(merged)).otherwise(merged)
+    here = F.concat(origin, F.when(path == "", "/").otherwise(path))
+    return (
+        F.when(href == "", "").when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(of_base("^(https?:)"), href))
+        .when((own == "") & rest.startswith("?"), F.concat(here, rest)).when(own == "", F.concat(here, query, rest)).otherwise(F.concat(origin, whole, rest))
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
