@@ -52,15 +52,29 @@ class Node:
         self.text, self.sizes, self.counts, self.ids = text, sizes, counts, ids
 
 
-class Coder:
+class Decoder:
+    """The bytes of the tokens of a ranks file."""
+
+    def __init__(self, spec: bytes):
+        self.tokens = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, spec.splitlines())}
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """By halves, as bytes of neighbours are concatenated."""
+        if len(ids) <= LEAF:
+            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+
+class Coder(Decoder):
     """Ranks and pattern of a byte-level BPE; tiktoken merges leaves and windows."""
 
     def __init__(self, spec: bytes, pattern: str):
         import regex
         import tiktoken
 
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, spec.splitlines())}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        super().__init__(spec)
+        self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.longest = max(map(len, self.ranks))
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self.cut = regex.compile(pattern)
@@ -177,12 +191,6 @@ class Coder:
             return self.joined(old[0][1].tolist(), right.ids[: right.counts[0]].tolist())
         return self.codes(match)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= LEAF:
-            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
-
 
 def coder(spec: bytes, pattern: str) -> Coder:
     key = zlib.crc32(spec + pattern.encode())
@@ -268,7 +276,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, row_id: str = "doc_id
     return base.filter(fits).mapInArrow(short, schema).union(nodes.repartition("row").sortWithinPartitions("row", "k").mapInArrow(fold, schema))
 
 
-def decode(tokens: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The bytes that ids stand for: the kept columns and ``bytes``; null ids are none."""
     spark = tokens.sparkSession
     shipped = spark.sparkContext.broadcast(read_bytes(ranks_path))
@@ -276,7 +284,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ..
     schema = given.drop("ids").withColumn("bytes", F.lit(b"")).schema
 
     def run(batches):
-        own = coder(shipped.value, pattern)
+        own = Decoder(shipped.value)
         for batch in batches:
             for part in slices(batch, len(keep)):
                 found = [own.decode(np.frombuffer(x, dtype="<u4")) for x in part.column(len(keep)).to_pylist()]
@@ -288,5 +296,5 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ..
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Digests of every row's tokens and of what they decode to, as encode and decode give them."""
     tokens = encode(docs, ranks_path, pattern).withColumn("ids_sha256", F.sha2("ids", 256))
-    back = decode(tokens, ranks_path, pattern, ("doc_id", "n_tokens", "ids_sha256"))
+    back = decode(tokens, ranks_path, ("doc_id", "n_tokens", "ids_sha256"))
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
