@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from larder.operators.containment import COVERED, contained
+from larder.operators.containment import BLOCK, COVERED, contained
 
 
 def pairs(frame, columns=("doc_id", "item_id")):
@@ -41,3 +41,21 @@ def test_no_cross_join(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = contained(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_passages_of_two_words_are_looked_up_by_key(spark, monkeypatch):
+    monkeypatch.setattr("larder.operators.containment.MOST_SHORT", 3)
+    docs = [(1, "beginning endings"), (2, "ending beginning")]
+    passages = [(i, word + rest) for i, (word, rest) in enumerate([("beginning", " end"), ("ginning", " endin"), ("ing", " beginnin"), ("beginnings", " end")])]
+    got = pairs(contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "item_id long, text string")))
+    assert got == plain(docs, passages) and len(got) == 3
+
+
+def test_every_size_of_key_across_blocks(spark):
+    rng = random.Random(2)
+    docs = [(i, "".join(rng.choice("abé 漢") for _ in range(n))) for i, n in enumerate([10, 60_000, 90_000, 200_000, 0, 3000])]
+    docs += [(6, "ab" * 40_000), (7, "\x00" * 20 + "z")]
+    passages = [(n, docs[3][1][at : at + n]) for n in range(1, 60) for at in [BLOCK // 2 - n]]
+    passages += [(100 + n, docs[2][1][-n:]) for n in (17, 61, 400, 5000)] + [(200 + n, docs[5][1][:n]) for n in (16, 300)] + [(300, "ab" * 30_000 + "a"), (301, "ba" * 20), (302, docs[2][1] + "a"), (303, "\x00z"), (304, "\x00" * 18), (305, "\x00" * 21)]
+    got = pairs(contained(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(passages, "item_id long, text string")))
+    assert got == plain(docs, passages) and len(got) > 70
