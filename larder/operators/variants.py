@@ -1,4 +1,4 @@
-"""Recipes in nested JSON without Python: variants, exploded one level at a time."""
+"""Recipes in nested JSON without Python: variants, exploded some levels at a time."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from larder.sources import shared_table
 
 #: Keys that make an object a recipe if a script takes their value for true.
 RECIPE_KEYS = ["recipeIngredient", "recipeInstructions", "cookTime", "prepTime"]
+#: Levels of nesting that one pass goes down before what it found is written.
+LEVELS = 4
 
 
 def _part(value: Column, key: str) -> Column:
@@ -46,33 +48,32 @@ def find_recipes(texts: DataFrame, row_id: str = "id", text: str = "raw") -> Dat
     """(row id, recipe) of every JSON text that holds one: the first, depth first, as a variant.
 
     Lists go in order, an object's ``@graph`` list before its other values, these by key (a
-    variant keeps keys sorted). Each round takes the nodes of one depth: those that are
-    recipes stop there, the others are exploded; a node's path is the places on the way to
-    it, so the smallest path is the first in depth-first order. Rounds are as many as the
-    deepest text has levels and each is written.
+    variant keeps keys sorted). Nodes that are recipes stop at their depth, the others are
+    exploded; a node's path is the places on the way to it, so the smallest path is the first
+    in depth-first order. A round goes LEVELS deeper in one pass over what is still open and
+    is written; there are as many as the deepest text needs.
 
     A text that is null or no JSON, or deeper than Spark reads, holds none. Rows that share
     an id are one text's parts no more than rows of other ids: each is searched for itself.
     """
-    start = texts.select(F.col(row_id).alias("id"), F.try_parse_json(F.col(text).cast("string")).alias("v")).filter("v is not null")
-    start = start.filter(_holds(F.col("v"))).withColumn("row", F.monotonically_increasing_id())
-    level = shared_table(start.select("id", "row", F.array().cast("array<int>").alias("path"), "v"), "variants")
-    found = []
-    while not level.isEmpty():
-        found.append(level.filter(is_recipe(F.col("v"))))
-        parts = _exploded(level)
-        first = (F.col("key") == "@graph") & _schema(F.col("v")).startswith("ARRAY<")
-        place = F.when(F.coalesce(first, F.lit(False)), -1).otherwise(F.col("pos"))
-        level = shared_table(parts.filter(_holds(F.col("v"))).select("id", "row", F.array_append("path", place).alias("path"), "v"), "variants")
-    if not found:
-        return start.select(F.col("id").alias(row_id), F.col("v").alias("recipe")).limit(0)
-    # a variant has no order, so the smallest path is found first and its node taken by it
-    hits = reduce(DataFrame.union, found)
-    least = hits.groupBy("row").agg(F.min("path").alias("path"))
-    return hits.join(least, ["row", "path"]).select(F.col("id").alias(row_id), F.col("v").alias("recipe"))
-
-
-def _exploded(level: DataFrame) -> DataFrame:
-    """Values within nodes that are no recipes: id, row, path, pos, key, v."""
-    open_ = level.filter(~is_recipe(F.col("v"))).alias("l")
-    return open_.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("l.v").outer()).alias("e")).select("l.id", "l.row", "l.path", "e.pos", "e.key", F.col("e.value").alias("v"))
+    # numbered together with the parse, so that no filter takes the parse below and does it again
+    level = texts.select(F.col(row_id).alias("id"), F.monotonically_increasing_id().alias("row"), F.array().cast("array<int>").alias("path"), F.try_parse_json(F.col(text).cast("string")).alias("v"))
+    level = level.filter(_holds(F.col("v"))).withColumn("hit", is_recipe(F.col("v")))
+    rounds = []
+    while not rounds or not level.isEmpty():
+        rounds.append(shared_table(reduce(lambda df, _: _deeper(df), range(LEVELS), level), "variants"))
+        level = rounds[-1].filter(~F.col("hit"))
+    hits = reduce(DataFrame.union, [r.filter("hit") for r in rounds])
+    first = hits.groupBy("row").agg(F.min_by(F.struct("id", "v"), F.col("path")).alias("first"))
+    return first.select(F.col("first.id").alias(row_id), F.col("first.v").alias("recipe"))
+
+
+def _deeper(level: DataFrame) -> DataFrame:
+    """Nodes (id, row, path, v, hit) with all that are no hits replaced by the lists and objects in them."""
+    given = level.withColumn("open", F.when(~F.col("hit"), F.col("v"))).alias("l")
+    parts = given.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("l.open").outer()).alias("e"))
+    first = (F.col("key") == "@graph") & _schema(F.col("value")).startswith("ARRAY<")
+    place = F.when(F.coalesce(first, F.lit(False)), -1).otherwise(F.col("pos"))
+    below = F.when(F.col("hit"), F.col("v")).otherwise(F.col("value"))
+    kept = parts.filter(F.col("hit") | _holds(F.col("value"))).select("id", "row", F.when(F.col("hit"), F.col("path")).otherwise(F.array_append("path", place)).alias("path"), below.alias("v"), "hit")
+    return kept.withColumn("hit", F.col("hit") | is_recipe(F.col("v")))

@@ -73,6 +73,12 @@ LAYOUTS = [
 _WORDS = "[A-Za-z]+"
 
 
+def _first_words(text: str):
+    """The first six words, which is all that layouts take; none of a text with fewer."""
+    lead = F.regexp_extract(text, "^(?:[^A-Za-z]*+[A-Za-z]++){6}", 0)
+    return F.regexp_extract_all(lead, F.lit(_WORDS), 0)
+
+
 def _parts(layout: str) -> list[str]:
     """Plain texts and, at odd places, the numbers of words between them."""
     return re.split(r"\bw([1-6])\b", layout)
@@ -100,7 +106,7 @@ _lists = lambda n: _case([" || chr(10) || ".join(map(_spliced_sql, layout[n])) o
 )
 def recipe_markup(spark, sf):
     """Recipes of pages made from documents: every selector list, JSON-LD whole, nested, broken and without a recipe."""
-    found = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
+    found = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), _first_words("text").alias("w")).filter(F.size("w") >= 6)
     html = F.coalesce(*(F.when(F.col("page_id") % len(LAYOUTS) == i, _spliced(layout[0])) for i, layout in enumerate(LAYOUTS)))
     pages = found.select("page_id", F.lit("https://kitchen.example/page").alias("url"), html.alias("html"))
     out = recipes.page_recipes(pages)
@@ -138,7 +144,7 @@ NESTED = [
 @query("nested_recipes", f"SELECT * FROM (SELECT doc_id, {_case([_spliced_sql(name) for _, name in NESTED])} AS name FROM (SELECT doc_id, CAST(doc_id % {len(NESTED)} AS INTEGER) AS k, regexp_extract_all(text, '{_WORDS}') AS w FROM documents) WHERE len(w) >= 6) WHERE name <> ''")
 def nested_recipes(spark, sf):
     """First recipes of nested JSON made from documents, found as variants."""
-    found = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
+    found = table(spark, sf, "documents").select("doc_id", _first_words("text").alias("w")).filter(F.size("w") >= 6)
     raw = F.coalesce(*(F.when(F.col("doc_id") % len(NESTED) == i, _spliced(text)) for i, (text, _) in enumerate(NESTED)))
     return find_recipes(found.select("doc_id", raw.alias("raw")), "doc_id").select("doc_id", F.variant_get("recipe", "$.name", "string").alias("name"))
 
@@ -177,7 +183,7 @@ _VIDEO_COLUMNS = ["status", "success_level", "error_code", "path", "name", "ingr
 )
 def import_video_url(spark, sf):
     """Addresses of videos made of conversations, through the whole import."""
-    said = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", (F.col("conv_id") % len(VIDEOS)).alias("k"), F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter(F.size("w") >= 6)
+    said = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", (F.col("conv_id") % len(VIDEOS)).alias("k"), _first_words("text").alias("w")).filter(F.size("w") >= 6)
     pick = lambda n: F.coalesce(*(F.when(F.col("k") == i, _spliced(v[n])) for i, v in enumerate(VIDEOS) if v[n] is not None))
     posts = said.withColumn("url", F.replace(pick(0), F.lit("#"), F.col("conv_id").cast("string"))).withColumn("caption", pick(1)).withColumn("shown", pick(2))
     parsed = F.struct(F.concat(F.get("w", F.lit(4)), F.lit(" Bowl")).alias("name"), F.array(F.concat(F.lit("3 cups "), F.get("w", F.lit(3)))).alias("ingredients"), F.array(F.concat(F.lit("Boil "), F.get("w", F.lit(3)), F.lit("."))).alias("instructions"))
@@ -256,7 +262,7 @@ _RULES = {
 )
 def text_rules(spark, sf):
     """Text scalars and caption sections on texts made of documents' words."""
-    found = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(_WORDS), 0).alias("w")).filter((F.size("w") >= 6) & (F.length(F.get("w", F.lit(0))) > 2))
+    found = table(spark, sf, "documents").select("doc_id", _first_words("text").alias("w")).filter((F.size("w") >= 6) & (F.length(F.get("w", F.lit(0))) > 2))
     caption = F.coalesce(*(F.when(F.col("doc_id") % len(_CAPTIONS) == i, _spliced(c)) for i, c in enumerate(_CAPTIONS)))
     said = found.select("doc_id", "w", caption.alias("caption")).withColumn("s", classify.caption_sections(F.col("caption")))
     return said.select("doc_id", *(f(_spliced(given)).alias(name) for name, (given, f, _) in _RULES.items()), F.col("s.name").alias("title"), F.array_join("s.ingredients", "\n").alias("ingredients"), F.array_join("s.instructions", "\n").alias("instructions"))

@@ -32,3 +32,20 @@ def test_variants_as_python_walks(spark):
     assert len(want) > 60 and got == want
     assert find_recipes(frame.limit(0)).count() == 0
     assert "Python" not in find_recipes(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_share_rounds_and_parsing(spark, monkeypatch):
+    from larder.operators import variants
+
+    written = []
+    keep = variants.shared_table
+
+    def counted(df, name):
+        written.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(variants, "shared_table", counted)
+    given = [(n, "[" * n + '{"prepTime":1,"name":"x"},{"cookTime":2}' + "]" * n) for n in range(1, 14)]
+    found = find_recipes(spark.createDataFrame(given, "id long, raw string"))
+    assert sorted(r["id"] for r in found.filter(F.variant_get("recipe", "$.name", "string") == "x").collect()) == list(range(1, 14)) and found.count() == 13
+    assert len(written) <= 14 / variants.LEVELS + 2 and written[0].count("parse_json") <= 1
